@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstream.llm import encoding, leaks, mixing, repeated_lines
+from loomstream.llm import boilerplate, encoding, leaks, mixing, repeated_lines
 from loomstream.session import table
 
 
@@ -29,6 +29,10 @@ def p3_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.garbled_values(table(spark, d, "article")).distinct()
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.furniture(table(spark, d, "article"), table(spark, d, "documents")).distinct()
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_documents(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
@@ -42,7 +46,7 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_sequences, p3_found, p3_restored, p8_found, p9_found, p9_mix)
+    f.__name__: f for f in (p1_found, p1_sequences, p3_found, p3_restored, p6_found, p8_found, p9_found, p9_mix)
 }
 
 SQL: dict[str, str] = {

@@ -1,6 +1,6 @@
 """Words of many texts at once, as 64-bit hashes in numpy: no loop per word.
 
-A word is a run of letters and digits. Case is folded, the apostrophes inside words are dropped, everything
+A word is a run of letters and digits. Case is folded letter by letter, the apostrophes inside words are dropped, everything
 else separates words. The hash of a word is a polynomial of its code points, so it is the same in every
 process and needs no vocabulary.
 """
@@ -41,18 +41,32 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+@lru_cache(1)
+def _lower() -> np.ndarray:
+    out = np.arange(_TOP, dtype=np.uint32)
+    for i in range(_TOP):
+        out[i] = ord(chr(i).lower()[0])
+    return out
+
+
 def codepoints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased code points of all texts, each followed by a line feed; where each text starts, and the end."""
-    low = [t.lower() if t else "" for t in texts]
-    starts = np.zeros(len(low) + 1, np.int64)
-    np.cumsum([len(t) + 1 for t in low], out=starts[1:])
-    joined = "\n".join(low) + "\n"
+    """Code points of all texts, each followed by a line feed; where each text starts, and the end."""
+    starts = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) + 1 if t else 1 for t in texts], out=starts[1:])
+    joined = "\n".join([t or "" for t in texts]) + "\n" if texts else ""
     return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), starts
 
 
+def lowered(cp: np.ndarray) -> np.ndarray:
+    small = np.minimum(cp, _TOP - 1)
+    low = _lower()[small]
+    return np.where(cp < _TOP, low, cp) if len(cp) and cp.max() >= _TOP else low
+
+
 def words(texts: list[str], points: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words, the first word of each text (and the end), and the start of each word in code points."""
     cp, starts = points or codepoints(texts)
+    cp = lowered(cp)
     kind = _kinds()[np.minimum(cp, _TOP - 1)]
     kind[cp >= _TOP] = 1
     keep = kind != 2
