@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstream.llm import boilerplate, encoding, leaks, mixing, repeated_lines
+from loomstream.llm import boilerplate, encoding, leaks, mixing, near_duplicates, repeated_lines
 from loomstream.session import table
 
 
@@ -33,6 +33,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.furniture(table(spark, d, "article"), table(spark, d, "documents")).distinct()
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    sets = near_duplicates.article_sets(table(spark, d, "article"), table(spark, d, "documents"))
+    return near_duplicates.record_pairs(sets, 0.5).select(F.col("id_a").alias("url_id_a"), F.col("id_b").alias("url_id_b"))
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    sets = near_duplicates.article_sets(table(spark, d, "article"), table(spark, d, "documents"))
+    return near_duplicates.record_groups(sets, 0.5).withColumnRenamed("id", "url_id")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_documents(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
@@ -46,7 +56,7 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_sequences, p3_found, p3_restored, p6_found, p8_found, p9_found, p9_mix)
+    f.__name__: f for f in (p1_found, p1_sequences, p3_found, p3_restored, p6_found, p7_found, p7_groups, p8_found, p9_found, p9_mix)
 }
 
 SQL: dict[str, str] = {
