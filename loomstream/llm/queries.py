@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstream.llm import boilerplate, encoding, leaks, mixing, near_duplicates, repeated_lines
+from loomstream.llm import boilerplate, encoding, leaks, mixing, near_duplicates, repeated_lines, truncation
 from loomstream.session import table
 
 
@@ -21,6 +21,14 @@ def p1_sequences(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.repeated_sequences(art, "origin", "url_id", "paragraph")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_values(table(spark, d, "article"))
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_rates(table(spark, d, "article"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.garbled_values(table(spark, d, "article")).select("url_id", "field", "pos").distinct()
 
@@ -56,7 +64,7 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_sequences, p3_found, p3_restored, p6_found, p7_found, p7_groups, p8_found, p9_found, p9_mix)
+    f.__name__: f for f in (p1_found, p1_sequences, p2_found, p2_rates, p3_found, p3_restored, p6_found, p7_found, p7_groups, p8_found, p9_found, p9_mix)
 }
 
 SQL: dict[str, str] = {
