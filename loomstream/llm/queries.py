@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstream.llm import boilerplate, encoding, leaks, mixing, near_duplicates, repeated_lines, truncation
+from loomstream.llm import boilerplate, encoding, leaks, mixing, near_duplicates, repeated_lines, subjects, truncation
 from loomstream.session import table
 
 
@@ -37,6 +37,20 @@ def p3_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.garbled_values(table(spark, d, "article")).distinct()
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.document_subjects(
+        table(spark, d, "article"), table(spark, d, "trained_article_classification"), table(spark, d, "subject_area"), table(spark, d, "documents")
+    )
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("url_id", "subject").distinct()
+
+
+def p5_composition(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("url_id", "subject").distinct().groupBy("subject").agg(F.count("*").alias("articles"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.furniture(table(spark, d, "article"), table(spark, d, "documents")).distinct()
 
@@ -64,7 +78,7 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_sequences, p2_found, p2_rates, p3_found, p3_restored, p6_found, p7_found, p7_groups, p8_found, p9_found, p9_mix)
+    f.__name__: f for f in (p1_found, p1_sequences, p2_found, p2_rates, p3_found, p3_restored, p5_found, p5_composition, p6_found, p7_found, p7_groups, p8_found, p9_found, p9_mix)
 }
 
 SQL: dict[str, str] = {
