@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstream.llm import boilerplate, encoding, leaks, mixing, near_duplicates, repeated_lines, subjects, truncation
+from loomstream.llm import boilerplate, encoding, leaks, mixing, near_duplicates, reading, repeated_lines, subjects, truncation
 from loomstream.session import table
 
 
@@ -77,8 +77,17 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(table(spark, d, "documents"), table(spark, d, "mix_target"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_label")).select("doc_id", "reading_level")
+
+
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    out = reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_label"))
+    return out.groupBy("reading_level").agg(F.count("*").alias("documents"), F.round(F.avg("difficulty"), 4).alias("mean_difficulty"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_sequences, p2_found, p2_rates, p3_found, p3_restored, p5_found, p5_composition, p6_found, p7_found, p7_groups, p8_found, p9_found, p9_mix)
+    f.__name__: f for f in (p1_found, p1_sequences, p2_found, p2_rates, p3_found, p3_restored, p5_found, p5_composition, p6_found, p7_found, p7_groups, p8_found, p9_found, p9_mix, p10_found, p10_profile)
 }
 
 SQL: dict[str, str] = {
