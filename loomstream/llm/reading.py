@@ -61,16 +61,29 @@ def features(texts: list[str]) -> Features:
     grams = (low[:-3] | (low[1:-2] << np.uint64(16)) | (low[2:-1] << np.uint64(32)) | (low[3:] << np.uint64(48))) if len(cp) > 3 else np.zeros(0, np.uint64)
     ok = inside[:-3] & inside[3:] & (where[:-3] == where[3:]) if len(cp) > 3 else np.zeros(0, bool)
     mask = np.uint64((1 << BITS) - 1)
-    c = ((grams[ok] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)).astype(np.int64)
+    c = ((grams[ok] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)).astype(np.int32)
     pair = sent[1:] == sent[:-1] if n else np.zeros(0, bool)
     pairs = mix(h[:-1] * np.uint64(31) + h[1:] + np.uint64(1))[pair] if n else h
-    w = np.concatenate([h & mask, pairs & mask]).astype(np.int64)
-    ws = np.concatenate([sent, sent[1:][pair]]) if n else np.zeros(0, np.int64)
+    w = np.concatenate([h & mask, pairs & mask]).astype(np.int32)
+    ws = np.concatenate([sent, sent[1:][pair]]).astype(np.int32) if n else np.zeros(0, np.int32)
     length = np.bincount(sent, minlength=n)
     chars = np.bincount(where[:-3][ok], minlength=n) + 3.0
     commas = np.bincount(where[inside & (cp == 0x2C)], minlength=n)
     shape = np.stack([np.log1p(length) / 3, chars / np.maximum(length, 1) / 8, commas / np.maximum(length, 1) * 5, np.ones(n)], 1) if n else np.zeros((0, N_SHAPE))
-    return Features(w, ws, c, where[:-3][ok] if len(cp) > 3 else ws, shape, length, text)
+    return Features(w, ws, c, where[:-3][ok].astype(np.int32) if len(cp) > 3 else ws, shape, length, text)
+
+
+def joined(parts: list[tuple[Features, int]]) -> Features:
+    """Features of several lists of texts as those of one; each with its number of texts."""
+    sents, texts, out = 0, 0, {k: [] for k in Features.__dataclass_fields__}
+    for x, n in parts:
+        for k in ("w", "c", "shape", "length"):
+            out[k].append(getattr(x, k))
+        out["ws"].append(x.ws + np.int32(sents))
+        out["cs"].append(x.cs + np.int32(sents))
+        out["text"].append(x.text + texts)
+        sents, texts = sents + len(x.shape), texts + n
+    return Features(**{k: np.concatenate(v) for k, v in out.items()})
 
 
 @dataclass
@@ -143,7 +156,8 @@ def _known(b: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 def train(texts: list[str], levels: np.ndarray) -> ReadingModel:
     """Fit sentence model and calibration on labelled texts."""
-    x = features(texts)
+    pieces = batches(len(texts), np.array([len(t) for t in texts]), 400_000)
+    x = joined([(features(texts[a:b]), b - a) for a, b in pieces])
     model = ReadingModel()
     onehot = (levels[:, None] == np.asarray(LEVELS)[None, :]).astype(float)
     near = np.minimum(1.0, np.exp(-1.0 * np.abs(levels[:, None] - np.asarray(LEVELS)[None, :])))
