@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomstream.operators.skewed import heavy_keys, key_profile
+from loomstream.plans import suite_relational, suite_text
 from loomstream.session import table
 
 
@@ -19,8 +20,8 @@ def p4_profile(spark: SparkSession, d: str) -> DataFrame:
     return out.drop("share", "mean_gap")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_profile": p4_profile}
-FLAGSHIP = p4_found
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_profile": p4_profile} | suite_relational.QUERIES
+FLAGSHIP = suite_text.FLAGSHIP
 SQL: dict[str, str] = {
     "p4_found": """SELECT origin FROM article WHERE origin IS NOT NULL GROUP BY origin
         HAVING count(DISTINCT url_id) > 0.04 * (SELECT count(DISTINCT url_id) FROM article)""",
@@ -30,4 +31,4 @@ SQL: dict[str, str] = {
         SELECT g.origin, (SELECT count(*) FROM article a WHERE a.origin IS NOT DISTINCT FROM g.origin) AS n_rows, count(*) AS n_records,
                min(published_time) AS first_time, max(published_time) AS last_time, max(gap) AS max_gap, CAST(coalesce(sum(word_count), 0) AS BIGINT) AS sum_word_count
         FROM g GROUP BY g.origin""",
-}
+} | suite_relational.SQL
