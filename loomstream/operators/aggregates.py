@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstream.session import written
+
 #: The 30 percentiles an empirical distribution is described by.
 PERCENTILES = (0.0, 0.01, 0.02, 0.03, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.92, 0.94, 0.95, 0.96, 0.97, 0.98, 0.99, 1.0)
 
@@ -21,11 +23,16 @@ def distribution(value: Column) -> Column:
 
 def project_quantile(dist: Column, x: Column) -> Column:
     """Quantile of x under a distribution: interpolated between the points around it; 0 below the first, 1 above the last."""
-    low = F.array_max(F.filter(dist, lambda z: z["value"] <= x))
-    high = F.array_min(F.filter(dist, lambda z: z["value"] >= x))
-    span = high["value"] - low["value"]
-    inside = F.when(span == 0, low["percentile"]).otherwise(low["percentile"] + (x - low["value"]) / span * (high["percentile"] - low["percentile"]))
-    return F.when(dist.isNull() | x.isNull(), None).when(high.isNull(), 1.0).when(low.isNull(), 0.0).otherwise(inside)
+    around = F.struct(F.array_max(F.filter(dist, lambda z: z["value"] <= x)).alias("low"), F.array_min(F.filter(dist, lambda z: z["value"] >= x)).alias("high"))
+
+    def between(s: Column) -> Column:
+        low, high = s["low"], s["high"]
+        span = high["value"] - low["value"]
+        inside = F.when(span == 0, low["percentile"]).otherwise(low["percentile"] + (x - low["value"]) / span * (high["percentile"] - low["percentile"]))
+        return F.when(high.isNull(), 1.0).when(low.isNull(), 0.0).otherwise(inside)
+
+    once = F.get(F.transform(F.array(around), between), F.lit(0))  # the two points are looked up once
+    return F.when(dist.isNull() | x.isNull(), None).otherwise(once)
 
 
 def click_through(rows: DataFrame, keys: list[str], clicked: Column) -> DataFrame:
@@ -120,6 +127,24 @@ def top_list(df: DataFrame, key: str, value: str, n: int) -> DataFrame:
     return df.groupBy(key).agg(F.max(value).alias(value)).orderBy(F.desc(value), F.asc(key)).limit(n)
 
 
+def order_statistic(df: DataFrame, value: str, rank: int, descending: bool = False, partitions: int = 0) -> DataFrame:
+    """(value): the value at a 0-based rank, nulls left out; no row when the rank is beyond the end.
+
+    Rows are range-partitioned and counted per partition; only the partition that holds the rank is ordered, so no
+    task sees more than its range.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = F.desc(value) if descending else F.asc(value)
+    rows = df.select(value).filter(F.col(value).isNotNull())
+    ranged = written(rows.repartitionByRange(n, order).withColumn("__p", F.spark_partition_id()), "ranges")
+    for part, count in sorted((r[0], r[1]) for r in ranged.groupBy("__p").count().collect()):  # one row a partition
+        if rank < count:
+            return ranged.filter(F.col("__p") == part).orderBy(order).offset(rank).limit(1).select(value)
+        rank -= count
+    return rows.limit(0)
+
+
 def islands(df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str = "island") -> DataFrame:
     """Number of each run of equal values in the order of a group."""
     w = Window.partitionBy(*keys).orderBy(*order)

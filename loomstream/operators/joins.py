@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstream.functions.urls import host, suffixes
+from loomstream.session import salted_join
 
 
 def domain_suffix_join(rows: DataFrame, url: str, sites: DataFrame, domains: list[str], how: str = "left") -> DataFrame:
@@ -31,28 +32,29 @@ def default_rating(rows: DataFrame, ratings: DataFrame, key: str, rating: str, d
     return rows.join(good, key, "left").withColumn(rating, F.coalesce("__r", F.lit(default))).drop("__r")
 
 
-def shared_item_pairs(df: DataFrame, key: str, items: str, least: int, time: str | None = None, window: int = 0) -> DataFrame:
+def shared_item_pairs(df: DataFrame, key: str, items: str, least: int, time: str | None = None, window: int = 0, salts: int = 8) -> DataFrame:
     """(key_a, key_b, shared) with key_a < key_b: rows with at least `least` common items, at most `window` apart in time.
 
-    An inverted index joins rows on (item, time bucket): buckets are as wide as the window and a row looks at its own
-    and the next one, so that an item that is frequent over all time doesn't meet itself in one task.
+    Two rows that share `least` items also share one that is not among the least - 1 most frequent items of either.
+    So only the rarer items of each row enter the inverted index, and a frequent item meets itself only where rows
+    have nothing rarer; the candidates are then checked on their whole arrays. With a window, rows meet by item and
+    time bucket as well. Keys are unique; null keys, times and items have no part.
     """
-    cols = [F.col(key).alias("k"), F.explode(F.array_distinct(items)).alias("item"), (F.col(time) if time else F.lit(0)).cast("bigint").alias("t")]
-    rows = df.filter(F.col(key).isNotNull()).select(*cols).filter("item is not null and t is not null")
-    if not window:
-        a, b = rows.withColumn("w", F.lit(0)), rows.withColumn("w", F.lit(0))
-    else:
-        at = F.floor(F.col("t") / window)
-        a, b = rows.withColumn("w", at), rows.withColumn("w", F.explode(F.array(at, at - 1)))
-    left = a.select(F.col("k").alias("ka"), "item", "w", F.col("t").alias("ta"))
-    right = b.select(F.col("k").alias("kb"), "item", "w", F.col("t").alias("tb"))
-    met = left.join(right, ["item", "w"])
-    if window:  # a pair meets once: in the earlier row's bucket
-        met = met.filter((F.col("tb") - F.col("ta") <= window) & ((F.col("tb") > F.col("ta")) | (F.col("tb") == F.col("ta")) & (F.col("ka") < F.col("kb"))))
-    else:
-        met = met.filter("ka < kb")
-    pairs = met.filter("ka <> kb").groupBy(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).agg(F.count_distinct("item").alias("shared"))
-    return pairs.filter(F.col("shared") >= least)
+    rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.array_distinct(items).alias("own"), (F.col(time) if time else F.lit(0)).cast("bigint").alias("t")).filter("t is not null")
+    each = rows.select("k", "t", F.explode("own").alias("item")).filter("item is not null")
+    often = each.groupBy("item").agg(F.count("*").alias("n"))
+    ranked = salted_join(each, often, ["item"], salts=salts).groupBy("k", "t").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("by_rarity"))
+    rare = ranked.select("k", "t", F.explode(F.slice("by_rarity", F.lit(1), F.greatest(F.size("by_rarity") - (least - 1), F.lit(0)))).alias("x")).select("k", "t", F.col("x.item").alias("item"))
+    at = F.floor(F.col("t") / window) if window else F.lit(0)
+    a = rare.select(F.col("k").alias("ka"), "item", at.alias("w"), F.col("t").alias("ta"))
+    b = rare.select(F.col("k").alias("kb"), "item", (F.explode(F.array(at, at - 1)) if window else at).alias("w"), F.col("t").alias("tb"))
+    met = a.join(b, ["item", "w"]).filter((F.col("tb") > F.col("ta")) | (F.col("tb") == F.col("ta")) & (F.col("ka") < F.col("kb")))
+    if window:
+        met = met.filter(F.col("tb") - F.col("ta") <= window)
+    pairs = met.select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()
+    own = rows.select("k", "own")
+    both = pairs.join(own.toDF("key_a", "own_a"), "key_a").join(own.toDF("key_b", "own_b"), "key_b")
+    return both.select("key_a", "key_b", F.size(F.array_intersect("own_a", "own_b")).cast("bigint").alias("shared")).filter(F.col("shared") >= least)
 
 
 def without_near(candidates: DataFrame, earlier: DataFrame, group: str, key: str, items: str, time: str, least: int, window: int) -> DataFrame:

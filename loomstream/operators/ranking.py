@@ -1,12 +1,14 @@
 """Ranked streams: candidates, score times time, duplicates out, diversified - for all users at once.
 
-Order-dependent passes run per stream in applyInPandas on at most `3 k` candidates, after window limits that Spark
-pushes below the shuffle.
+Order-dependent passes run per stream on at most `3 k` candidates, after window limits that Spark pushes below the
+shuffle; each partition is read in order of streams, one stream's few rows at a time.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,15 +35,49 @@ def latest_engagement(engagement: Column, site: str) -> Column:
                        lambda a, e: F.when(a.isNull() | (a["create_time"] < e["create_time"]), e).otherwise(a))
 
 
-def _dedupe(pdf: pd.DataFrame, window: int, least: int) -> pd.DataFrame:
+def _each_stream(rows: DataFrame, work: Callable[[list[dict]], list[dict]], ddl: str) -> DataFrame:
+    """work() on the rows of each stream, best score first; streams are bounded by the limits before."""
+    ship(rows.sparkSession)
+    names = [x.split()[0] for x in ddl.split(", ")]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        out: list[dict] = []
+
+        def batch() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in out], schema=kinds)
+            out.clear()
+            return made
+
+        for b in it:
+            for r in b.to_pylist():
+                if held and held[-1]["stream"] != r["stream"]:
+                    out.extend(work(held))
+                    held = []
+                held.append(r)
+            if len(out) > 5_000:
+                yield batch()
+        if held:
+            out.extend(work(held))
+        if out:
+            yield batch()
+
+    kinds = pa.schema([pa.field(x.split()[0], _ARROW[x.split()[1]]) for x in ddl.split(", ")])
+    return rows.repartition("stream").sortWithinPartitions("stream", F.desc("score"), "url_id").mapInArrow(run, ddl)
+
+
+_ARROW = {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "int": pa.int32()}
+
+
+def _dedupe(rows: list[dict], window: int, least: int) -> list[dict]:
     kept: list[dict] = []
-    for r in pdf.sort_values(["score", "url_id"], ascending=[False, True]).to_dict("records"):
-        stems = set(r["stems"]) if r["stems"] is not None else set()
+    for r in rows:
+        stems = set(r["stems"] or ())
         r |= {"_s": stems, "hot_count": 0, "oldest": r["time"]}
         for i, o in enumerate(kept):
             if abs(o["time"] - r["time"]) <= window and len(o["_s"] & stems) >= least:
                 worth, other = r["share_score"], o["share_score"]
-                if other is None or pd.isna(other) or (worth is not None and not pd.isna(worth) and worth > other):
+                if other is None or (worth is not None and worth > other):
                     r["hot_count"], r["oldest"] = 1, min(r["time"], o["time"])
                     kept[i] = r
                 else:
@@ -50,9 +86,9 @@ def _dedupe(pdf: pd.DataFrame, window: int, least: int) -> pd.DataFrame:
                 break
         else:
             kept.append(r)
-    out = pd.DataFrame(kept)
-    out["hot_count"] = [h + 1 if h else 0 for h in out["hot_count"]]
-    return out
+    for r in kept:
+        r["hot_count"] += 1 if r["hot_count"] else 0
+    return kept
 
 
 def dedupe_streams(rows: DataFrame, window: int = 30 * HOUR, least: int = 2) -> DataFrame:
@@ -60,14 +96,8 @@ def dedupe_streams(rows: DataFrame, window: int = 30 * HOUR, least: int = 2) ->
     `least` stems within the window; of the two the one of higher share score stays (the newcomer when the kept one
     has none). hot_count is how many rows a row stands for (0 for one), oldest the earliest time among them.
     """
-    ship(rows.sparkSession)
-    cols = ["stream", "url_id", "score", "time", "share_score"]
-    ddl = f"stream {dict(rows.dtypes)['stream']}, url_id string, score double, time bigint, share_score double, hot_count int, oldest bigint"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _dedupe(pdf, window, least)[[*cols, "hot_count", "oldest"]]
-
-    return rows.select(*cols, "stems").groupBy("stream").applyInPandas(run, ddl)
+    cols = ["stream", "url_id", "score", "time", "share_score", "stems"]
+    return _each_stream(rows.select(*cols), lambda x: _dedupe(x, window, least), "stream string, url_id string, score double, time bigint, share_score double, hot_count int, oldest bigint")
 
 
 def difference(a: dict, b: dict) -> int:
@@ -93,35 +123,31 @@ def diversified(items: list[dict], ahead: int = 8, behind: int = 3) -> list[int]
     return chosen
 
 
-def diversify_streams(rows: DataFrame, ahead: int = 8, behind: int = 3) -> DataFrame:
-    """(stream, url_id, score, position): rows need keywords, stems, features (arrays) and domain."""
-    ship(rows.sparkSession)
-    ddl = f"stream {dict(rows.dtypes)['stream']}, url_id string, score double, position int"
+def _diversify(rows: list[dict], ahead: int, behind: int) -> list[dict]:
+    items = [{"k": set(r["keywords"] or ()), "s": set(r["stems"] or ()), "f": set(r["features"] or ()), "d": r["domain"]} for r in rows]
+    return [rows[i] | {"position": at} for at, i in enumerate(diversified(items, ahead, behind))]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "url_id"], ascending=[False, True]).reset_index(drop=True)
-        bag = lambda x: set(x) if x is not None else set()
-        items = [{"k": bag(k), "s": bag(s), "f": bag(f), "d": d} for k, s, f, d in zip(pdf["keywords"], pdf["stems"], pdf["features"], pdf["domain"], strict=True)]
-        order = diversified(items, ahead, behind)
-        out = pdf.loc[order, ["stream", "url_id", "score"]].reset_index(drop=True)
-        return out.assign(position=range(len(out)))
 
-    return rows.select("stream", "url_id", "score", "keywords", "stems", "features", "domain").groupBy("stream").applyInPandas(run, ddl)
+def diversify_streams(rows: DataFrame, ahead: int = 8, behind: int = 3) -> DataFrame:
+    """(stream, url_id, score, position): rows need keywords, stems, features (arrays) and domain."""
+    cols = ["stream", "url_id", "score", "keywords", "stems", "features", "domain"]
+    return _each_stream(rows.select(*cols), lambda x: _diversify(x, ahead, behind), "stream string, url_id string, score double, position int")
 
 
-def ranked_streams(candidates: DataFrame, k: int) -> DataFrame:
+def ranked_streams(candidates: DataFrame, k: int, window: int = 30 * HOUR, least: int = 2) -> DataFrame:
     """(stream, url_id, score, hot_count, position): the k rows of each stream.
 
     candidates: stream, url_id, score, rank_score (score times time), time, stems, share_score, second_score,
     keywords, features, domain. Top 3 k by rank_score, duplicates out, top k + 5 by score (1 + second_score),
-    diversified, the first k.
+    diversified, the first k: one shuffle for the limit and one pass for the rest.
     """
-    top = top_per_group(candidates, ["stream"], [F.desc("rank_score"), F.asc("url_id")], 3 * k).drop("rank")
-    unique = dedupe_streams(top).select("stream", "url_id", "hot_count", "oldest")
-    left = top.join(unique, ["stream", "url_id"])
-    few = top_per_group(left, ["stream"], [F.desc(F.col("score") * (1 + F.coalesce("second_score", F.lit(0.5)))), F.asc("url_id")], k + 5).drop("rank")
-    placed = diversify_streams(few).filter(F.col("position") < k)
-    return placed.join(left.select("stream", "url_id", "hot_count"), ["stream", "url_id"])
+    top = top_per_group(candidates, ["stream"], [F.desc("rank_score"), F.asc("url_id")], 3 * k).drop("rank", "rank_score")
+
+    def work(rows: list[dict]) -> list[dict]:
+        few = sorted(_dedupe(rows, window, least), key=lambda r: (-r["score"] * (1 + (0.5 if r["second_score"] is None else r["second_score"])), r["url_id"]))[: k + 5]
+        return _diversify(sorted(few, key=lambda r: (-r["score"], r["url_id"])), 8, 3)[:k]
+
+    return _each_stream(top, work, "stream string, url_id string, score double, hot_count int, position int")
 
 
 def with_next_page(rows: DataFrame, k: int) -> DataFrame:

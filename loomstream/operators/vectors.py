@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstream.functions.text import STOP_WORDS
-from loomstream.session import ship
+from loomstream.operators.aggregates import order_statistic
+from loomstream.session import ship, written
 
 
 def tokens(c: Column) -> Column:
@@ -59,10 +60,9 @@ def centroids(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 def seed_threshold(df: DataFrame, score: str, share: float) -> DataFrame:
     """(threshold): the distinct score at rank floor(n (1 - share)) from the top, n the distinct scores."""
-    d = df.select(score).filter(F.col(score).isNotNull()).distinct()
-    w = Window.orderBy(F.desc(score))
-    ranked = d.withColumn("r", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
-    return ranked.filter(F.col("r") == F.least(F.floor(F.col("n") * F.lit(1 - share)), F.col("n") - 1)).select(F.col(score).alias("threshold"))
+    d = written(df.select(score).filter(F.col(score).isNotNull()).distinct(), "scores")
+    n = d.count()
+    return order_statistic(d, score, min(int(n * (1 - share) + 1e-9), n - 1), descending=True).select(F.col(score).alias("threshold")) if n else d.select(F.col(score).alias("threshold"))
 
 
 def piecewise(quantile: Column, boost: Column, low: Column, high: Column) -> Column:

@@ -257,16 +257,17 @@ def _candidates(s, d):
     follows = read.groupBy("user_id", "origin").agg(F.count("*").alias("n"))
     follows = A.top_per_group(follows, ["user_id"], [F.desc("n"), F.asc("origin")], 2).filter("n >= 2").drop("rank")  # a user's two favourite sites
     recent = A.top_per_group(a.filter("origin is not null"), ["origin"], [F.desc_nulls_last("published_time"), F.asc("url_id")], 60).drop("rank")
-    time = F.coalesce(F.col("published_time"), F.lit(0))
-    score = F.coalesce(F.array_max(F.transform("feature", lambda f: f["similarity"])), F.lit(0.0)) * 0.7 + F.least(F.col("n") / 10, F.lit(1.0)) * 0.3
-    age = (F.lit(1_480_000_000_000) - time) / R.HOUR
     fb, tw = R.latest_engagement(F.col("social_engagement"), "FACEBOOK"), R.latest_engagement(F.col("social_engagement"), "TWITTER")
-    return follows.join(recent, "origin").select(
-        F.col("user_id").alias("stream"), "url_id", F.round(score, 9).alias("score"), F.round(score * R.decay(age, 18.0, 24.0 * 365), 12).alias("rank_score"), time.alias("time"),
-        text.deduping_stems(F.col("title")).alias("stems"), fb["share_score"].alias("share_score"), tw["share_score"].alias("second_score"),
+    ready = recent.select(  # what depends on the article alone is made once, before it meets its readers
+        "origin", "url_id", F.coalesce("published_time", F.lit(0)).alias("time"), text.deduping_stems(F.col("title")).alias("stems"), fb["share_score"].alias("share_score"),
+        tw["share_score"].alias("second_score"), F.coalesce(F.array_max(F.transform("feature", lambda f: f["similarity"])), F.lit(0.0)).alias("best"),
         F.array_distinct(F.transform(F.filter("keyword", lambda k: k["strength"] > 30), lambda k: F.lower(k["keyword"]))).alias("keywords"),
         F.transform(V.kept_features(F.col("feature"), 0.0, 3), lambda f: f["feature_id"]).alias("features"), urls.domain(F.col("url")).alias("domain"),
     )
+    score = F.col("best") * 0.7 + F.least(F.col("n") / 10, F.lit(1.0)) * 0.3
+    age = (F.lit(1_480_000_000_000) - F.col("time")) / R.HOUR
+    out = follows.join(ready, "origin").withColumn("score", F.round(score, 9)).withColumn("rank_score", F.round(score * R.decay(age, 18.0, 24.0 * 365), 12))
+    return out.withColumnRenamed("user_id", "stream").drop("origin", "n", "best")
 
 
 @query()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -33,19 +34,26 @@ def recency_gate(stream: DataFrame, key: str, time: str, gap: int) -> DataFrame:
 
 
 def recency_gate_batch(df: DataFrame, key: str, time: str, gap: int) -> DataFrame:
-    """recency_gate() over a table: per key in order of time, carried by an aggregate over the sorted times."""
-    ship(df.sparkSession)
-    kind = dict(df.dtypes)[key]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, last = [], None
-        for t in pdf[time].dropna().astype("int64").sort_values():
-            if last is None or t - last >= gap:
-                out.append(t)
-                last = t
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(out), time: out})
+    """recency_gate() over a table: a key's times are read in order, one after the other, and never held together.
 
-    return df.filter(F.col(key).isNotNull()).select(key, time).groupBy(key).applyInPandas(run, f"{key} {kind}, {time} bigint")
+    Null keys and times have no rows; equal times count once.
+    """
+    ship(df.sparkSession)
+    rows = df.select(F.col(key).alias("k"), F.col(time).cast("bigint").alias("t")).filter("k is not null and t is not null").distinct()
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, None
+        for batch in it:
+            keys, times, keep = batch.column("k").to_pylist(), batch.column("t").to_pylist(), []
+            for k, t in zip(keys, times, strict=True):
+                go = k != at or last is None or t - last >= gap
+                if go:
+                    at, last = k, t
+                keep.append(go)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    out = rows.repartition("k").sortWithinPartitions("k", "t").mapInArrow(run, rows.schema)
+    return out.select(F.col("k").alias(key), F.col("t").alias(time))
 
 
 def running_count(stream: DataFrame, keys: list[str]) -> DataFrame:
