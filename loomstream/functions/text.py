@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,22 +41,32 @@ TITLE_NOISE = (
 STEM_LENGTH, MAX_KEYWORD, MAX_TITLE = 4, 50, 256
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body(c) with c computed once, however often the body names it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def scrub_keyword(c: Column) -> Column:
     """Without signs around it; a possessive ending goes and stops the scrubbing at the end."""
-    c = F.regexp_replace(F.trim(c), r"^[‘'“\"()\-.?:&,!*+/—%…\[\s]+", "")
-    possessive = c.rlike("[’']s$")
-    end = F.regexp_replace(c, r"[’'”\",;\-!?*)/$—″\]\s]+$", "")
-    end = F.when(end.endswith(".") & (F.regexp_count(end, F.lit(r"\.")) == 1), F.regexp_replace(end, r"\s*\.$", "")).otherwise(end)
-    return F.when(possessive, F.trim(F.regexp_replace(c, "[’']s$", ""))).otherwise(F.trim(F.regexp_replace(end, "-based$", "")))
+
+    def unsigned(x: Column) -> Column:
+        end = F.regexp_replace(x, r"[’'”\",;\-!?*)/$—″\]\s]+$", "")
+        one_dot = let(end, lambda e: F.when(e.endswith(".") & (F.regexp_count(e, F.lit(r"\.")) == 1), F.rtrim(F.substring(e, 1, F.length(e) - 1))).otherwise(e))
+        return F.when(x.rlike("[’']s$"), F.trim(F.regexp_replace(x, "[’']s$", ""))).otherwise(F.trim(F.regexp_replace(one_dot, "-based$", "")))
+
+    return let(F.regexp_replace(F.trim(c), r"^[‘'“\"()\-.?:&,!*+/—%…\[\s]+", ""), unsigned)
 
 
 def clean_keyword(c: Column) -> Column:
     """Scrubbed, cut at the first apostrophe, abbreviations without dots, capitalised, some spellings put right."""
-    c = F.trim(F.regexp_replace(scrub_keyword(c), "[’'].*$", ""))
-    fixed = F.when(c.rlike(r"^\p{Lu}"), c).otherwise(F.initcap(c))
-    for wrong, right in SPELLINGS:
-        fixed = F.regexp_replace(fixed, f"(?i){wrong}", right)
-    return F.when(c.rlike(r"^([A-Z]+\.){2,10}$"), F.translate(c, ".", "")).otherwise(fixed)
+
+    def spelled(x: Column) -> Column:
+        fixed = F.when(x.rlike(r"^\p{Lu}"), x).otherwise(F.initcap(x))
+        for wrong, right in SPELLINGS:
+            fixed = F.regexp_replace(fixed, f"(?i){wrong}", right)
+        return F.when(x.rlike(r"^([A-Z]+\.){2,10}$"), F.translate(x, ".", "")).otherwise(fixed)
+
+    return let(F.trim(F.regexp_replace(scrub_keyword(c), "[’'].*$", "")), spelled)
 
 
 def valid_keyword(c: Column) -> Column:
@@ -79,6 +91,10 @@ def clean_title(c: Column, rounds: int = 3) -> Column:
     for pattern in TITLE_NOISE:
         for _ in range(rounds if pattern.endswith("$") or pattern.startswith("^") else 1):
             c = F.regexp_replace(c, pattern, "")
+    return let(c, _fitted_title)
+
+
+def _fitted_title(c: Column) -> Column:
     c = F.when(F.length(c) > MAX_TITLE, F.concat(F.substring(c, 1, MAX_TITLE - 1), F.lit("…"))).otherwise(c)
     raised = F.array_join(F.transform(F.split(c, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000))), " ")
     return F.trim(F.when(c.rlike(r"^\p{Ll}"), raised).otherwise(c))

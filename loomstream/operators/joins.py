@@ -15,10 +15,13 @@ def domain_suffix_join(rows: DataFrame, url: str, sites: DataFrame, domains: lis
     """Each row with the site whose root or aka domain is the longest suffix of the URL's host.
 
     The suffixes of each distinct host are exploded and met by an equi-join with the sites' domains; `domains` are
-    string or array columns of sites. Rows without a site have nulls ('left') or go ('inner').
+    string or array columns of sites. Rows without a site have nulls ('left') or go ('inner'); columns of sites whose
+    names the rows have too are left out. A domain that several sites claim belongs to the one first by its other columns.
     """
     arrays = [F.coalesce(F.col(c), F.array().cast("array<string>")) if sites.schema[c].dataType.typeName() == "array" else F.array(F.col(c)) for c in domains]
-    known = sites.withColumn("__domain", F.explode(F.array_distinct(F.concat(*arrays)))).filter("__domain is not null").dropDuplicates(["__domain"])
+    extra = [c for c in sites.columns if c not in rows.columns]
+    known = sites.select(F.explode(F.array_distinct(F.concat(*arrays))).alias("__domain"), *extra).filter("__domain is not null")
+    known = first_wins(known, ["__domain"], [F.asc(c) for c in extra if not sites.schema[c].dataType.typeName() == "map"] or [F.asc("__domain")])
     hosts = rows.select(host(F.col(url)).alias("__host")).filter("__host is not null").distinct()
     tried = hosts.select("__host", F.posexplode(suffixes(F.col("__host"))).alias("__at", "__domain"))
     best = tried.join(known.select("__domain"), "__domain").groupBy("__host").agg(F.min_by("__domain", "__at").alias("__domain"))

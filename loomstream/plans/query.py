@@ -18,15 +18,16 @@ def _list(values: Any) -> list:
 def _resolve(df: DataFrame, path: str) -> tuple[str | None, str, T.DataType]:
     """(array column the path goes through or None, path, type of the value)."""
     at: T.DataType = df.schema
-    seen: list[str] = []
-    for i, part in enumerate(path.split(".")):
+    parts = path.split(".")
+    array = None
+    for i, part in enumerate(parts):
         if isinstance(at, T.ArrayType):
-            return ".".join(seen), ".".join(path.split(".")[i:]), at
+            array = i if array is None else array
+            at = at.elementType
         if not isinstance(at, T.StructType) or part not in at.fieldNames():
             raise ValueError(f"no such field: {path}")
         at = at[part].dataType
-        seen.append(part)
-    return None, path, at
+    return (None, path, at) if array is None else (".".join(parts[:array]), ".".join(parts[array:]), at)
 
 
 @dataclass(frozen=True)

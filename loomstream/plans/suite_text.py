@@ -149,8 +149,8 @@ def fn_word_prefix(s, d):
     return table(s, d, "part", "p_name").filter(text.starts_any_word(F.col("p_name"), "B")).distinct()
 
 
-@query(r"""SELECT doc_id, CASE WHEN regexp_matches(t, 'clash|erneut') OR regexp_matches(b, 'clash|erneut') THEN 0.0 ELSE greatest(CASE WHEN regexp_matches(t, 'divides|questions') THEN 1.0 ELSE 0 END, CASE WHEN regexp_matches(b, '(million|billion)') THEN 0.6 ELSE 0 END,
-    CASE WHEN regexp_matches(b, 'months? of negotiation') THEN 0.9 ELSE 0 END) END AS score FROM (SELECT doc_id, lower(coalesce(title, '')) AS t, lower(coalesce(text, '')) AS b FROM documents)""")
+@query(r"""SELECT doc_id, CAST(CASE WHEN regexp_matches(t, 'clash|erneut') OR regexp_matches(b, 'clash|erneut') THEN 0.0 ELSE greatest(CASE WHEN regexp_matches(t, 'divides|questions') THEN 1.0 ELSE 0 END, CASE WHEN regexp_matches(b, '(million|billion)') THEN 0.6 ELSE 0 END,
+    CASE WHEN regexp_matches(b, 'months? of negotiation') THEN 0.9 ELSE 0 END) END AS DOUBLE) AS score FROM (SELECT doc_id, lower(coalesce(title, '')) AS t, lower(coalesce(text, '')) AS b FROM documents)""")
 def vec_rule_score(s, d):
     x = text.rule_score(F.col("title"), F.col("text"), {"divides|questions": 1.0}, {"(million|billion)": 0.6, "months? of negotiation": 0.9}, ("clash|erneut",))
     return table(s, d, "documents", "doc_id", "title", "text").select("doc_id", x.alias("score"))
