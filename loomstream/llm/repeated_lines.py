@@ -76,7 +76,7 @@ def without_repeated_lines(df: DataFrame, source: str, doc: str, lines: str, min
 
     Rows without a source or document id are kept as they are; all other columns stay.
     """
-    gone = repeated_occurrences(df, source, doc, lines, min_support, salts).groupBy("doc").agg(F.collect_set("pos").alias("__gone"))
-    out = df.join(gone, F.col(doc) == F.col("doc"), "left")
+    gone = repeated_occurrences(df, source, doc, lines, min_support, salts).groupBy(F.col("source").alias("__source"), F.col("doc").alias("__doc")).agg(F.collect_set("pos").alias("__gone"))
+    out = df.join(gone, (df[doc] == gone["__doc"]) & (df[source] == gone["__source"]), "left")
     kept = F.filter(F.col(lines), lambda _, i: ~F.array_contains("__gone", i))
     return out.withColumn(lines, F.when(F.col("__gone").isNull() | F.col(source).isNull(), F.col(lines)).otherwise(kept)).select(*df.columns)
