@@ -42,9 +42,9 @@ def click_through(rows: DataFrame, keys: list[str], clicked: Column) -> DataFram
 
 
 def rated(rates: DataFrame, rate: str = "rate", name: str = "rating") -> DataFrame:
-    """Each row's rate as a quantile of all rows' rates; the distribution is one row next to the input."""
-    dist = rates.agg(distribution(F.col(rate)).alias("__d"))
-    return rates.join(F.broadcast(dist), F.lit(True)).withColumn(name, project_quantile(F.col("__d"), F.col(rate))).drop("__d")  # one row of 30 points
+    """Each row's rate as a quantile of all rows' rates; the distribution is a scalar subquery."""
+    dist = rates.agg(distribution(F.col(rate))).scalar()
+    return rates.withColumn("__d", dist).withColumn(name, project_quantile(F.col("__d"), F.col(rate))).drop("__d")
 
 
 def cumulative_buckets(rows: DataFrame, age: Column, ends: list[int], value: Column) -> DataFrame:
@@ -96,8 +96,7 @@ def separation(rows: DataFrame, flag: Column, output: Column) -> DataFrame:
 
 def band_accuracy(rows: DataFrame, good: Column, score: Column) -> DataFrame:
     """(good_upper, bad_lower, n): good rows in the upper half of the score range, bad ones in the lower, in quarters of it."""
-    w = rows.agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
-    x = rows.select(good.alias("g"), score.alias("s")).join(F.broadcast(w), F.lit(True))  # one row
+    x = rows.select(good.alias("g"), score.alias("s"), rows.agg(F.min(score)).scalar().alias("__lo"), rows.agg(F.max(score)).scalar().alias("__hi"))
     band = F.least(F.floor(F.try_divide(F.col("s") - F.col("__lo"), F.col("__hi") - F.col("__lo")) * 4), F.lit(3))
     return x.select("g", band.alias("b")).agg(F.count_if(F.col("g") & (F.col("b") >= 2)).alias("good_upper"), F.count_if(~F.col("g") & (F.col("b") < 2)).alias("bad_lower"), F.count("*").alias("n"))
 

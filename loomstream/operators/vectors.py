@@ -37,10 +37,10 @@ def tf_idf(counts: DataFrame, corpus: DataFrame, documents: int) -> DataFrame:
 
 def cosine_with(weights: DataFrame, key: str, seed: DataFrame) -> DataFrame:
     """(key, similarity) of each vector with one seed vector (word, weight); zero norms give 0."""
-    norm = seed.agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("ns"))
+    norm = seed.agg(F.sqrt(F.sum(F.col("weight") ** 2))).scalar()
     both = weights.join(seed.select("word", F.col("weight").alias("ws")), "word", "left")
     out = both.groupBy(key).agg(F.sum(F.col("weight") * F.coalesce("ws", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("weight") ** 2)).alias("n"))
-    out = out.join(F.broadcast(norm), F.lit(True))  # one row
+    out = out.withColumn("ns", norm)
     return out.select(key, F.coalesce(F.try_divide("dot", F.col("n") * F.col("ns")), F.lit(0.0)).alias("similarity"))
 
 

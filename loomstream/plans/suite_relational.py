@@ -144,17 +144,17 @@ def srt_prefix_first(s, d):
     p = table(s, d, "part", "p_partkey", "p_name").filter(F.lower("p_name").contains("b"))
     few = p.orderBy(F.when(F.lower("p_name").startswith("b"), 0).otherwise(1), "p_name", "p_partkey").limit(60)
     w = A.Window.orderBy(F.when(F.lower("p_name").startswith("b"), 0).otherwise(1), "p_name", "p_partkey")
-    return few.select("p_name", F.row_number().over(w).alias("rank"))
+    return few.select("p_name", F.row_number().over(w).cast("bigint").alias("rank"))
 
 
 @query("""SELECT url_id, rank FROM (SELECT url_id, row_number() OVER (ORDER BY pinned DESC, published_time DESC NULLS LAST, url_id) AS rank FROM (
     SELECT url_id, max(published_time) AS published_time, url_id = (SELECT min(url_id) FROM article) AS pinned FROM article GROUP BY url_id)) WHERE rank <= 51""")
 def srt_pinned_first_look_ahead(s, d):
     a = table(s, d, "article", "url_id", "published_time").groupBy("url_id").agg(F.max("published_time").alias("published_time"))
-    pin = a.agg(F.min("url_id").alias("pin"))
+    pin = a.agg(F.min("url_id")).scalar()
     o = [F.desc(F.col("url_id") == F.col("pin")), F.desc_nulls_last("published_time"), F.asc("url_id")]
-    few = a.join(F.broadcast(pin), F.lit(True)).orderBy(*o).limit(51)  # one row
-    return few.select("url_id", F.row_number().over(A.Window.orderBy(*o)).alias("rank"))
+    few = a.withColumn("pin", pin).orderBy(*o).limit(51)
+    return few.select("url_id", F.row_number().over(A.Window.orderBy(*o)).cast("bigint").alias("rank"))
 
 
 # ---------------------------------------------------------------- sets (U)
@@ -248,8 +248,7 @@ def jn_conflict_anti(s, d):
 @query("""SELECT DISTINCT user_id FROM user_action WHERE user_id NOT IN (SELECT user_id FROM user_action WHERE create_time >= (SELECT max(create_time) FROM user_action) - 64800000)""")
 def jn_recent_anti(s, d):
     a = table(s, d, "user_action", "user_id", "create_time")
-    newest = a.agg(F.max("create_time").alias("m"))
-    recent = a.join(F.broadcast(newest), F.col("create_time") >= F.col("m") - 64_800_000).select("user_id").distinct()  # one row
+    recent = a.filter(F.col("create_time") >= a.agg(F.max("create_time")).scalar() - 64_800_000).select("user_id").distinct()
     return a.select("user_id").distinct().join(recent, "user_id", "left_anti")
 
 

@@ -136,7 +136,7 @@ def fn_crawl_priority(s, d):
     return u.select("id", urls.crawl_priority(F.col("url"), F.col("url").rlike("/20[0-9]{2}/"), dates.date_from_url(F.col("url"), True), 1_420_070_400_000).alias("priority"))
 
 
-@query("""SELECT p_partkey, CASE WHEN a1 <> b1 THEN sign(a1 - b1) ELSE sign(a2 - b2) END AS cmp FROM (SELECT p_partkey, p_size // 10 AS a1, p_size % 10 AS a2, p_partkey % 5 AS b1, p_partkey % 7 AS b2 FROM part)""")
+@query("""SELECT p_partkey, CAST(CASE WHEN a1 <> b1 THEN sign(a1 - b1) ELSE sign(a2 - b2) END AS BIGINT) AS cmp FROM (SELECT p_partkey, p_size // 10 AS a1, p_size % 10 AS a2, p_partkey % 5 AS b1, p_partkey % 7 AS b2 FROM part)""")
 def fn_version_compare(s, d):
     p = table(s, d, "part", "p_partkey", "p_size")
     a = F.concat_ws(".", F.floor(F.col("p_size") / 10), F.col("p_size") % 10)
@@ -208,8 +208,8 @@ def vec_distribution(s, d):
     SELECT event_id, round(CASE WHEN hp IS NULL THEN 1.0 WHEN lp IS NULL THEN 0.0 WHEN hv = lv THEN lp ELSE lp + (x - lv) / (hv - lv) * (hp - lp) END, 6) AS quantile FROM b""")
 def vec_project_quantile(s, d):
     e = table(s, d, "events", "event_id", "value")
-    dist = e.agg(A.distribution(F.col("value")).alias("d"))
-    return e.join(F.broadcast(dist), F.lit(True)).select("event_id", F.round(A.project_quantile(F.col("d"), F.col("value")), 6).alias("quantile"))  # one row of 30 points
+    dist = e.agg(A.distribution(F.col("value"))).scalar()
+    return e.withColumn("d", dist).select("event_id", F.round(A.project_quantile(F.col("d"), F.col("value")), 6).alias("quantile"))
 
 
 @query("WITH x AS (SELECT DISTINCT value FROM events), r AS (SELECT value, row_number() OVER (ORDER BY value DESC) - 1 AS r, count(*) OVER () AS n FROM x) SELECT value AS threshold FROM r WHERE r = least(floor(n * 0.1), n - 1)")
