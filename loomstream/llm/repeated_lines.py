@@ -48,7 +48,7 @@ def repeated_occurrences(df: DataFrame, source: str, doc: str, lines: str, min_s
     hashed whole.
     """
     rows = line_rows(df, source, doc, lines)
-    return salted_join(rows.distinct(), _supported(rows, "line", min_support), ["source", "line"], salts=salts)
+    return salted_join(rows, _supported(rows, "line", min_support), ["source", "line"], salts=salts).distinct()
 
 
 def repeated_sequences(df: DataFrame, source: str, doc: str, lines: str, min_support: int = MIN_SUPPORT, max_length: int = 4, max_gap: int = 1, salts: int = SALTS) -> DataFrame:
