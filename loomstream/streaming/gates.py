@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -89,6 +90,6 @@ def run_to_end(df: DataFrame, name: str, mode: str) -> DataFrame:
     """Drive a stream over what its source holds now and return the result table."""
     from loomstream.session import shared_dir
 
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared_dir(df.sparkSession)}/{name}").trigger(availableNow=True).start()
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
