@@ -13,7 +13,7 @@ from loomstream.operators import ranking as R
 from loomstream.operators import vectors as V
 from loomstream.plans.query import Query
 from loomstream.plans.suite_relational import query
-from loomstream.session import shared_dir, table
+from loomstream.session import salted_join, shared_dir, table, written
 from loomstream.sources import readers, schemas, store
 from loomstream.streaming import gates
 
@@ -251,39 +251,50 @@ def vec_train_networks(s, d):
 # ---------------------------------------------------------------- ranking
 
 
-def _candidates(s, d):
-    a = J.first_wins(table(s, d, "article"), ["url_id"], [F.asc("crawl_time")])
-    read = table(s, d, "user_action", "user_id", "url_id", "action_type").filter("action_type = 'TAP_FROM_STREAM' and url_id is not null").join(a.select("url_id", "origin"), "url_id").filter("origin is not null")
-    follows = read.groupBy("user_id", "origin").agg(F.count("*").alias("n"))
-    follows = A.top_per_group(follows, ["user_id"], [F.desc("n"), F.asc("origin")], 2).filter("n >= 2").drop("rank")  # a user's two favourite sites
-    recent = A.top_per_group(a.filter("origin is not null"), ["origin"], [F.desc_nulls_last("published_time"), F.asc("url_id")], 60).drop("rank")
+#: Taps of a site from which on more don't count.
+_FULL = 10
+
+
+def _candidates(s, d, top):
+    """The best `top` articles by rank_score of each user, of all sites that they tapped, with what the operators need.
+
+    An article's rank_score depends on its site's count of taps alone (ten and more count alike), so the best of each
+    site are listed once per count; no user's best can be outside these lists.
+    """
+    a = J.first_wins(table(s, d, "article"), ["url_id"], [F.asc("crawl_time")]).filter("origin is not null")
     fb, tw = R.latest_engagement(F.col("social_engagement"), "FACEBOOK"), R.latest_engagement(F.col("social_engagement"), "TWITTER")
-    ready = recent.select(  # what depends on the article alone is made once, before it meets its readers
+    ready = written(a.select(  # what depends on the article alone is made once, before it meets its readers
         "origin", "url_id", F.coalesce("published_time", F.lit(0)).alias("time"), text.deduping_stems(F.col("title")).alias("stems"), fb["share_score"].alias("share_score"),
         tw["share_score"].alias("second_score"), F.coalesce(F.array_max(F.transform("feature", lambda f: f["similarity"])), F.lit(0.0)).alias("best"),
         F.array_distinct(F.transform(F.filter("keyword", lambda k: k["strength"] > 30), lambda k: F.lower(k["keyword"]))).alias("keywords"),
         F.transform(V.kept_features(F.col("feature"), 0.0, 3), lambda f: f["feature_id"]).alias("features"), urls.domain(F.col("url")).alias("domain"),
-    )
-    score = F.col("best") * 0.7 + F.least(F.col("n") / 10, F.lit(1.0)) * 0.3
+    ), "ready")
+    read = table(s, d, "user_action", "user_id", "url_id", "action_type").filter("action_type = 'TAP_FROM_STREAM' and url_id is not null").join(ready.select("url_id", "origin"), "url_id")
+    follows = read.groupBy(F.col("user_id").alias("stream"), "origin").agg(F.least(F.count("*"), F.lit(_FULL)).alias("n"))
+    score = F.col("best") * 0.7 + F.least(F.col("n") / _FULL, F.lit(1.0)) * 0.3
     age = (F.lit(1_480_000_000_000) - F.col("time")) / R.HOUR
-    out = follows.join(ready, "origin").withColumn("score", F.round(score, 9)).withColumn("rank_score", F.round(score * R.decay(age, 18.0, 24.0 * 365), 12))
-    return out.withColumnRenamed("user_id", "stream").drop("origin", "n", "best")
+    scored = ready.select("origin", "url_id", "time", "best", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(_FULL).cast("bigint"))).alias("n"))
+    scored = scored.withColumn("score", F.round(score, 9)).withColumn("rank_score", F.round(score * R.decay(age, 18.0, 24.0 * 365), 12))
+    order = [F.desc("rank_score"), F.asc("url_id")]
+    lists = A.top_per_group(scored, ["origin", "n"], order, top).groupBy("origin", "n").agg(F.collect_list(F.struct("url_id", "score", "rank_score")).alias("best"))
+    mine = salted_join(follows, lists, ["origin", "n"]).select("stream", F.inline("best"))
+    return A.top_per_group(mine, ["stream"], order, top).drop("rank").join(ready.drop("origin", "best"), "url_id")
 
 
 @query()
 def rank_streams(s, d):
     """The flagship: the ranked, unduplicated and diversified stream of every user at once."""
-    return R.ranked_streams(_candidates(s, d), 51)
+    return R.ranked_streams(_candidates(s, d, 153), 51)
 
 
 @query()
 def rank_deduped(s, d):
-    return R.dedupe_streams(A.top_per_group(_candidates(s, d), ["stream"], [F.desc("rank_score"), F.asc("url_id")], 153))
+    return R.dedupe_streams(_candidates(s, d, 153))
 
 
 @query()
 def rank_next_page(s, d):
-    return R.with_next_page(R.ranked_streams(_candidates(s, d), 21), 20)
+    return R.with_next_page(R.ranked_streams(_candidates(s, d, 63), 21), 20)
 
 
 @query("SELECT url_id, published_time, 1 / (1 + greatest(0, (1480000000000 - coalesce(published_time, 0)) / 3600000.0 - 18) / 36) AS decay FROM article")

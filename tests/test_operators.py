@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from loomstream.operators import joins as J
 from loomstream.operators import ranking as R
 from loomstream.operators import vectors as V
 from loomstream.operators.skewed import heavy_keys, key_profile
+from loomstream.plans import suite_text
 from loomstream.streaming import gates
 
 
@@ -135,6 +137,42 @@ def test_dedupe_and_diversify(spark):
     assert R.difference(items[0], items[1]) == 80
 
 
+def test_streams_take_all_sites_of_a_user(spark, small, tmp_path):
+    """Many sites with one tap and sites of over 153 articles, against every pair of user and article."""
+    a = J.first_wins(spark.read.parquet(f"{small}/article.parquet"), ["url_id"], [F.asc("crawl_time")]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    a = a.withColumn("published_time", F.col("published_time") - F.col("copy").cast("bigint") * 10**9).withColumn("url_id", F.concat("url_id", F.lit("-"), "copy"))
+    a = a.withColumn("origin", F.when(F.col("copy") > 0, "big").otherwise(F.concat(F.lit("site"), F.pmod(F.xxhash64("url_id"), F.lit(7))))).drop("copy")
+    a.write.parquet(f"{tmp_path}/article.parquet")
+    some = [r[0] for r in a.select("url_id").orderBy(F.xxhash64("url_id")).limit(60).collect()]
+    taps = [(f"u{i % 6}", u) for i, u in enumerate(some)] + [("u0", some[0])] * 11 + [("once", some[5]), ("none", None)]
+    acts = spark.createDataFrame([(u, x, "TAP_FROM_STREAM") for u, x in taps] + [("u9", some[1], "SCROLL_PAST")], "user_id string, url_id string, action_type string")
+    acts.write.parquet(f"{tmp_path}/user_action.parquet")
+
+    art = {r["url_id"]: r for r in a.select("url_id", "origin", "published_time", "feature").collect()}
+    n = {}
+    for u, x in taps:
+        if x:
+            n[u, art[x]["origin"]] = n.get((u, art[x]["origin"]), 0) + 1
+    want = {}
+    for (u, site), k in n.items():
+        for x, r in art.items():
+            if r["origin"] == site:
+                score = max([f["similarity"] for f in r["feature"] or []], default=0.0) * 0.7 + min(k / 10, 1.0) * 0.3
+                hours = (1_480_000_000_000 - (r["published_time"] or 0)) / 3_600_000
+                want.setdefault(u, []).append((round(score / (1 + max(0.0, hours - 18) / 8760), 12), x))
+    want = {u: sorted(v, key=lambda p: (-p[0], p[1]))[:153] for u, v in want.items()}
+    got = {}
+    for r in suite_text._candidates(spark, str(tmp_path), 153).collect():
+        got.setdefault(r["stream"], []).append((r["rank_score"], r["url_id"]))
+    assert {u: len(v) for u, v in got.items()} == {u: len(v) for u, v in want.items()} and max(map(len, want.values())) == 153
+    for u, v in want.items():
+        assert np.allclose(sorted(p[0] for p in got[u]), sorted(p[0] for p in v), atol=1e-9)
+        least = min(p[0] for p in v) + 1e-9
+        assert {p[1] for p in got[u] if p[0] > least} == {p[1] for p in v if p[0] > least}
+    streams = {r[0] for r in suite_text.rank_streams(spark, str(tmp_path)).select("stream").distinct().collect()}
+    assert streams == set(want) and "once" in streams
+
+
 def test_recency_gate_batch_equals_stream(spark, tmp_path):
     rnd = random.Random(4)
     data = [(f"u{rnd.randrange(5)}", rnd.randrange(1000)) for _ in range(300)] + [("u1", None), (None, 5)]
