@@ -6,7 +6,7 @@ on to the two children named by its values there, so that records of similarity
 and unlike records part quickly. After DEPTH levels, nodes that still hold more than `limit` records branch
 further, level by level, until they are small; small nodes are compared exhaustively with 128-bit sketches, and
 what comes near is checked against the full sets. Independent trees are repeated until pairs at the threshold
-are met with probability `recall`.
+are met with probability `recall` at the deepest level that any node really reached: every level loses some pairs.
 
 Skew: copies with equal sets are one representative from the start. Node sizes are counted with map-side partial
 sums, never by gathering a node; what is still heavy at MAX_DEPTH (records nearly equal everywhere) is cut into
@@ -29,20 +29,31 @@ from loomstream.llm.boilerplate import Labeller, train_labeller
 from loomstream.llm.words import batches, mix, runs, words
 from loomstream.session import ship, written
 
-COORDS, BITS, DEPTH, MAX_DEPTH, LIMIT = 64, 128, 3, 12, 100
+#: What is heavy at MAX_DEPTH is compared block against block, which misses nothing; deeper levels would need ever more trees.
+COORDS, BITS, DEPTH, MAX_DEPTH, LIMIT, MAX_TREES = 64, 128, 3, 5, 100, 1_000
 MAX_HEAVY = 2_000_000
-#: Sketch bits that must agree: a similarity of 0.3, four standard deviations under that of a pair at 1/2.
+#: Sketch bits that must agree: a similarity of 0.28, 2.9 standard deviations under that of a pair at 1/2 (0.2 % of such pairs are missed).
 SKETCH_AGREE = 0.64
 LARGE = 2_000  # sets beyond keep 32-bit members, others 22-bit ones in two bytes each
 _SETS = "id string, rid bigint, key bigint, n int, coords binary, s0 bigint, s1 bigint, members binary"
 
 
 def trees_for(recall: float, threshold: float, depth: int = DEPTH) -> int:
-    """Trees needed so that a pair at the threshold shares a leaf with probability `recall`."""
-    q = 1.0
-    for _ in range(depth):
-        q = 1 - (1 - threshold * q) ** 2
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - q)))
+    """Trees needed so that a pair at the threshold shares a leaf of this depth with probability `recall`.
+
+    All trees draw from the same COORDS values, so how many of these a pair shares is averaged over.
+    """
+    shared = [(math.comb(COORDS, k) * threshold**k * (1 - threshold) ** (COORDS - k), k / COORDS) for k in range(COORDS + 1)]
+    left = []
+    for p, s in shared:
+        q = 1.0
+        for _ in range(depth):
+            q = 1 - (1 - s * q) ** 2
+        left.append((p, 1 - q))
+    trees = 1
+    while sum(p * x**trees for p, x in left) > 1 - recall and trees < MAX_TREES:
+        trees += 1
+    return trees
 
 
 def shingle_sets(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,11 +178,11 @@ def _children(node: np.ndarray, row: np.ndarray, coords: np.ndarray) -> tuple[np
     return np.concatenate(kids), np.concatenate([row, row])
 
 
-def leaves(coords: np.ndarray, trees: int, heavy: np.ndarray, fresh: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(node, record) of the leaves reached; with `fresh`, only the children of those heavy nodes."""
+def leaves(coords: np.ndarray, trees: int, heavy: np.ndarray, fresh: np.ndarray | None = None, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(node, record) of the leaves reached in the trees from `first` on; with `fresh`, only the children of those heavy nodes."""
     n = len(coords)
-    node = np.repeat(mix(np.arange(trees, dtype=np.uint64) + np.uint64(77)), n)
-    row = np.tile(np.arange(n), trees)
+    node = np.repeat(mix(np.arange(first, trees, dtype=np.uint64) + np.uint64(77)), n)
+    row = np.tile(np.arange(n), trees - first)
     for _ in range(DEPTH):
         node, row = _children(node, row, coords)
     done: list[tuple[np.ndarray, np.ndarray]] = [(node, row)] if fresh is None else []
@@ -201,11 +212,11 @@ def _coords(batch: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column("coords").to_pylist()), "<u2").reshape(-1, COORDS)
 
 
-def _counter(trees: int, heavy, fresh):
+def _counter(first: int, trees: int, heavy, fresh):
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for a in range(0, batch.num_rows, 4_000):
-                node, _ = leaves(_coords(batch.slice(a, 4_000)), trees, heavy.value, None if fresh is None else fresh.value)
+                node, _ = leaves(_coords(batch.slice(a, 4_000)), trees, heavy.value, None if fresh is None else fresh.value, first)
                 nodes, n = np.unique(node, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(n, pa.int32())], names=["node", "n"])
 
@@ -300,23 +311,27 @@ def similar_pairs(sets: DataFrame, threshold: float, recall: float = 0.95, limit
     """(a, b, similarity) of the distinct sets (by key, a < b) at or above the threshold, written."""
     sc = sets.sparkSession.sparkContext
     reps = representatives(sets)
-    trees = trees_for(recall, threshold)
     none = np.zeros(0, np.uint64)
-    heavy, fresh, capped = none, None, (none, np.zeros(0, np.int64))
-    shared = sc.broadcast(none)
-    for depth in range(DEPTH, MAX_DEPTH + 1):
-        counted = reps.select("coords").mapInArrow(_counter(trees, shared, None if fresh is None else sc.broadcast(fresh)), "node bigint, n int")
-        sizes = written(counted.groupBy("node").agg(F.sum("n").cast("int").alias("n")).filter(F.col("n") > limit), "nodes")
-        while (many := sizes.filter(F.col("n") > limit).count()) + len(heavy) > MAX_HEAVY:
-            limit *= 2
-        if not many:
-            break
-        nodes, n = _collect_nodes(sizes.filter(F.col("n") > limit))
-        if depth == MAX_DEPTH:
-            capped = (nodes, -(-n // limit).astype(np.int64))
-            break
-        heavy, fresh = np.sort(np.concatenate([heavy, nodes])), nodes
-        shared = sc.broadcast(heavy)
+    heavy, capped = none, (none, np.zeros(0, np.int64))
+    trees, reached = 0, DEPTH
+    while (wanted := trees_for(recall, threshold, reached)) > trees:  # deeper nodes ask for more trees, whose own nodes may be deeper still
+        first, trees, fresh, shared = trees, wanted, None, sc.broadcast(none)
+        for depth in range(DEPTH, MAX_DEPTH + 1):
+            reached = max(reached, depth)
+            counted = reps.select("coords").mapInArrow(_counter(first, trees, shared, None if fresh is None else sc.broadcast(fresh)), "node bigint, n int")
+            sizes = written(counted.groupBy("node").agg(F.sum("n").cast("int").alias("n")).filter(F.col("n") > limit), "nodes")
+            while (many := sizes.filter(F.col("n") > limit).count()) + len(heavy) > MAX_HEAVY:
+                limit *= 2
+            if not many:
+                break
+            nodes, n = _collect_nodes(sizes.filter(F.col("n") > limit))
+            if depth == MAX_DEPTH:
+                order = np.argsort(both := np.concatenate([capped[0], nodes]))
+                capped = (both[order], np.concatenate([capped[1], -(-n // limit).astype(np.int64)])[order])
+                break
+            heavy, fresh = np.sort(np.concatenate([heavy, nodes])), nodes
+            shared = sc.broadcast(heavy)
+    shared = sc.broadcast(heavy)
     entries = reps.select("key", "coords", "s0", "s1").mapInArrow(_entries(trees, shared, sc.broadcast(capped)), "node bigint, key bigint, s0 bigint, s1 bigint")
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = entries.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(_compare, "a bigint, b bigint")

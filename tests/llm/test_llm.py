@@ -273,6 +273,20 @@ def test_near_duplicates_brute_force(spark, limit, monkeypatch):
     assert near_duplicates.record_pairs(sets.limit(0), 0.5).count() == 0
 
 
+def test_near_duplicates_of_deep_nodes(spark, monkeypatch):
+    """Groups so large that their nodes branch on for levels, all pairs just above the threshold."""
+    texts = {}
+    for g in range(12):
+        core = [f"g{g}c{i}" for i in range(212)]
+        texts |= {f"g{g}v{v}": " ".join(core + [f"g{g}v{v}w{i}" for i in range(100)]) for v in range(40)}
+    want = brute_pairs({k: v for k, v in texts.items() if k.startswith("g0v")}, 0.5)
+    assert len(want) == 40 * 39 // 2  # as in each other group
+    monkeypatch.setattr(near_duplicates.similar_pairs, "__defaults__", (0.95, 2))
+    pairs = near_duplicates.record_pairs(as_sets(spark, texts), 0.5).collect()
+    assert all(r["id_a"].split("v")[0] == r["id_b"].split("v")[0] for r in pairs)
+    assert 0.95 * 12 * len(want) <= len(pairs) <= 12 * len(want)
+
+
 def test_pack_and_components(spark):
     rng = np.random.default_rng(1)
     for n in (1, 5, 400, 2000, 2001, 9000):
