@@ -9,7 +9,8 @@ cut within a word stands out; long ones at ends of words.
 Where the record itself shows what follows - the words of the title in its URL, the sentence of the description
 in its body - that settles the value, and these settled values teach the model which final contexts are ends and
 set the thresholds; the rest go by the log-odds. To these is added how often values of this very length are cut at
-their source, which is where a field limit shows. Counts live in a hashed table of fixed size (CELLS cells).
+their source, which is where a field limit shows. Counts are a distributed table by the contexts' 64-bit hashes, to
+which each value's final contexts are joined, so that they are as exact at any size.
 """
 
 from __future__ import annotations
@@ -30,8 +31,6 @@ from loomstream.session import salted_join, ship, written
 
 LENGTHS = (3, 5, 7, 10, 14)
 EVERYWHERE = 5  # contexts up to this length are counted at all positions
-BITS = 19
-CELLS = len(LENGTHS) << BITS
 FIELDS = ("title", "description")
 PRIOR = 4.0
 _B, _BI = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -122,12 +121,12 @@ def observed(field: str, text: str, url: str | None, body: list[str] | None) ->
 
 
 def _contexts(total: np.ndarray, pos: np.ndarray, start: np.ndarray, field: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(cells of the LENGTHS[k] characters before each position, which positions have that many)."""
+    """(64-bit hashes of the LENGTHS[k] characters before each position, which positions have that many)."""
     n = LENGTHS[k]
     ok = pos - n >= start
     a = np.where(ok, pos - n, 0)
     h = mix((total[pos] - total[a]) * _powers(1 << max(12, int(len(total)).bit_length()), _BI)[a] + np.uint64(field * 2 + 1))
-    return (h & np.uint64((1 << BITS) - 1)).astype(np.int64) + (k << BITS), ok
+    return mix(h + np.uint64(k)).view(np.int64), ok
 
 
 def _prefix(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,8 +142,13 @@ def _letter() -> np.ndarray:
     return np.array([chr(i).isalnum() for i in range(0x3000)])
 
 
-def count_events(texts: list[str], field: int, outcome: list[bool | None], ends: np.ndarray, goes: np.ndarray) -> None:
-    """Add the events of some values to the cells; `outcome` as of observed()."""
+def _summed(context: np.ndarray, e: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    own, at = np.unique(context, return_inverse=True)
+    return own, np.bincount(at, e, len(own)).astype(np.int64), np.bincount(at, g, len(own)).astype(np.int64)
+
+
+def count_events(texts: list[str], field: int, outcome: list[bool | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, ends, goes) of the events of some values; `outcome` as of observed()."""
     cp, starts, total = _prefix(texts)
     n = np.diff(starts) - 1
     text_of = np.repeat(np.arange(len(texts)), n)
@@ -160,30 +164,41 @@ def count_events(texts: list[str], field: int, outcome: list[bool | None], ends:
     else:
         is_end = last & (state == 0)
     skip = last & (state == 2)  # what isn't settled teaches nothing about ends
+    parts = []
     for k, length in enumerate(LENGTHS):
         use = ~skip if length <= EVERYWHERE else ~skip & (~letter | last)
         p = pos[use]
-        cell, ok = _contexts(total, p, starts[text_of[use]], field, k)
-        e = is_end[use]
-        ends += np.bincount(cell[ok & e], minlength=CELLS).astype(np.int32)
-        goes += np.bincount(cell[ok & ~e], minlength=CELLS).astype(np.int32)
+        context, ok = _contexts(total, p, starts[text_of[use]], field, k)
+        e = is_end[use][ok]
+        parts.append(_summed(context[ok], e, ~e))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def final_contexts(texts: list[str], field: int) -> list[list[int | None]]:
+    """The contexts at the end of each value, one of each length; null where it is shorter."""
+    _, starts, total = _prefix(texts)
+    each = [_contexts(total, starts[1:] - 1, starts[:-1], field, k) for k in range(len(LENGTHS))]
+    return [[c if o else None for c, o in zip(cs, oks, strict=True)] for cs, oks in zip(np.stack([x[0] for x in each], 1).tolist(), np.stack([x[1] for x in each], 1).tolist(), strict=True)]
 
 
-def log_odds(texts: list[str], field: int, outcome: list[bool | None], ends: np.ndarray, goes: np.ndarray) -> np.ndarray:
-    """Log-odds that each value goes on after its last character rather than ends there.
+def log_odds(values: DataFrame, counts: DataFrame) -> DataFrame:
+    """(rid, score) of values (rid, seen, contexts): log-odds that each goes on after its last character rather than ends there.
 
-    A settled value's own event is left out of the counts it is judged by.
+    A settled value's own event is left out of the counts (context, e, g) it is judged by.
     """
-    own_end, own_go = np.array([o is False for o in outcome], int), np.array([o is True for o in outcome], int)
-    _, starts, total = _prefix(texts)
-    pos = starts[1:] - 1
-    p = np.full(len(texts), 0.02)
+    looked = values.select("rid", F.posexplode("contexts").alias("k", "context")).filter("context is not null")
+    wanted = counts.join(looked.select("context").distinct(), "context", "left_semi")
+    found = salted_join(looked, wanted, ["context"])
+    sums = [F.sum(F.when(F.col("k") == k, F.col(x))).alias(f"{x}{k}") for k in range(len(LENGTHS)) for x in ("e", "g")]
+    rows = values.select("rid", "seen").join(found.groupBy("rid").agg(*sums), "rid", "left").fillna(0, [f"{x}{k}" for k in range(len(LENGTHS)) for x in ("e", "g")])
+    p = F.lit(0.02)
     for k in range(len(LENGTHS)):
-        cell, ok = _contexts(total, pos, starts[:-1], field, k)
-        e, g = np.where(ok, np.maximum(ends[cell] - own_end, 0), 0), np.where(ok, np.maximum(goes[cell] - own_go, 0), 0)
-        p = (e + PRIOR * p) / (e + g + PRIOR)
-    p = np.clip(p, 1e-6, 1 - 1e-6)
-    return np.log(1 - p) - np.log(p)
+        rows = rows.withColumn("p", p)
+        e = F.greatest(F.col(f"e{k}") - F.coalesce((~F.col("seen")).cast("int"), F.lit(0)), F.lit(0))
+        g = F.greatest(F.col(f"g{k}") - F.coalesce(F.col("seen").cast("int"), F.lit(0)), F.lit(0))
+        p = (e + PRIOR * F.col("p")) / (e + g + PRIOR)
+    rows = rows.withColumn("p", p).withColumn("p", F.least(F.greatest("p", F.lit(1e-6)), F.lit(1 - 1e-6)))
+    return rows.select("rid", (F.log(1 - F.col("p")) - F.log("p")).alias("score"))
 
 
 def _values(batch: pa.RecordBatch, a: int, b: int, field: int) -> tuple[np.ndarray, list[str], list[bool | None]]:
@@ -202,41 +217,39 @@ def _pieces(batch: pa.RecordBatch):
 
 
 def _events(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ends, goes = np.zeros(CELLS, np.int32), np.zeros(CELLS, np.int32)
     for batch in it:
+        parts = []
         for a, b in _pieces(batch):
             for field in (0, 1):
                 _, texts, outcome = _values(batch, a, b, field)
                 if texts:
-                    count_events(texts, field, outcome, ends, goes)
-    cell = np.flatnonzero((ends > 0) | (goes > 0))
-    for a in range(0, len(cell), 100_000):
-        c = cell[a : a + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(ends[c]), pa.array(goes[c])], names=["cell", "e", "g"])
+                    parts.append(count_events(texts, field, outcome))
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))], names=["context", "e", "g"])
 
 
-_SCORES = "url_id string, origin string, field string, lang string, size int, score double, seen boolean, marked boolean, closed boolean"
+_VALUES = "rid bigint, url_id string, origin string, field string, lang string, size int, contexts array<bigint>, seen boolean, marked boolean, closed boolean"
 
 
-def _scorer(model):
-    def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends, goes = model.value
-        for batch in it:
-            ids, origins = batch.column("url_id"), batch.column("origin")
-            for a, b in _pieces(batch):
-                for field in (0, 1):
-                    rows, texts, outcome = _values(batch, a, b, field)
-                    if not texts:
-                        continue
-                    at = pa.array(rows)
-                    n = len(texts)
-                    cols = [
-                        ids.take(at), origins.take(at), pa.array([FIELDS[field]] * n), pa.array([language(t) for t in texts]), pa.array([len(t) for t in texts], pa.int32()), pa.array(log_odds(texts, field, outcome, ends, goes)),
-                        pa.array(outcome, pa.bool_()), pa.array([bool(_MARK.search(t)) for t in texts]), pa.array([bool(field and _ENDS.search(t)) for t in texts]),
-                    ]
-                    yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _SCORES.split(", ")])
+def _reader(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
 
-    return score
+    rid = TaskContext.get().partitionId() << 33
+    for batch in it:
+        ids, origins = batch.column("url_id"), batch.column("origin")
+        for a, b in _pieces(batch):
+            for field in (0, 1):
+                rows, texts, outcome = _values(batch, a, b, field)
+                if not texts:
+                    continue
+                at = pa.array(rows)
+                n = len(texts)
+                cols = [
+                    pa.array(rid + np.arange(n)), ids.take(at), origins.take(at), pa.array([FIELDS[field]] * n), pa.array([language(t) for t in texts]), pa.array([len(t) for t in texts], pa.int32()),
+                    pa.array(final_contexts(texts, field), pa.list_(pa.int64())), pa.array(outcome, pa.bool_()), pa.array([bool(_MARK.search(t)) for t in texts]), pa.array([bool(field and _ENDS.search(t)) for t in texts]),
+                ]
+                rid += n
+                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _VALUES.split(", ")])
 
 
 def _thresholds(bins: pd.DataFrame) -> dict[tuple[str, str, bool], float]:
@@ -262,7 +275,7 @@ def _thresholds(bins: pd.DataFrame) -> dict[tuple[str, str, bool], float]:
 
 
 def judged_values(articles: DataFrame) -> DataFrame:
-    """(url_id, origin, field, lang, score, seen, marked, cut) of every non-blank title and description.
+    """(url_id, origin, field, lang, score, seen, marked, by_odds, cut) of every non-blank title and description; by_odds is the log-odds' own verdict.
 
     One row per value and delivery of the record. Null and blank values have none; very long values are counted
     whole.
@@ -270,13 +283,9 @@ def judged_values(articles: DataFrame) -> DataFrame:
     spark = articles.sparkSession
     ship(spark)
     cols = articles.select("url_id", "origin", "url", "title", "description", "paragraph")
-    counts = cols.mapInArrow(_events, "cell int, e int, g int").groupBy("cell").agg(F.sum("e").cast("int").alias("e"), F.sum("g").cast("int").alias("g"))
-    got = counts.toArrow()
-    ends, goes = np.zeros(CELLS, np.int32), np.zeros(CELLS, np.int32)
-    cell = got.column("cell").to_numpy()
-    ends[cell], goes[cell] = got.column("e").to_numpy(), got.column("g").to_numpy()
-    model = spark.sparkContext.broadcast((ends, goes))
-    scored = written(cols.mapInArrow(_scorer(model), _SCORES), "scores").withColumn("site", F.coalesce("origin", F.lit("")))
+    counts = cols.mapInArrow(_events, "context bigint, e bigint, g bigint").groupBy("context").agg(F.sum("e").alias("e"), F.sum("g").alias("g"))
+    values = written(cols.mapInArrow(_reader, _VALUES), "values")
+    scored = written(values.drop("contexts").join(log_odds(values, counts), "rid").drop("rid"), "scores").withColumn("site", F.coalesce("origin", F.lit("")))
     open_ = scored.filter("seen is not null and not closed")
     kinds = [F.count_if("seen").alias("cut_n"), F.count_if(~F.col("seen")).alias("whole_n")]
     rate = {r["field"]: (r["cut_n"] + 1) / (r["whole_n"] + 1) for r in open_.groupBy("field").agg(*kinds).collect()}
@@ -299,7 +308,7 @@ def judged_values(articles: DataFrame) -> DataFrame:
                 if (f, m) == (field, marked) and lang:
                     limit = F.when(F.col("lang") == lang, F.lit(t)).otherwise(limit)
             cut = F.when((F.col("field") == field) & (F.col("marked") == marked), F.col("score") >= limit).otherwise(cut)
-    return scored.withColumn("cut", F.coalesce("seen", cut))
+    return scored.withColumn("by_odds", cut).withColumn("cut", F.coalesce("seen", "by_odds"))
 
 
 def cut_values(articles: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 import unicodedata
 
@@ -118,6 +119,31 @@ def test_truncation(spark):
     assert truncation.cut_values(df.limit(0)).count() == 0
 
 
+def test_contexts_are_counted_exactly(spark):
+    """Counts of every context as by plain slices, however many there are."""
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(60)).strip() + "x" for _ in range(16_000)]
+    outcome = [rnd.choice([True, False, None]) for _ in texts]
+    context, e, g = truncation.count_events(texts, 0, outcome)
+    want = {}
+    for t, o in zip(texts, outcome, strict=True):
+        for n in truncation.LENGTHS:
+            for at in range(n, len(t) + 1):
+                last = at == len(t)
+                if (n > truncation.EVERYWHERE and not last and t[at].isalnum()) or (last and o is None):
+                    continue
+                k = want.setdefault((n, t[at - n : at]), [0, 0])
+                k[0 if last and o is False else 1] += 1
+    assert len(context) == len(want) > 1 << 20
+    assert sorted(zip(e.tolist(), g.tolist(), strict=True)) == sorted(map(tuple, want.values()))
+    one = spark.createDataFrame([(7, False, truncation.final_contexts(texts[:1], 0)[0])], "rid bigint, seen boolean, contexts array<bigint>")
+    counts = spark.createDataFrame([(c, 3, 1) for c in one.first()["contexts"]], "context bigint, e bigint, g bigint")
+    p = 0.02
+    for _ in truncation.LENGTHS:
+        p = (2 + truncation.PRIOR * p) / (3 + truncation.PRIOR)
+    assert abs(truncation.log_odds(one, counts).first()["score"] - math.log((1 - p) / p)) < 1e-9
+
+
 def test_observed():
     assert truncation.title_goes_on("Why Łark thinks", "http://a/2014/01/why-lark-thinks-it-is-bold-77") is True
     assert truncation.title_goes_on("Why Łark thinks it is bold...", "http://a/2014/01/why-lark-thinks-it-is-bold-77") is False
