@@ -2,8 +2,8 @@
 
 A document is the sequence of its lines; two lines are equal when their letters are (case, digits, spacing,
 punctuation and other signs don't count). Level 1 of PrefixSpan counts, per source, the distinct documents of
-each line. Level k extends every frequent sequence by a later line of the same projected document (infrequent
-lines are dropped from it, `max_gap` bounds the step) and counts again. Every item of a frequent sequence is
+each line. Level k extends every frequent sequence by the next line of the same projected document (infrequent
+lines are dropped from it, `max_gap` lets the next line stand further on) and counts again, until none is frequent. Every item of a frequent sequence is
 itself frequent, so what is deleted - all occurrences of frequent sequences, single lines included - is exactly
 the set of occurrences of level 1; the longer sequences name the blocks that travel together.
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstream.session import salted_join
+from loomstream.session import salted_join, written
 
 MIN_SUPPORT = 5
 SALTS = 8
@@ -51,21 +51,28 @@ def repeated_occurrences(df: DataFrame, source: str, doc: str, lines: str, min_s
     return salted_join(rows, _supported(rows, "line", min_support), ["source", "line"], salts=salts).distinct()
 
 
-def repeated_sequences(df: DataFrame, source: str, doc: str, lines: str, min_support: int = MIN_SUPPORT, max_length: int = 4, max_gap: int = 1, salts: int = SALTS) -> DataFrame:
+def repeated_sequences(df: DataFrame, source: str, doc: str, lines: str, min_support: int = MIN_SUPPORT, max_length: int | None = None, max_gap: int = 1, salts: int = SALTS) -> DataFrame:
     """Frequent line sequences per source: (source, length, sequence, support).
 
     `sequence` is an identifier chained over its lines. `max_gap` is how many places further the next line may
-    stand in the projected document. Lengths run from 1 to max_length.
+    stand in the projected document: with 1, the sequences are the runs of lines that travel together as a block.
+    Lengths run from 1 until no sequence is frequent (or to max_length).
     """
     first = repeated_occurrences(df, source, doc, lines, min_support, salts)
     found = first.select("source", F.lit(1).alias("length"), F.col("line").alias("sequence"), "support").distinct()
     seqs = first.groupBy("source", "doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("seq"))
     state = seqs.select("source", "doc", "seq", F.posexplode("seq").alias("at", "sequence"))
-    for length in range(2, max_length + 1):
+    state = written(state, "projected")
+    length = 1
+    while max_length is None or length < max_length:
+        length += 1
         step = state.select("source", "doc", "seq", F.col("sequence").alias("prefix"), "at", F.explode(F.sequence(F.lit(1), F.lit(max_gap))).alias("step"))
         step = step.filter(F.col("at") + F.col("step") < F.size("seq")).withColumn("at", F.col("at") + F.col("step"))
         grown = step.withColumn("sequence", F.xxhash64("prefix", F.get("seq", F.col("at")))).select("source", "doc", "seq", "sequence", "at").distinct()
-        frequent = _supported(grown, "sequence", min_support)
+        grown = written(grown, "grown")
+        frequent = written(_supported(grown, "sequence", min_support), "frequent")
+        if frequent.isEmpty():
+            break
         found = found.unionByName(frequent.select("source", F.lit(length).alias("length"), "sequence", "support"))
         state = salted_join(grown, frequent.drop("support"), ["source", "sequence"], salts=salts)
     return found

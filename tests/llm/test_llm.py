@@ -91,6 +91,14 @@ def test_repeated_sequences_brute_force(spark):
     assert {r["length"]: r["count"] for r in got} == want
 
 
+def test_repeated_sequences_of_any_length(spark):
+    block = [f"line {'abcdefghijk'[i]}" for i in range(9)]
+    docs = [(f"d{i}", "A", block + [f"own {'xyzuvw'[i]}"]) for i in range(6)] + [("e", "A", block[:3]), ("f", None, block)]
+    df = spark.createDataFrame(docs, "d string, s string, l array<string>")
+    got = repeated_lines.repeated_sequences(df, "s", "d", "l").groupBy("length").agg(F.count("*"), F.max("support")).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == {n: (10 - n, 7 if n <= 3 else 6) for n in range(1, 10)}
+
+
 # ---------------------------------------------------------------- 2
 
 
