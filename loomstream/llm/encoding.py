@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -176,13 +175,6 @@ def _best(word: str, m: dict[int, str]) -> str:
     return new if cost(f" {new} ") < cost(f" {word} ") else word
 
 
-#: A cheap first look: any character, or pair, that makes the cost positive.
-_SUSPECT = re.compile(
-    "[^\x00-\x7f](?:(?<=[\u0080-\u009f�ªºıƒˆ˜¯¸¨´¤¦§¬¢¥µ¶±²³¹¼½¾×÷†‡‰√≈≠≥≤∂∏∑∫◊ΩͰ-ϿЀ-ԯ─-◿])"
-    "|(?<=[ÃÐ])(?![A-Z])|(?<=[ÂÅÄÎÏâãäåðïîë])[^\x00-\x7fà-öø-ÿ ]|(?<=[a-zà-öø-ÿ][À-ÖØ-ÞŠŽŸŁ])|(?<=[€£])[A-Za-z]"
-    "|(?<=[…—–»”])(?<![^\\s].)[a-z]|(?<=«)[a-z]|(?<=[a-zà-ÿ][·•«»‹›„‚“‘®©°™€£])[a-z]|(?<=[À-Þ][’‘“”„‚…–—]))",
-    re.S,
-)
 ACCEPT = 1.5
 
 
@@ -191,20 +183,12 @@ def garbled(texts: list[str]) -> list[tuple[int, str, float, float]]:
 
     A text counts when its cost is at least ACCEPT; what can't be restored is returned as it is.
     """
-    joined = "\n".join(t or "" for t in texts)
-    starts, at = [], 0
-    for t in texts:
-        starts.append(at)
-        at += len(t or "") + 1
-    out, last = [], -1
-    for m in _SUSPECT.finditer(joined):
-        i = bisect_right(starts, m.start()) - 1
-        if i == last or not texts[i]:
-            continue
-        last = i
-        fixed, before, after = repair(texts[i])
-        if before >= ACCEPT and (after < before or before >= 2):
-            out.append((i, fixed, before, after))
+    out = []
+    for i, text in enumerate(texts):
+        if text and not text.isascii() and cost(text) >= ACCEPT:
+            fixed, before, after = repair(text)
+            if after < before or before >= 2:
+                out.append((i, fixed, before, after))
     return out
 
 

@@ -166,6 +166,14 @@ def test_observed():
 CLEAN = ["Ñarünelburg — “quoted” text, 5 € and more", "Él dijo: ¿por qué?", "Größe über Straße", "À Łódź, l’été", "MANHÃ EM Lisboa", "plain ascii", "« Bonjour »", "Šiauliai", ""]
 
 
+def test_encoding_scores_every_value():
+    for c in "éáíóú":
+        text = f"Caf{c} de la ville"
+        bad = text.encode().decode("cp1250")
+        assert encoding.cost(bad) >= encoding.ACCEPT
+        assert [x[:2] for x in encoding.garbled(["plain", text, bad])] == [(2, text)], bad
+
+
 @pytest.mark.parametrize("read", ["latin-1", "cp1252", "mac_roman", "cp437", "cp850", "cp1251"])
 def test_encoding_round_trip(read):
     for t in CLEAN[:4]:
