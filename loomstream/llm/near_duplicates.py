@@ -1,17 +1,21 @@
 """Records that tell the same text with small edits: chosen-path set similarity join.
 
 A record is the set of its distinct three-word sequences. Every set is embedded in COORDS minwise values. A tree
-starts in one node per record; each node picks two coordinates by its own hash, and every record in the node goes
-on to the two children named by its values there, so that records of similarity 1/2 share one child on average
-and unlike records part quickly. After DEPTH levels, nodes that still hold more than `limit` records branch
-further, level by level, until they are small; small nodes are compared exhaustively with 128-bit sketches, and
-what comes near is checked against the full sets. Independent trees are repeated until pairs at the threshold
-are met with probability `recall` at the deepest level that any node really reached: every level loses some pairs.
+starts in one node per record; each node picks coordinates by its own hash, and every record in the node goes on to
+the children named by its values there, so that like records share a child and unlike ones part quickly. After DEPTH
+levels of two children, nodes that still hold more than `limit` records branch further, level by level and with three
+children, until they are small or MAX_DEPTH is reached. With three children a pair at 1/2 shares 1.5 children on
+average, so its chance to stay together does not fade with depth; the number of independent trees is that which
+meets pairs at the threshold with probability `recall` at MAX_DEPTH, wherever a node really ends. Small nodes are
+compared exhaustively with sketches of 128 bits, and what comes near is checked against the full sets.
 
 Skew: copies with equal sets are one representative from the start. Node sizes are counted with map-side partial
-sums, never by gathering a node; what is still heavy at MAX_DEPTH (records nearly equal everywhere) is cut into
-blocks that are compared block against block. The heavy nodes that the workers must know are at most
-MAX_HEAVY: beyond, `limit` is doubled.
+sums, never by gathering a node. Which nodes are heavy reaches the workers as an array of CELLS size classes by the
+nodes' hashes, of the same size at any scale: nodes that share a cell with a heavy one branch too, which loses
+nothing, as the trees are enough for MAX_DEPTH. A heavy node that does not shrink when it branches (records nearly
+equal everywhere), or is heavy at MAX_DEPTH, is cut into blocks of BLOCK records that are compared block against
+block, each pair of blocks in a task of its own. The pairs among different texts of such a group are links of the
+result, all of which are due: they are the only work that grows faster than the records.
 """
 
 from __future__ import annotations
@@ -29,26 +33,29 @@ from loomstream.llm.boilerplate import Labeller, train_labeller
 from loomstream.llm.words import batches, mix, runs, words
 from loomstream.session import ship, written
 
-#: What is heavy at MAX_DEPTH is compared block against block, which misses nothing; deeper levels would need ever more trees.
-COORDS, BITS, DEPTH, MAX_DEPTH, LIMIT, MAX_TREES = 64, 128, 3, 5, 100, 1_000
-MAX_HEAVY = 2_000_000
-#: Sketch bits that must agree: a similarity of 0.28, 2.9 standard deviations under that of a pair at 1/2 (0.2 % of such pairs are missed).
-SKETCH_AGREE = 0.64
-LARGE = 2_000  # sets beyond keep 32-bit members, others 22-bit ones in two bytes each
+COORDS, DEPTH, MAX_DEPTH, LIMIT, BLOCK, MAX_TREES = 64, 3, 6, 100, 1_000, 1_000
+#: Children of a node in the first DEPTH levels, and of heavy nodes below them.
+FEW, MANY = 2, 3
+CELLS = 1 << 22
+#: Four bits of each of HASHES minwise values; of a pair at 1/2 fewer than AGREE of them agree in 1 of 10,000 cases.
+HASHES, AGREE = 32, 7
+#: Bits of a three-word sequence's hash: two different ones of a pair of records are equal in 1 of 10^8 pairs of 1,000 each.
+MEMBER_BITS = 48
 _SETS = "id string, rid bigint, key bigint, n int, coords binary, s0 bigint, s1 bigint, members binary"
 
 
-def trees_for(recall: float, threshold: float, depth: int = DEPTH) -> int:
-    """Trees needed so that a pair at the threshold shares a leaf of this depth with probability `recall`.
+def trees_for(recall: float, threshold: float, depth: int | None = None) -> int:
+    """Trees needed so that a pair at the threshold shares a leaf of this depth (MAX_DEPTH) with probability `recall`.
 
     All trees draw from the same COORDS values, so how many of these a pair shares is averaged over.
     """
+    depth = MAX_DEPTH if depth is None else depth
     shared = [(math.comb(COORDS, k) * threshold**k * (1 - threshold) ** (COORDS - k), k / COORDS) for k in range(COORDS + 1)]
     left = []
     for p, s in shared:
         q = 1.0
-        for _ in range(depth):
-            q = 1 - (1 - s * q) ** 2
+        for level in range(depth, 0, -1):
+            q = 1 - (1 - s * q) ** (FEW if level <= DEPTH else MANY)
         left.append((p, 1 - q))
     trees = 1
     while sum(p * x**trees for p, x in left) > 1 - recall and trees < MAX_TREES:
@@ -57,54 +64,57 @@ def trees_for(recall: float, threshold: float, depth: int = DEPTH) -> int:
 
 
 def shingle_sets(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct three-word sequences of each text as sorted 32-bit values, one text after the other, and offsets."""
-    n = len(at) - 1
+    """Distinct three-word sequences of each text as sorted values of MEMBER_BITS, one text after the other, and offsets."""
+    n, most = len(at) - 1, (1 << (64 - MEMBER_BITS)) - 1
+    if n > most:  # the owner shares a word with the value
+        parts = [shingle_sets(h[at[a] : at[min(a + most, n)]], at[a : min(a + most, n) + 1] - at[a]) for a in range(0, n, most)]
+        firsts = np.cumsum([0, *(len(v) for v, _ in parts)])
+        return np.concatenate([v for v, _ in parts]), np.concatenate([*(o[:-1] + f for (_, o), f in zip(parts, firsts, strict=False)), firsts[-1:]])
     if len(h) < 3:
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
     owner = np.repeat(np.arange(n, dtype=np.uint64), np.diff(at))
-    g = mix(h[:-2] * np.uint64(3) + mix(h[1:-1] * np.uint64(5) + mix(h[2:]))) >> np.uint64(32)
-    both = np.unique(((owner[:-2] << np.uint64(32)) | g)[owner[:-2] == owner[2:]])
-    return both & np.uint64(0xFFFFFFFF), np.searchsorted(both >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
-
-
-def _seeds(n: int, salt: int) -> np.ndarray:
-    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt)) | np.uint64(1)
+    g = mix(h[:-2] * np.uint64(3) + mix(h[1:-1] * np.uint64(5) + mix(h[2:]))) >> np.uint64(64 - MEMBER_BITS)
+    both = np.unique(((owner[:-2] << np.uint64(MEMBER_BITS)) | g)[owner[:-2] == owner[2:]])
+    return both & np.uint64((1 << MEMBER_BITS) - 1), np.searchsorted(both >> np.uint64(MEMBER_BITS), np.arange(n + 1, dtype=np.uint64))
 
 
 def minwise(values: np.ndarray, at: np.ndarray, n: int, salt: int, step: int = 16) -> np.ndarray:
     """(texts, n) smallest hash of each non-empty set under n hash functions."""
     out = np.empty((len(at) - 1, n), np.uint32)
-    x = mix(values + np.uint64(salt))
-    a = _seeds(n, salt)
+    x = (mix(values + np.uint64(salt)) >> np.uint64(32)).astype(np.uint32)
+    a = (mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     for k in range(0, n, step):
-        hashed = ((x[:, None] * a[None, k : k + step]) >> np.uint64(32)).astype(np.uint32)
-        out[:, k : k + step] = np.minimum.reduceat(hashed, at[:-1], axis=0)
+        out[:, k : k + step] = np.minimum.reduceat(x[:, None] * a[None, k : k + step], at[:-1], axis=0)
     return out
 
 
+def sketch(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(texts, 2) words of four bits of each of HASHES minwise values."""
+    bits = (minwise(values, at, HASHES, 2) & np.uint32(15)).astype(np.uint64).reshape(len(at) - 1, 2, HASHES // 2)
+    return (bits << (np.arange(HASHES // 2, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64)
+
+
+def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of the HASHES values agree in each pair of sketches."""
+    d = x ^ y
+    d |= d >> np.uint64(1)
+    d |= d >> np.uint64(2)
+    return HASHES - np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(1, dtype=np.int64)
+
+
 def pack(members: np.ndarray) -> bytes:
-    """A sorted set of 32-bit values: above LARGE members as they are, else the upper 22 bits as two-byte gaps."""
-    if len(members) > LARGE:
-        return b"L" + members.astype("<u4").tobytes()
-    small = np.unique(members >> np.uint64(10)).astype(np.int64)
-    gaps = np.diff(small, prepend=0)
-    far, rest = np.divmod(gaps, 65535)
-    out = np.full(len(gaps) + int(far.sum()), 65535, "<u2")
-    out[np.cumsum(far + 1) - 1] = rest
-    return b"S" + out.tobytes()
+    return members.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : MEMBER_BITS // 8].tobytes()
 
 
-def unpack(data: bytes, coarse: bool) -> np.ndarray:
-    if data[:1] == b"L":
-        x = np.frombuffer(data, "<u4", offset=1)
-        return np.unique(x >> 10).astype(np.int64) if coarse else x.astype(np.int64)
-    gaps = np.frombuffer(data, "<u2", offset=1)
-    return np.cumsum(gaps.astype(np.int64))[gaps != 65535]
+def unpack(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, MEMBER_BITS // 8)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, : MEMBER_BITS // 8] = raw
+    return out.view("<u8")[:, 0]
 
 
 def similarity(a: bytes, b: bytes) -> float:
-    coarse = a[:1] == b"S" or b[:1] == b"S"
-    x, y = unpack(a, coarse), unpack(b, coarse)
+    x, y = unpack(a), unpack(b)
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / max(len(x) + len(y) - both, 1)
 
@@ -117,12 +127,11 @@ def set_columns(ids: pa.Array, rids: np.ndarray, h: np.ndarray, at: np.ndarray)
         return None
     bounds = np.r_[offs[keep], offs[-1]]  # empty sets take no room in between
     coords = (minwise(values, bounds, COORDS, 1) & np.uint32(0xFFFF)).astype("<u2")
-    bits = (minwise(values, bounds, BITS, 2) & np.uint32(1)).astype(np.uint64)
-    sketch = (bits.reshape(len(keep), 2, 64) << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
+    words_ = sketch(values, bounds).view(np.int64)
     key = np.bitwise_xor.reduceat(mix(values + np.uint64(99)), bounds[:-1]) ^ mix(np.diff(bounds).astype(np.uint64))
     cols = [
         ids.take(pa.array(keep)), pa.array(rids[keep], pa.int64()), pa.array(key.view(np.int64)), pa.array(np.diff(bounds), pa.int32()),
-        pa.array([c.tobytes() for c in coords], pa.binary()), pa.array(sketch[:, 0]), pa.array(sketch[:, 1]),
+        pa.array([c.tobytes() for c in coords], pa.binary()), pa.array(words_[:, 0]), pa.array(words_[:, 1]),
         pa.array([pack(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
     ]
     return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _SETS.split(", ")])
@@ -141,7 +150,7 @@ def _article_sets(model):
             heads = np.r_[0, np.cumsum(per_doc)]
             chars = np.r_[0, np.cumsum(pc.utf8_length(flat).fill_null(0).to_numpy(zero_copy_only=False))]
             titles, about = batch.column("title").to_pylist(), batch.column("description").to_pylist()
-            for a, b in batches(len(per_doc), np.diff(chars[heads])):
+            for a, b in batches(len(per_doc), np.diff(chars[heads]) + 40):
                 blocks = flat.slice(heads[a], heads[b] - heads[a]).to_pylist()
                 body = net.predict(blocks, per_doc[a:b], batch.column("origin").slice(a, b - a).to_pylist()) <= 0.5
                 local = heads[a : b + 1] - heads[a]
@@ -169,84 +178,130 @@ def article_sets(articles: DataFrame, clean: DataFrame, model: Labeller | None =
 # ---------------------------------------------------------------- the join
 
 
-def _children(node: np.ndarray, row: np.ndarray, coords: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two children of each (node, record) by two different coordinates that the node picks."""
+def children(node: np.ndarray, row: np.ndarray, coords: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n children of each (node, record) by n different coordinates that the node picks."""
     pick = mix(node + np.uint64(0xA5A5))
-    c1 = pick % np.uint64(COORDS)
-    c2 = (c1 + np.uint64(1) + (pick >> np.uint64(20)) % np.uint64(COORDS - 1)) % np.uint64(COORDS)
-    kids = [mix(node * np.uint64(3) + (c << np.uint64(16)) + coords[row, c.astype(np.int64)].astype(np.uint64) + np.uint64(1)) for c in (c1, c2)]
-    return np.concatenate(kids), np.concatenate([row, row])
+    step = (pick >> np.uint64(20)) | np.uint64(1)  # odd: coordinates differ
+    kids = []
+    for j in range(n):
+        c = (pick + np.uint64(j) * step) % np.uint64(COORDS)
+        kids.append(mix(node * np.uint64(3) + (c << np.uint64(16)) + coords[row, c.astype(np.int64)].astype(np.uint64) + np.uint64(1)))
+    return np.concatenate(kids), np.tile(row, n)
 
 
-def leaves(coords: np.ndarray, trees: int, heavy: np.ndarray, fresh: np.ndarray | None = None, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(node, record) of the leaves reached in the trees from `first` on; with `fresh`, only the children of those heavy nodes."""
+def first_nodes(coords: np.ndarray, trees: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, record) at level DEPTH of all trees."""
     n = len(coords)
-    node = np.repeat(mix(np.arange(first, trees, dtype=np.uint64) + np.uint64(77)), n)
-    row = np.tile(np.arange(n), trees - first)
+    node = np.repeat(mix(np.arange(trees, dtype=np.uint64) + np.uint64(77)), n)
+    row = np.tile(np.arange(n), trees)
     for _ in range(DEPTH):
-        node, row = _children(node, row, coords)
-    done: list[tuple[np.ndarray, np.ndarray]] = [(node, row)] if fresh is None else []
-    if len(heavy):
-        done = []
-        for _ in range(MAX_DEPTH - DEPTH + 1):
-            at = np.searchsorted(heavy, node)
-            full = heavy[np.minimum(at, len(heavy) - 1)] == node
-            if fresh is None:
-                done.append((node[~full], row[~full]))
-            if not full.any():
-                break
-            new = np.isin(node[full], fresh) if fresh is not None else None
-            parents, rows = node[full], row[full]
-            node, row = _children(parents, rows, coords)
-            if new is not None:
-                mask = np.concatenate([new, new])
-                done.append((node[mask], row[mask]))
-    if not done:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    node, row = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
-    order = np.unique(node ^ mix(row.astype(np.uint64)), return_index=True)[1]  # one entry per node and record
-    return node[order], row[order]
+        node, row = children(node, row, coords, FEW)
+    return node, row
+
+
+def _cell(node: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    return classes[(node & np.uint64(CELLS - 1)).astype(np.int64)]
 
 
 def _coords(batch: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column("coords").to_pylist()), "<u2").reshape(-1, COORDS)
 
 
-def _counter(first: int, trees: int, heavy, fresh):
+def _slices(it: Iterator[pa.RecordBatch], n: int = 4_000) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        for a in range(0, batch.num_rows, n):
+            yield batch.slice(a, n)
+
+
+_ENTRIES = "node bigint, key bigint, s0 bigint, s1 bigint, side tinyint"
+_OPEN = "node bigint, up tinyint, key bigint, s0 bigint, s1 bigint, coords binary"
+
+
+def _batch(ddl: str, *cols) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=[x.split()[0] for x in ddl.split(", ")])
+
+
+def _counter(trees: int):
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for a in range(0, batch.num_rows, 4_000):
-                node, _ = leaves(_coords(batch.slice(a, 4_000)), trees, heavy.value, None if fresh is None else fresh.value, first)
-                nodes, n = np.unique(node, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(n, pa.int32())], names=["node", "n"])
+        for b in _slices(it):
+            nodes, n = np.unique(first_nodes(_coords(b), trees)[0], return_counts=True)
+            yield _batch("node bigint, n bigint", nodes.view(np.int64), n)
 
     return count
 
 
-def _entries(trees: int, heavy, blocks):
-    """(node, key, s0, s1) of every leaf; nodes still heavy at the end come once per pair of blocks."""
+def _enter(trees: int, classes):
+    """Entries of the small nodes of level DEPTH."""
 
     def enter(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        capped, parts = blocks.value
-        for batch in it:
-            for a in range(0, batch.num_rows, 4_000):
-                b = batch.slice(a, 4_000)
-                node, row = leaves(_coords(b), trees, heavy.value)
-                key, s0, s1 = (b.column(c).to_numpy() for c in ("key", "s0", "s1"))
-                if len(capped):
-                    at = np.minimum(np.searchsorted(capped, node), len(capped) - 1)
-                    n = np.where(capped[at] == node, parts[at], 1)
-                    other, node, row, total = runs(n), np.repeat(node, n), np.repeat(row, n), np.repeat(n, n)
-                    mine = (mix(key[row].view(np.uint64) + np.uint64(5)) % total.astype(np.uint64)).astype(np.int64)
-                    low, high = np.minimum(mine, other), np.maximum(mine, other)
-                    node = np.where(total > 1, mix(node + (low * 1_000_003 + high + 1).astype(np.uint64)), node)
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(key[row]), pa.array(s0[row]), pa.array(s1[row])], names=["node", "key", "s0", "s1"])
+        for b in _slices(it):
+            node, row = first_nodes(_coords(b), trees)
+            small = _cell(node, classes.value) == 0
+            node, row = node[small], pa.array(row[small])
+            yield _batch(_ENTRIES, node.view(np.int64), *(b.column(c).take(row) for c in ("key", "s0", "s1")), np.zeros(len(node), np.int8))
 
     return enter
 
 
-def near_in_nodes(node: np.ndarray, key: np.ndarray, s: np.ndarray, agree: float = SKETCH_AGREE) -> np.ndarray:
-    """Pairs of keys whose sketches agree, within the runs of equal nodes (nodes in order)."""
+def _children_of(b: pa.RecordBatch, node: np.ndarray, row: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    kids, rows = children(node, row, _coords(b), MANY)
+    return _batch(_OPEN, kids.view(np.int64), np.tile(size.astype(np.int8), MANY), *(b.column(c).take(pa.array(rows)) for c in ("key", "s0", "s1", "coords")))
+
+
+def _open_first(trees: int, classes):
+    """Children of the heavy nodes of level DEPTH, each with the size class of its parent."""
+
+    def branch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(it):
+            node, row = first_nodes(_coords(b), trees)
+            size = _cell(node, classes.value)
+            if size.any():
+                yield _children_of(b, node[size > 0], row[size > 0], size[size > 0])
+
+    return branch
+
+
+def _stays(up: np.ndarray, size: np.ndarray, last: bool) -> np.ndarray:
+    """Heavy nodes that branch no further: at the last level, or not smaller than their parents."""
+    return (size > 0) & (last | (size >= up))
+
+
+def _branch(classes):
+    def branch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(it, 20_000):
+            node, up = b.column("node").to_numpy().view(np.uint64), b.column("up").to_numpy()
+            size = _cell(node, classes.value)
+            go = np.flatnonzero((size > 0) & ~_stays(up, size, False))
+            if len(go):
+                yield _children_of(b, node[go], go, size[go])
+
+    return branch
+
+
+def _settle(classes, last: bool, limit: int):
+    """Entries of the open nodes that are small, or cut into blocks: once per pair of blocks, with the side of the pair."""
+
+    def settle(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(it, 20_000):
+            node, up = b.column("node").to_numpy().view(np.uint64), b.column("up").to_numpy()
+            size = _cell(node, classes.value)
+            take = np.flatnonzero((size == 0) | _stays(up, size, last))
+            node, size = node[take], size[take].astype(np.int64)
+            parts = np.where(size > 0, -(-(limit << size) // BLOCK), 1)
+            row, node, total, other = np.repeat(take, parts), np.repeat(node, parts), np.repeat(parts, parts), runs(parts)
+            key = b.column("key").to_numpy()[row]
+            mine = (mix(key.view(np.uint64) + np.uint64(5)) % total.astype(np.uint64)).astype(np.int64)
+            low, high = np.minimum(mine, other), np.maximum(mine, other)
+            node = np.where(total > 1, mix(node + (low * 1_000_003 + high + 1).astype(np.uint64)), node)
+            side = np.where(low == high, 0, np.where(mine == low, 1, 2)).astype(np.int8)
+            at = pa.array(row)
+            yield _batch(_ENTRIES, node.view(np.int64), key, b.column("s0").take(at), b.column("s1").take(at), side)
+
+    return settle
+
+
+def near_in_nodes(node: np.ndarray, key: np.ndarray, s: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Pairs of keys whose sketches agree, within the runs of equal nodes (nodes in order); of two blocks only across."""
     cuts = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True])
     sizes = np.diff(cuts)
     found = []
@@ -257,8 +312,7 @@ def near_in_nodes(node: np.ndarray, key: np.ndarray, s: np.ndarray, agree: float
         for a in range(0, len(starts), step):
             x = (starts[a : a + step, None] + i).ravel()
             y = (starts[a : a + step, None] + j).ravel()
-            apart = np.bitwise_count(s[x] ^ s[y]).sum(1, dtype=np.int64)
-            ok = (apart <= BITS * (1 - agree)) & (key[x] != key[y])
+            ok = (agreeing(s[x], s[y]) >= AGREE) & (key[x] != key[y]) & ((side[x] == 0) | (side[x] != side[y]))
             found.append(np.stack([np.minimum(key[x[ok]], key[y[ok]]), np.maximum(key[x[ok]], key[y[ok]])], 1))
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
@@ -267,11 +321,11 @@ def _compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rest: list[np.ndarray] | None = None
 
     def emit(cols: list[np.ndarray]) -> pa.RecordBatch:
-        pairs = near_in_nodes(cols[0], cols[1], np.stack([cols[2].view(np.uint64), cols[3].view(np.uint64)], 1))
+        pairs = near_in_nodes(cols[0], cols[1], np.stack([cols[2].view(np.uint64), cols[3].view(np.uint64)], 1), cols[4])
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     for batch in it:
-        cols = [batch.column(c).to_numpy() for c in ("node", "key", "s0", "s1")]
+        cols = [batch.column(c).to_numpy() for c in ("node", "key", "s0", "s1", "side")]
         if rest is not None:
             cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
         if not len(cols[0]):
@@ -300,39 +354,35 @@ def representatives(sets: DataFrame) -> DataFrame:
     return written(sets.select("rid", "key", "coords", "s0", "s1").join(first, ["key", "rid"], "left_semi"), "representatives")
 
 
-def _collect_nodes(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    got = df.toArrow()
-    node, n = got.column("node").to_numpy().view(np.uint64), got.column("n").to_numpy()
-    order = np.argsort(node)
-    return node[order], n[order]
+def size_classes(counted: DataFrame, limit: int) -> np.ndarray:
+    """Of the nodes (node, n) in each of CELLS cells the largest size class: 0 up to `limit`, then one more for every doubling."""
+    sizes = counted.groupBy("node").agg(F.sum("n").alias("n")).filter(F.col("n") > limit)
+    size = F.ceil(F.log2(F.col("n") / limit)).cast("int")
+    got = sizes.groupBy(F.col("node").bitwiseAND(CELLS - 1).alias("cell")).agg(F.max(size).alias("size")).toArrow()  # at most CELLS rows
+    out = np.zeros(CELLS, np.uint8)
+    out[got.column("cell").to_numpy()] = got.column("size").to_numpy()
+    return out
 
 
 def similar_pairs(sets: DataFrame, threshold: float, recall: float = 0.95, limit: int = LIMIT) -> DataFrame:
     """(a, b, similarity) of the distinct sets (by key, a < b) at or above the threshold, written."""
     sc = sets.sparkSession.sparkContext
     reps = representatives(sets)
-    none = np.zeros(0, np.uint64)
-    heavy, capped = none, (none, np.zeros(0, np.int64))
-    trees, reached = 0, DEPTH
-    while (wanted := trees_for(recall, threshold, reached)) > trees:  # deeper nodes ask for more trees, whose own nodes may be deeper still
-        first, trees, fresh, shared = trees, wanted, None, sc.broadcast(none)
-        for depth in range(DEPTH, MAX_DEPTH + 1):
-            reached = max(reached, depth)
-            counted = reps.select("coords").mapInArrow(_counter(first, trees, shared, None if fresh is None else sc.broadcast(fresh)), "node bigint, n int")
-            sizes = written(counted.groupBy("node").agg(F.sum("n").cast("int").alias("n")).filter(F.col("n") > limit), "nodes")
-            while (many := sizes.filter(F.col("n") > limit).count()) + len(heavy) > MAX_HEAVY:
-                limit *= 2
-            if not many:
-                break
-            nodes, n = _collect_nodes(sizes.filter(F.col("n") > limit))
-            if depth == MAX_DEPTH:
-                order = np.argsort(both := np.concatenate([capped[0], nodes]))
-                capped = (both[order], np.concatenate([capped[1], -(-n // limit).astype(np.int64)])[order])
+    trees = trees_for(recall, threshold)
+    counted = reps.select("coords").mapInArrow(_counter(trees), "node bigint, n bigint")
+    classes = size_classes(counted, limit)
+    shared = sc.broadcast(classes)
+    rows = reps.select("key", "s0", "s1", "coords")
+    entries = rows.mapInArrow(_enter(trees, shared), _ENTRIES)
+    if classes.any():
+        open_ = written(rows.mapInArrow(_open_first(trees, shared), _OPEN), "open")
+        for depth in range(DEPTH + 1, MAX_DEPTH + 1):
+            classes = size_classes(open_.groupBy("node").agg(F.count("*").alias("n")), limit)
+            shared, last = sc.broadcast(classes), depth == MAX_DEPTH or not classes.any()
+            entries = entries.unionByName(open_.mapInArrow(_settle(shared, last, limit), _ENTRIES))
+            if last:
                 break
-            heavy, fresh = np.sort(np.concatenate([heavy, nodes])), nodes
-            shared = sc.broadcast(heavy)
-    shared = sc.broadcast(heavy)
-    entries = reps.select("key", "coords", "s0", "s1").mapInArrow(_entries(trees, shared, sc.broadcast(capped)), "node bigint, key bigint, s0 bigint, s1 bigint")
+            open_ = written(open_.mapInArrow(_branch(shared), _OPEN), "open")
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = entries.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(_compare, "a bigint, b bigint")
     near = written(near.distinct(), "candidates")
@@ -342,27 +392,36 @@ def similar_pairs(sets: DataFrame, threshold: float, recall: float = 0.95, limit
     return written(both.mapInArrow(_checker(threshold), "a bigint, b bigint, similarity double"), "pairs")
 
 
+def copy_pairs(owner: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(ia, ib), ia < ib: all records (key, id) of equal key; large groups block against block, each pair of blocks a key of its own."""
+    many = owner.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    parts = F.ceil(F.col("c") / block)
+    mine = owner.join(many, "key").select("key", "id", F.pmod(F.xxhash64("id"), parts).alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("other"))
+    mine = mine.select("key", "id", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    at = ["key", "low", "high"]
+    both = mine.withColumnsRenamed({"id": "ia", "own": "oa"}).join(mine.withColumnsRenamed({"id": "ib", "own": "ob"}), at)
+    return both.filter((F.col("ia") < F.col("ib")) & ((F.col("low") == F.col("high")) | (F.col("oa") != F.col("ob")))).select("ia", "ib")
+
+
 def record_pairs(sets: DataFrame, threshold: float, recall: float = 0.95) -> DataFrame:
     """(id_a, id_b, similarity), smaller id first: the pairs of sets spelled out for all records that have them.
 
     Records with equal sets are pairs of similarity 1. Records without any three-word sequence are in no pair; a
-    record delivered twice is one record.
+    record delivered twice is one record. record_groups() has the same links with one row a record.
     """
     pairs = similar_pairs(sets, threshold, recall)
     owner = sets.select("key", "id").distinct()
-    many = owner.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    copies = owner.join(many, "key")
     a, b = owner.select(F.col("key").alias("a"), F.col("id").alias("ia")), owner.select(F.col("key").alias("b"), F.col("id").alias("ib"))
     spelled = pairs.join(a, "a").join(b, "b").select("ia", "ib", "similarity")
-    same = copies.select("key", F.col("id").alias("ia")).join(copies.select("key", F.col("id").alias("ib")), "key").select("ia", "ib", F.lit(1.0).alias("similarity"))
-    out = spelled.unionByName(same.filter("ia < ib")).filter("ia <> ib")
+    out = spelled.unionByName(copy_pairs(owner).withColumn("similarity", F.lit(1.0))).filter("ia <> ib")
     return out.groupBy(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).agg(F.max("similarity").alias("similarity"))
 
 
-def components(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
+def components(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int = 200) -> DataFrame:
     """(node, root): connected components by alternating large-star and small-star steps; root is the smallest node.
 
-    Every step is a group-by and a join on written tables; a hub's neighbours are never gathered in one row.
+    The steps end when nothing changes, after about the logarithm of the longest path; that they don't within `rounds` is
+    an error. Every step is a group-by and a join on written tables; a hub's neighbours are never gathered in one row.
     """
     edges = written(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
     before = None
@@ -378,6 +437,8 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

@@ -299,15 +299,14 @@ def test_near_duplicates_brute_force(spark, limit, monkeypatch):
             texts[f"g{g}v{v}"] = " ".join(t)
     texts |= {f"copy{i}": texts["g0v0"] for i in range(8)} | {"empty": "", "two": "only two", "long": " ".join(rnd.choice(vocab) for _ in range(50_000))}
     if limit == 4:  # nodes are split and cut into blocks
-        monkeypatch.setattr(near_duplicates, "MAX_DEPTH", 5)
-        monkeypatch.setattr(near_duplicates, "LIMIT", 4)
+        monkeypatch.setattr(near_duplicates, "BLOCK", 3)
     sets = as_sets(spark, texts)
     sets = sets.unionByName(sets.limit(5).withColumn("rid", F.col("rid") + 10_000))  # delivered twice
     want = brute_pairs(texts, 0.5)
     monkeypatch.setattr(near_duplicates.similar_pairs, "__defaults__", (0.95, limit))
     got = {(r[0], r[1]): r[2] for r in near_duplicates.record_pairs(sets, 0.5).collect()}
     assert set(got) <= set(want) and len(got) >= 0.95 * len(want)
-    assert all(abs(got[k] - want[k]) < 0.01 for k in got)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
     groups = {r["id"]: (r["class_id"], r["group_id"], r["links"]) for r in near_duplicates.record_groups(sets, 0.5).collect()}
     assert len({groups[f"copy{i}"] for i in range(8)}) == 1 and groups["g0v0"][0] == min("copy0", "g0v0")
     for a, b in got:
@@ -329,15 +328,56 @@ def test_near_duplicates_of_deep_nodes(spark, monkeypatch):
     assert 0.95 * 12 * len(want) <= len(pairs) <= 12 * len(want)
 
 
+@pytest.mark.parametrize("depth", [3, 6, 10])
+def test_near_duplicates_recall_with_every_node_heavy(depth, monkeypatch):
+    """Pairs at exactly 1/2, all nodes branching on to `depth`: a shared leaf with the recall that the trees promise."""
+    monkeypatch.setattr(near_duplicates, "MAX_DEPTH", depth)
+    rng, met = np.random.default_rng(4), 0
+    trees = near_duplicates.trees_for(0.95, 0.5)
+    for _ in range(300):
+        pool = rng.integers(1, 1 << 48, 300, dtype=np.uint64)
+        both = [np.sort(np.r_[pool[:100], pool[100:150]]), np.sort(np.r_[pool[:100], pool[150:200]])]  # 100 of 200
+        coords = near_duplicates.minwise(np.concatenate(both), np.array([0, 150, 300]), near_duplicates.COORDS, 1) & np.uint32(0xFFFF)
+        node, row = near_duplicates.first_nodes(coords, trees)
+        for _ in range(depth - near_duplicates.DEPTH):
+            node, row = near_duplicates.children(node, row, coords, near_duplicates.MANY)
+            shared = np.intersect1d(node[row == 0], node[row == 1])  # the pair meets only below nodes it shares
+            keep = np.isin(node, shared)
+            node, row = node[keep], row[keep]
+        met += len(np.intersect1d(node[row == 0], node[row == 1])) > 0
+    assert met >= 0.93 * 300
+
+
+def test_sketches_keep_pairs_at_the_threshold():
+    rng, lost = np.random.default_rng(5), 0
+    for _ in range(40):
+        pool = rng.integers(1, 1 << 48, 200 * 50, dtype=np.uint64).reshape(50, 200)
+        flat, at = [], [0]
+        for p in pool:
+            for part in (p[:150], np.r_[p[:100], p[150:]]):
+                flat.append(np.sort(part))
+                at.append(at[-1] + 150)
+        s = near_duplicates.sketch(np.concatenate(flat), np.array(at))
+        lost += (near_duplicates.agreeing(s[::2], s[1::2]) < near_duplicates.AGREE).sum()
+        assert (near_duplicates.agreeing(s[::2], np.roll(s[1::2], 1, 0)) >= near_duplicates.AGREE).mean() < 0.1
+    assert lost <= 4  # of 2,000
+
+
+def test_copies_in_blocks(spark):
+    owner = spark.createDataFrame([(k, f"{k}-{i}") for k, n in ((1, 1), (2, 7), (3, 23)) for i in range(n)], "key bigint, id string")
+    got = sorted(tuple(r) for r in near_duplicates.copy_pairs(owner, 4).collect())
+    assert got == sorted(tuple(sorted(x)) for k, n in ((2, 7), (3, 23)) for x in itertools.combinations([f"{k}-{i}" for i in range(n)], 2))
+
+
 def test_pack_and_components(spark):
     rng = np.random.default_rng(1)
-    for n in (1, 5, 400, 2000, 2001, 9000):
-        x = np.unique(rng.integers(0, 1 << 32, n, dtype=np.uint64))
-        p = near_duplicates.pack(x)
-        fine = near_duplicates.unpack(p, len(x) <= near_duplicates.LARGE)
-        assert (fine == (np.unique(x >> np.uint64(10)) if len(x) <= near_duplicates.LARGE else x).astype(np.int64)).all()
-    sparse = np.array([0, 4_000_000_000], np.uint64)
-    assert (near_duplicates.unpack(near_duplicates.pack(sparse), True) == (sparse >> np.uint64(10)).astype(np.int64)).all()
+    for n in (1, 5, 400, 9000):
+        x = np.unique(rng.integers(0, 1 << near_duplicates.MEMBER_BITS, n, dtype=np.uint64))
+        assert (near_duplicates.unpack(near_duplicates.pack(x)) == x).all()
+    many = near_duplicates.shingle_sets(*words(["a b c d"] * 70_000 + [""])[:2])  # more texts than share a word with their values
+    assert len(many[0]) == 140_000 and len(many[1]) == 70_002 and (np.diff(many[1])[:-1] == 2).all()
+    with pytest.raises(RuntimeError):
+        near_duplicates.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint"), rounds=1)
     assert [near_duplicates.trees_for(r, 0.5) for r in (0.5, 0.95, 0.999)] == sorted(near_duplicates.trees_for(r, 0.5) for r in (0.5, 0.95, 0.999))
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (200, 200)]
     got = dict(near_duplicates.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect())
