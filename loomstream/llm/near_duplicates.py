@@ -39,6 +39,8 @@ FEW, MANY = 2, 3
 CELLS = 1 << 22
 #: Four bits of each of HASHES minwise values; of a pair at 1/2 fewer than AGREE of them agree in 1 of 10,000 cases.
 HASHES, AGREE = 32, 7
+#: Of the COORDS values a pair at 1/2 shares fewer than NEAR in 1 of 50,000 cases.
+NEAR = 16
 #: Bits of a three-word sequence's hash: two different ones of a pair of records are equal in 1 of 10^8 pairs of 1,000 each.
 MEMBER_BITS = 48
 _SETS = "id string, rid bigint, key bigint, n int, coords binary, s0 bigint, s1 bigint, members binary"
@@ -338,6 +340,34 @@ def _compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(rest)
 
 
+def _likely(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that share NEAR of the COORDS minwise values, so that few full sets have to be fetched in vain."""
+    for b in it:
+        ca, cb = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, COORDS) for c in ("ca", "cb"))
+        yield b.select(["a", "b"]).filter(pa.array((ca == cb).sum(1) >= NEAR, pa.bool_()))
+
+
+def marks(keys: DataFrame) -> np.ndarray:
+    """CELLS * 8 bits, set where a key's hash falls: of one size however many keys there are."""
+    word, bit = F.shiftright(F.col("key").bitwiseAND(CELLS * 8 - 1), 6), F.expr("shiftleft(1L, CAST(key & 63 AS INT))")
+    got = keys.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(CELLS // 8, np.uint64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _marked(bits):
+    """Rows whose key is marked: those that are wanted, and few others, before they are shuffled."""
+
+    def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            at = b.column("key").to_numpy().view(np.uint64) & np.uint64(CELLS * 8 - 1)
+            hit = bits.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)
+            yield b.filter(pa.array(hit.astype(bool)))
+
+    return keep
+
+
 def _checker(threshold: float):
     def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -385,10 +415,12 @@ def similar_pairs(sets: DataFrame, threshold: float, recall: float = 0.95, limit
             open_ = written(open_.mapInArrow(_branch(shared), _OPEN), "open")
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = entries.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(_compare, "a bigint, b bigint")
-    near = written(near.distinct(), "candidates")
+    coords = [reps.select(F.col("key").alias(k), F.col("coords").alias(f"c{k}")).hint("merge") for k in ("a", "b")]  # the same plan at any size
+    near = written(near.distinct().join(coords[0], "a").join(coords[1], "b").mapInArrow(_likely, "a bigint, b bigint"), "candidates")
     wanted = near.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    members = written(wanted.join(reps.select("key", "rid"), "key").join(sets.select("key", "rid", "members"), ["key", "rid"]).select("key", "members"), "members")
-    both = near.join(members.select(F.col("key").alias("a"), F.col("members").alias("ma")), "a").join(members.select(F.col("key").alias("b"), F.col("members").alias("mb")), "b")
+    first = sets.select("key", "rid", "members").mapInArrow(_marked(sc.broadcast(marks(wanted))), "key bigint, rid bigint, members binary")
+    members = written(wanted.join(first, "key").groupBy("key").agg(F.min_by("members", "rid").alias("members")), "members")
+    both = near.join(members.select(F.col("key").alias("a"), F.col("members").alias("ma")).hint("merge"), "a").join(members.select(F.col("key").alias("b"), F.col("members").alias("mb")).hint("merge"), "b")
     return written(both.mapInArrow(_checker(threshold), "a bigint, b bigint, similarity double"), "pairs")
 
 
