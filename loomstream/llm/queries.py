@@ -22,11 +22,11 @@ def p1_sequences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.cut_values(table(spark, d, "article"))
+    return truncation.cut_values(table(spark, d, "article"), table(spark, d, "documents", "doc_id", "text", "lang"))
 
 
 def p2_rates(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.cut_rates(table(spark, d, "article"))
+    return truncation.cut_rates(table(spark, d, "article"), table(spark, d, "documents", "doc_id", "text", "lang"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,16 +1,16 @@
 """Text cut off by field limits: a backward character n-gram model of where texts end.
 
-For every position of all titles and descriptions the model counts, by the characters before it, whether the
-text (or its sentence) ends there or goes on. A value's final context is then looked up from the shortest to the
-longest: each longer context refines the chance of an end by its own counts. The log-odds of going on against
-ending are compared with a threshold per language and column. Short contexts are counted everywhere, so that a
-cut within a word stands out; long ones at ends of words.
-
-Where the record itself shows what follows - the words of the title in its URL, the sentence of the description
-in its body - that settles the value, and these settled values teach the model which final contexts are ends and
-set the thresholds; the rest go by the log-odds. To these is added how often values of this very length are cut at
-their source, which is where a field limit shows. Counts are a distributed table by the contexts' 64-bit hashes, to
-which each value's final contexts are joined, so that they are as exact at any size.
+For every position of all titles and descriptions the model counts, by the characters before it, whether the text (or,
+in descriptions, its sentence) ends there or goes on. A value's final context is then looked up from the shortest to
+the longest: each longer context refines the chance of an end by its own counts. Short contexts are counted everywhere,
+so that a cut within a word stands out; long ones at ends of words. To the log-odds of going on against ending is added
+how often values of this very length are cut at their site, which is where a field limit shows. The sum is compared
+with a threshold per language and column, and that alone decides.
+
+Some records show what follows - the words of the title in its URL, the sentence of the description in its body, a
+closing mark. These settled values teach the model which final contexts are ends and set the thresholds (each is
+judged without its own event); they have no other say. Counts are a distributed table by the contexts' 64-bit hashes,
+to which each value's final contexts are joined, so that they are as exact at any size.
 """
 
 from __future__ import annotations
@@ -23,9 +23,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstream.llm.languages import fit, train
 from loomstream.llm.words import _powers, batches, codepoints, lowered, mix
 from loomstream.session import salted_join, ship, written
 
@@ -34,40 +36,15 @@ EVERYWHERE = 5  # contexts up to this length are counted at all positions
 FIELDS = ("title", "description")
 PRIOR = 4.0
 _B, _BI = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-#: Frequent short words by language, for the thresholds' language.
-STOPWORDS = {
-    "en": "the of and to in that is was for on with as by at from an its are this which",
-    "de": "der die das und den von zu mit sich des auf für ist im dem nicht ein eine",
-    "fr": "le la les des et en un une du dans pour que qui sur par au est pas",
-    "es": "el los las del y en un una para con por se que su al es",
-    "pt": "o os as do da dos em um uma para com por se que não ao e",
-}
 _MARK = re.compile(r"\s*(?:…|\.\.\.)\s*$")
 _ENDS = re.compile(r"[.!?][\"”’»)\]“]*\s*$")
-_SLUG = re.compile(r"/\d{4}/\d\d?/(?:\d\d?/)?([^/?#]+?)(?:-[a-z]?[0-9a-f]*\d[0-9a-f]*)?/?(?:[?#].*)?$")
+_INITIAL = re.compile(r"(?:^|[^\w])\w\.$")
+_SLUG = re.compile(r"/([^/?#]+?)(?:-[a-z]?[0-9a-f]*\d[0-9a-f]*)?/?(?:[?#].*)?$")
+_STOPS, _CLOSING = [0x2E, 0x21, 0x3F], [ord(c) for c in "\"”’»)]“"]
 #: Letters that don't fall apart into a base letter and a mark.
 _FOLD = str.maketrans({"ł": "l", "ø": "o", "ß": "ss", "æ": "ae", "œ": "oe", "đ": "d", "ı": "i"})
 
 
-@lru_cache(1)
-def _languages() -> dict[str, list[str]]:
-    out: dict[str, list[str]] = {}
-    for lang, text in STOPWORDS.items():
-        for w in text.split():
-            out.setdefault(w, []).append(lang)
-    return out
-
-
-def language(text: str) -> str:
-    """The language most of whose frequent words occur; '?' when none does."""
-    score: dict[str, int] = {}
-    known = _languages()
-    for w in text.lower().split():
-        for lang in known.get(w, ()):
-            score[lang] = score.get(lang, 0) + 1
-    return max(sorted(score), key=score.__getitem__) if score else "?"
-
-
 def slug(text: str) -> str:
     text = unicodedata.normalize("NFKD", text.lower().translate(_FOLD))
     return re.sub(r"[^a-z0-9]+", "-", "".join(c for c in text if not unicodedata.combining(c))).strip("-")
@@ -77,7 +54,7 @@ def title_goes_on(title: str, url: str | None) -> bool | None:
     """Whether the URL's words go on after the title; None when the URL doesn't tell."""
     m = _SLUG.search(url or "")
     mine = slug(_MARK.sub("", title))
-    if not m or "-" not in m[1] or len(mine) < 6:
+    if not m or m[1].count("-") < 2 or len(mine) < 6:
         return None
     theirs = m[1].lower()
     if theirs.startswith(mine):
@@ -116,7 +93,8 @@ def description_goes_on(text: str, body: list[str] | None) -> bool | None:
 def observed(field: str, text: str, url: str | None, body: list[str] | None) -> bool | None:
     """True: cut; False: whole; None: the record doesn't tell."""
     if field == "description":
-        return False if _ENDS.search(text) and not text.rstrip().endswith("...") else description_goes_on(text, body)
+        whole = _ENDS.search(text) and not text.rstrip().endswith("...") and not _INITIAL.search(text)
+        return False if whole else description_goes_on(text, body)
     return title_goes_on(text, url)
 
 
@@ -157,10 +135,14 @@ def count_events(texts: list[str], field: int, outcome: list[bool | None]) -> tu
     nxt = cp[np.minimum(pos, len(cp) - 1)]
     letter = _letter()[np.minimum(nxt, 0x2FFF)]
     state = np.array([2 if o is None else int(o) for o in outcome])[text_of]
-    if field:  # a sentence's end is an end
-        after = cp[np.minimum(pos + 1, len(cp) - 1)]
-        stop = np.isin(nxt, [0x2E, 0x21, 0x3F]) & ~_letter()[np.minimum(after, 0x2FFF)] & ~last
-        is_end = stop | (last & (state == 0))
+    if field:  # a sentence's end is an end, before its closing mark and after it; the point of an initial is none
+        at = lambda k: cp[np.clip(pos + k, 0, len(cp) - 1)]
+        known = lambda c: _letter()[np.minimum(c, 0x2FFF)]
+        quoted = np.isin(at(-1), _CLOSING)
+        mark = np.where(quoted, at(-2), at(-1))
+        initial = ~quoted & (at(-1) == 0x2E) & known(at(-2)) & ~known(at(-3))
+        stop = np.isin(nxt, _STOPS) & ~known(at(1)) | np.isin(mark, _STOPS) & ~letter & ~initial
+        is_end = stop & ~last | (last & (state == 0))
     else:
         is_end = last & (state == 0)
     skip = last & (state == 2)  # what isn't settled teaches nothing about ends
@@ -212,8 +194,13 @@ def _values(batch: pa.RecordBatch, a: int, b: int, field: int) -> tuple[np.ndarr
 
 
 def _pieces(batch: pa.RecordBatch):
-    sizes = np.full(batch.num_rows, 400)
-    return batches(batch.num_rows, sizes, 400_000)
+    """Slices of bounded text: a row is its title, description, URL and paragraphs."""
+    n = lambda c: pc.utf8_length(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    lists = batch.column("paragraph")
+    total = np.r_[0, np.cumsum(n(lists.flatten()))]
+    ends = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    sizes = n(batch.column("title")) + n(batch.column("description")) + n(batch.column("url")) + np.diff(total[np.r_[0, ends]]) + 50
+    return batches(batch.num_rows, sizes, 2_000_000)
 
 
 def _events(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,28 +215,32 @@ def _events(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))], names=["context", "e", "g"])
 
 
-_VALUES = "rid bigint, url_id string, origin string, field string, lang string, size int, contexts array<bigint>, seen boolean, marked boolean, closed boolean"
+_VALUES = "rid bigint, url_id string, origin string, site string, field string, lang string, size int, contexts array<bigint>, seen boolean, marked boolean"
 
 
-def _reader(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+def _reader(model):
+    def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    rid = TaskContext.get().partitionId() << 33
-    for batch in it:
-        ids, origins = batch.column("url_id"), batch.column("origin")
-        for a, b in _pieces(batch):
-            for field in (0, 1):
-                rows, texts, outcome = _values(batch, a, b, field)
-                if not texts:
-                    continue
-                at = pa.array(rows)
-                n = len(texts)
-                cols = [
-                    pa.array(rid + np.arange(n)), ids.take(at), origins.take(at), pa.array([FIELDS[field]] * n), pa.array([language(t) for t in texts]), pa.array([len(t) for t in texts], pa.int32()),
-                    pa.array(final_contexts(texts, field), pa.list_(pa.int64())), pa.array(outcome, pa.bool_()), pa.array([bool(_MARK.search(t)) for t in texts]), pa.array([bool(field and _ENDS.search(t)) for t in texts]),
-                ]
-                rid += n
-                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _VALUES.split(", ")])
+        rid = TaskContext.get().partitionId() << 33
+        for batch in it:
+            for a, b in _pieces(batch):
+                part = batch.slice(a, b - a)
+                both = [f"{t or ''} {d or ''}" for t, d in zip(part.column("title").to_pylist(), part.column("description").to_pylist(), strict=True)]
+                lang = pa.array(model.value.named(both))
+                for field in (0, 1):
+                    rows, texts, outcome = _values(batch, a, b, field)
+                    if not texts:
+                        continue
+                    at, n = pa.array(rows), len(texts)
+                    cols = [
+                        pa.array(rid + np.arange(n)), *(batch.column(c).take(at) for c in ("url_id", "origin", "site")), pa.array([FIELDS[field]] * n), lang.take(pa.array(rows - a)),
+                        pa.array([len(t) for t in texts], pa.int32()), pa.array(final_contexts(texts, field), pa.list_(pa.int64())), pa.array(outcome, pa.bool_()), pa.array([bool(_MARK.search(t)) for t in texts]),
+                    ]
+                    rid += n
+                    yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _VALUES.split(", ")])
+
+    return read
 
 
 def _thresholds(bins: pd.DataFrame) -> dict[tuple[str, str, bool], float]:
@@ -274,29 +265,32 @@ def _thresholds(bins: pd.DataFrame) -> dict[tuple[str, str, bool], float]:
     return out
 
 
-def judged_values(articles: DataFrame) -> DataFrame:
-    """(url_id, origin, field, lang, score, seen, marked, by_odds, cut) of every non-blank title and description; by_odds is the log-odds' own verdict.
+def judged_values(articles: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """(url_id, origin, field, lang, score, seen, marked, cut) of every non-blank title and description; `seen` is what settles a value, if anything.
 
-    One row per value and delivery of the record. Null and blank values have none; very long values are counted
-    whole.
+    `docs` (doc_id, text, lang) train the language model; without them there is one threshold per column. The site of a
+    record is the host of its URL, else its origin. One row per value and delivery of the record. Null and blank values
+    have none; very long values are counted whole.
     """
     spark = articles.sparkSession
     ship(spark)
-    cols = articles.select("url_id", "origin", "url", "title", "description", "paragraph")
+    host = F.regexp_replace(F.lower(F.try_parse_url("url", F.lit("HOST"))), r"^(www|m)\.", "")
+    cols = articles.select("url_id", "origin", "url", F.coalesce(host, "origin", F.lit("")).alias("site"), "title", "description", "paragraph")
+    model = spark.sparkContext.broadcast(train(docs) if docs is not None else fit([], []))
     counts = cols.mapInArrow(_events, "context bigint, e bigint, g bigint").groupBy("context").agg(F.sum("e").alias("e"), F.sum("g").alias("g"))
-    values = written(cols.mapInArrow(_reader, _VALUES), "values")
-    scored = written(values.drop("contexts").join(log_odds(values, counts), "rid").drop("rid"), "scores").withColumn("site", F.coalesce("origin", F.lit("")))
-    open_ = scored.filter("seen is not null and not closed")
+    values = written(cols.mapInArrow(_reader(model), _VALUES), "values")
+    scored = written(values.drop("contexts").join(log_odds(values, counts), "rid").drop("rid"), "scores")
+    settled = scored.filter("seen is not null")
     kinds = [F.count_if("seen").alias("cut_n"), F.count_if(~F.col("seen")).alias("whole_n")]
-    rate = {r["field"]: (r["cut_n"] + 1) / (r["whole_n"] + 1) for r in open_.groupBy("field").agg(*kinds).collect()}
-    sizes = open_.groupBy("site", "field", "size").agg(*kinds)
+    rate = {r["field"]: (r["cut_n"] + 1) / (r["whole_n"] + 1) for r in settled.groupBy("field").agg(*kinds).collect()}
+    sizes = settled.groupBy("site", "field", "size").agg(*kinds)
     scored = salted_join(scored, sizes, ["site", "field", "size"], "left").fillna(0, ["cut_n", "whole_n"])
     c = F.col("cut_n") - F.coalesce(F.col("seen").cast("int"), F.lit(0))
     w = F.col("whole_n") - F.coalesce((~F.col("seen")).cast("int"), F.lit(0))
     odds = F.when(F.col("field") == "title", F.lit(rate.get("title", 1.0))).otherwise(F.lit(rate.get("description", 1.0)))
     at_limit = F.log((F.greatest(c, F.lit(0)) + 2 * odds / (1 + odds)) / (F.greatest(w, F.lit(0)) + 2 / (1 + odds))) - F.log(odds)
     scored = written(scored.withColumn("score", F.col("score") + at_limit).drop("site", "cut_n", "whole_n"), "judged")
-    settled = scored.filter("seen is not null and not closed").groupBy("field", "lang", "marked", F.floor(F.col("score") * 4).alias("bin"))
+    settled = scored.filter("seen is not null").groupBy("field", "lang", "marked", F.floor(F.col("score") * 4).alias("bin"))
     bins = settled.agg(F.count_if("seen").alias("cut"), F.count_if(~F.col("seen")).alias("whole")).toPandas()
     cut = F.lit(False)
     limits = _thresholds(bins)
@@ -308,16 +302,16 @@ def judged_values(articles: DataFrame) -> DataFrame:
                 if (f, m) == (field, marked) and lang:
                     limit = F.when(F.col("lang") == lang, F.lit(t)).otherwise(limit)
             cut = F.when((F.col("field") == field) & (F.col("marked") == marked), F.col("score") >= limit).otherwise(cut)
-    return scored.withColumn("by_odds", cut).withColumn("cut", F.coalesce("seen", "by_odds"))
+    return scored.withColumn("cut", cut)
 
 
-def cut_values(articles: DataFrame) -> DataFrame:
+def cut_values(articles: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """(url_id, field) of the values that were cut off, one row each."""
-    return judged_values(articles).filter("cut").select("url_id", "field").distinct()
+    return judged_values(articles, docs).filter("cut").select("url_id", "field").distinct()
 
 
-def cut_rates(articles: DataFrame) -> DataFrame:
+def cut_rates(articles: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """(origin, field, n_values, n_cut, cut_share) over records; the null origin has its own rows."""
-    per = judged_values(articles).groupBy("url_id", "origin", "field").agg(F.max("cut").alias("cut"))
+    per = judged_values(articles, docs).groupBy("url_id", "origin", "field").agg(F.max("cut").alias("cut"))
     out = per.groupBy("origin", "field").agg(F.count("*").alias("n_values"), F.count_if("cut").alias("n_cut"))
     return out.withColumn("cut_share", F.col("n_cut") / F.col("n_values"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomstream.llm import boilerplate, encoding, leaks, mixing, near_duplicates, reading, repeated_lines, subjects, truncation
+from loomstream.llm import boilerplate, encoding, languages, leaks, mixing, near_duplicates, reading, repeated_lines, subjects, truncation
 from loomstream.llm.words import words
 
 ARTICLE = (
@@ -124,6 +124,8 @@ def test_truncation(spark):
     assert rates["Cutter", "title"] > 0.95 and rates["Whole", "title"] < 0.05
     bad = truncation.judged_values(odd(spark)).collect()
     assert {r["url_id"] for r in bad} <= {"n3", "big"}
+    docs = spark.createDataFrame([(i, "The mayor called it a bold idea.", "en") for i in range(9)], "doc_id bigint, text string, lang string")
+    assert {(r[0], r[1]) for r in truncation.cut_values(df, docs).collect()} == got
     assert truncation.cut_values(df.limit(0)).count() == 0
 
 
@@ -152,10 +154,24 @@ def test_contexts_are_counted_exactly(spark):
     assert abs(truncation.log_odds(one, counts).first()["score"] - math.log((1 - p) / p)) < 1e-9
 
 
+def test_languages(spark):
+    words_ = {"en": "the house and of with that was from this people said", "de": "das haus und von mit dass war aus dieser leute sagte", "fr": "la maison et de avec que était des cette gens dit"}
+    rnd = random.Random(2)
+    text = lambda k, n: " ".join(rnd.choice(words_[k].split()) for _ in range(n))
+    rows = [(i, text(k, 30), rnd.choice([k, k.upper(), f"{k}-XX", None])) for i, k in enumerate(["en", "de", "fr"] * 40)] + [(500, "xyz", "qq"), (501, None, "en"), (502, "", "de"), (503, "the", "english")]
+    model = languages.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("n", F.lit(1)), 20)
+    assert model.names == ["de", "en", "fr"]
+    assert model.named([text("fr", 5), text("de", 5), text("en", 5), "", None, "12 345"]) == ["fr", "de", "en", "?", "?", "?"]
+    assert languages.fit([], []).named(["the house", ""]) == ["?", "?"]
+
+
 def test_observed():
     assert truncation.title_goes_on("Why Łark thinks", "http://a/2014/01/why-lark-thinks-it-is-bold-77") is True
     assert truncation.title_goes_on("Why Łark thinks it is bold...", "http://a/2014/01/why-lark-thinks-it-is-bold-77") is False
+    assert truncation.title_goes_on("Why Łark thinks", "http://a/@some-one/why-lark-thinks-it-is-bold-a01c17") is True
     assert truncation.title_goes_on("Why Łark thinks", "http://a/story?id=7") is None
+    assert truncation.observed("description", "It is over.", None, None) is False
+    assert truncation.observed("description", "The book of Ann B.", None, None) is None
     assert truncation.description_goes_on("The long sentence here that ends", ["x", "The long sentence here that ends. Then"]) is False
     assert truncation.description_goes_on("The long sentence here that", ["x", "The long sentence here that ends. Then"]) is True
     assert truncation.description_goes_on("The long sentence here that", None) is None
@@ -224,7 +240,7 @@ def test_boilerplate(spark, labelled_pages):
     pages, truth, clean = labelled_pages
     rows = [article(f"u{i}", "Site", None, None, p) for i, p in enumerate(pages)]
     df = spark.createDataFrame(rows, ARTICLE).unionByName(odd(spark))
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*clean, None, ""])], "doc_id bigint, text string")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*clean, None, ""])], "doc_id bigint, text string").withColumn("lang", F.lit("en"))
     got = {(r[0], r[1]) for r in boilerplate.furniture(df, docs).distinct().collect() if r[0] and r[0].startswith("u")}
     want = {(f"u{i}", k) for i, (t, _) in enumerate(truth) for k, own in enumerate(t) if not own}
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(got)
@@ -253,7 +269,7 @@ def test_subjects(spark, labelled_pages):
     labels += [("u0", truth[0][1], False), ("u1", "law", None), (None, "law", True)]
     lab = spark.createDataFrame(labels, "url_id string, article_classification_code string, checked boolean")
     areas = spark.createDataFrame([("law",), ("sport",), ("health",)], "subject string")
-    docs = spark.createDataFrame(list(enumerate(clean)), "doc_id bigint, text string")
+    docs = spark.createDataFrame(list(enumerate(clean)), "doc_id bigint, text string").withColumn("lang", F.lit("en-GB"))
     got = {(r[0], r[1]) for r in subjects.document_subjects(df, lab, areas, docs).select("url_id", "subject").collect()}
     held = [(f"u{i}", t) for i, (_, t) in enumerate(truth) if i >= 120]
     assert sum(x in got for x in held) >= 0.95 * len(held)
