@@ -462,3 +462,30 @@ def furniture(articles: DataFrame, clean: DataFrame, model: Labeller | None = No
     ship(spark)
     model = model or train_labeller(articles, clean)
     return articles.select("url_id", "origin", "paragraph").mapInArrow(_tagger(spark.sparkContext.broadcast(model)), "url_id string, pos int")
+
+
+def _keeper(model):
+    def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net: Labeller = model.value
+        for batch in it:
+            lists = batch.column("paragraph")
+            per_doc = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten()
+            heads = np.r_[0, np.cumsum(per_doc)]
+            chars = np.r_[0, np.cumsum(pc.utf8_length(flat).fill_null(0).to_numpy(zero_copy_only=False))]
+            for a, b in batches(len(per_doc), np.diff(chars[heads])):
+                part = flat.slice(heads[a], heads[b] - heads[a])
+                own = net.predict(part.to_pylist(), per_doc[a:b], batch.column("origin").slice(a, b - a).to_pylist()) <= 0.5
+                sizes = np.add.reduceat(np.r_[own, False], np.minimum(heads[a:b] - heads[a], len(own)), dtype=np.int64) * (per_doc[a:b] > 0)
+                body = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), part.filter(pa.array(own)))
+                yield pa.RecordBatch.from_arrays([batch.column("url_id").slice(a, b - a), body], names=["url_id", "body"])
+
+    return keep
+
+
+def bodies(articles: DataFrame, clean: DataFrame, model: Labeller | None = None) -> DataFrame:
+    """(url_id, body): the elements of `paragraph` that are the article's own, in order, one row per row; null arrays have an empty body."""
+    spark = articles.sparkSession
+    ship(spark)
+    model = model or train_labeller(articles, clean)
+    return articles.select("url_id", "origin", "paragraph").mapInArrow(_keeper(spark.sparkContext.broadcast(model)), "url_id string, body array<string>")

@@ -11,12 +11,14 @@ with that of other chunks, and the last few are landed by the largest remainders
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +40,12 @@ def _encoding(path: str):
 
 
 def token_counts(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, n_tokens) of every row; null and empty texts have 0 tokens."""
+    """(doc_id, source, n_tokens) of every row; null and empty texts have 0 tokens. The vocabulary file goes to all workers."""
     ship(docs.sparkSession)
+    docs.sparkSession.sparkContext.addFile(path)
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoding(path)
+        enc = _encoding(SparkFiles.get(os.path.basename(path)))
         for b in it:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(n, pa.int64())], names=["doc_id", "source", "n_tokens"])
@@ -67,43 +70,56 @@ def source_shares(docs: DataFrame, targets: DataFrame, path: str = TOKENIZER) ->
     return mine, plan.withColumn("repeats", F.when(F.col("tokens") > 0, F.least(F.col("wanted_tokens") / F.col("tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0))
 
 
-def unreachable_sources(docs: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """(source): even max_repeats uses of each of its documents stay below the source's target share."""
-    return source_shares(docs, targets, path)[1].filter(~F.col("reachable")).select("source")
-
-
-def flight(p: np.ndarray, x: np.ndarray) -> np.ndarray:
+def flight(p: np.ndarray, x: np.ndarray, lanes: int = 64) -> np.ndarray:
     """Flight phase for two balancing variables: x is (n, 2); at most two entries of p stay between 0 and 1.
 
     Three open units always have a direction u with x.T u = 0; the step along it goes as far as a unit allows, on
-    the side drawn so that the expectation of p is kept. The draw hashes the units' own values.
+    the side drawn so that the expectation of p is kept. Units fly in `lanes` at once; what stays open in the lanes
+    flies on in fewer. The draw hashes the units' own values.
     """
-    p = p.copy()
+    p = np.where(np.abs(p - np.round(p)) < _EPS, np.round(p), p)
     rng = np.random.default_rng(abs(int(x.sum() * 1000)) % (1 << 32))
-    eps = 1e-9
-    open_: list[int] = []
-    for i in range(len(p)):
-        if not eps < p[i] < 1 - eps:
-            p[i] = round(p[i])
-            continue
-        open_.append(i)
-        while len(open_) == 3:
-            a, b, c = x[open_]
-            u = np.array([b[0] * c[1] - c[0] * b[1], c[0] * a[1] - a[0] * c[1], a[0] * b[1] - b[0] * a[1]])
-            if not np.any(np.abs(u) > eps):  # the three are proportional: trade between two of them
-                u = np.array([b[0], -a[0], 0.0]) if b[0] or a[0] else np.array([1.0, -1.0, 0.0])
-            q = p[open_]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                up = np.min(np.where(u > 0, (1 - q) / u, np.where(u < 0, -q / u, np.inf)))
-                down = np.min(np.where(u > 0, q / u, np.where(u < 0, (q - 1) / u, np.inf)))
-            step = up if rng.random() < down / (up + down) else -down
-            q = np.clip(q + step * u, 0, 1)
-            p[open_] = q
-            for j, v in list(zip(open_, q, strict=True)):
-                if v < eps or v > 1 - eps:
-                    p[j] = round(v)
-                    open_.remove(j)
-    return p
+    while True:
+        left = np.flatnonzero((p > 0) & (p < 1))
+        if len(left) <= 2:
+            return p
+        _fly_lanes(p, x, left, max(1, min(lanes, len(left) // 6)), rng)
+
+
+_EPS = 1e-9
+
+
+def _fly_lanes(p: np.ndarray, x: np.ndarray, units: np.ndarray, lanes: int, rng: np.random.Generator) -> None:
+    """Walk the units of each lane until it has at most two open ones; p is changed in place."""
+    width = -(-len(units) // lanes)
+    grid = np.full((lanes, width), -1)
+    grid.ravel()[: len(units)] = units
+    nxt, end = np.zeros(lanes, np.int64), (grid >= 0).sum(1)
+    held = np.full((lanes, 3), -1)
+    while True:
+        for k in range(3):  # fill the free seats
+            go = np.flatnonzero((held[:, k] < 0) & (nxt < end))
+            held[go, k] = grid[go, nxt[go]]
+            nxt[go] += 1
+        full = np.flatnonzero((held >= 0).all(1))
+        if not len(full):
+            return
+        three = held[full]
+        a, b, c = (x[three[:, k]] for k in range(3))
+        u = np.stack([b[:, 0] * c[:, 1] - c[:, 0] * b[:, 1], c[:, 0] * a[:, 1] - a[:, 0] * c[:, 1], a[:, 0] * b[:, 1] - b[:, 0] * a[:, 1]], 1)
+        flat = ~(np.abs(u) > _EPS).any(1)  # the three are proportional: trade between two of them
+        some = flat & ((a[:, 0] != 0) | (b[:, 0] != 0))
+        u[flat] = (1.0, -1.0, 0.0)
+        u[some] = np.stack([b[some, 0], -a[some, 0], np.zeros(int(some.sum()))], 1)
+        q = p[three]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up = np.where(u > 0, (1 - q) / u, np.where(u < 0, -q / u, np.inf)).min(1)
+            down = np.where(u > 0, q / u, np.where(u < 0, (q - 1) / u, np.inf)).min(1)
+        step = np.where(rng.random(len(full)) < down / (up + down), up, -down)
+        q = np.clip(q + step[:, None] * u, 0, 1)
+        q = np.where(q < _EPS, 0.0, np.where(q > 1 - _EPS, 1.0, q))
+        p[three] = q
+        held[full] = np.where((q == 0) | (q == 1), -1, three)
 
 
 def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -132,7 +148,11 @@ def mixed(docs: DataFrame, targets: DataFrame, path: str = TOKENIZER, chunk: int
 
     A source that can't reach its share is used max_repeats times in full. Repeated doc_ids are rows of their own.
     """
-    mine, plan = source_shares(docs, targets, path)
+    return sampled(*source_shares(docs, targets, path), chunk).filter("copies > 0")
+
+
+def sampled(mine: DataFrame, plan: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """mixed() from the results of source_shares(); documents used no time have a row of 0 copies."""
     rows = salted_join(mine, plan.select("source", "repeats"), ["source"]).withColumn("whole", F.floor("repeats").cast("int"))
     rows = rows.select("doc_id", "source", "n_tokens", "whole", (F.col("repeats") - F.col("whole")).alias("p"))
     exact = rows.filter("p <= 1e-9").withColumn("p", F.lit(0.0))
@@ -148,7 +168,20 @@ def mixed(docs: DataFrame, targets: DataFrame, path: str = TOKENIZER, chunk: int
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.withColumn("copies", F.col("whole") + F.round("p").cast("int")).filter("copies > 0").select("doc_id", "source", "n_tokens", "copies")
+    return out.withColumn("copies", F.col("whole") + F.round("p").cast("int")).select("doc_id", "source", "n_tokens", "copies")
+
+
+def unreachable_sources(docs: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
+    """(source): what the mixture holds of the source stays below its target though each of its documents is used max_repeats times.
+
+    A source without documents holds nothing, and is here when its target is above nothing; with no documents at all no
+    source is.
+    """
+    mine, plan = source_shares(docs, targets, path)
+    per = sampled(mine, plan).groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("reached"), F.min("copies").alias("least"))
+    got = plan.join(per, "source", "left").withColumn("reached", F.coalesce("reached", F.lit(0)))
+    used_up = F.coalesce(F.col("least") >= F.col("max_repeats"), F.lit(True))
+    return got.filter(used_up & (F.col("reached") < F.col("wanted_tokens"))).select("source")
 
 
 def mix_report(docs: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:

@@ -78,7 +78,7 @@ def test_repeated_sequences_brute_force(spark):
     rnd = random.Random(6)
     docs = [(f"d{i}", "A", [rnd.choice(["one", "two", "three"]) for _ in range(rnd.randint(0, 4))]) for i in range(30)]
     df = spark.createDataFrame(docs, "d string, s string, l array<string>")
-    got = repeated_lines.repeated_sequences(df, "s", "d", "l", 5, 3).groupBy("length").count().collect()
+    got = repeated_lines.repeated_sequences(df, "s", "d", "l", 5, max_length=3).groupBy("length").count().collect()
     support = {}
     for d, _, ls in docs:
         for n in (1, 2, 3):
@@ -91,6 +91,28 @@ def test_repeated_sequences_brute_force(spark):
     assert {r["length"]: r["count"] for r in got} == want
 
 
+@pytest.mark.parametrize("gap", [None, 2])
+def test_repeated_sequences_with_gaps_brute_force(spark, gap):
+    """Every subsequence, or those whose lines are at most two places apart in the document of frequent lines."""
+    rnd = random.Random(7)
+    docs = [(f"d{i}", rnd.choice("AB"), [rnd.choice(["one", "two", "three"]) for _ in range(rnd.randint(0, 5))]) for i in range(80)]
+    df = spark.createDataFrame(docs, "d string, s string, l array<string>")
+    got = repeated_lines.repeated_sequences(df, "s", "d", "l", 5, gap).groupBy("source", "length").agg(F.count("*"), F.sum("support")).collect()
+    support = {}
+    for d, s, ls in docs:
+        for n in range(1, len(ls) + 1):
+            for at in itertools.combinations(range(len(ls)), n):
+                if gap is None or all(b - a <= gap for a, b in itertools.pairwise(at)):
+                    support.setdefault((s, tuple(ls[i] for i in at)), set()).add(d)
+    assert all(len(support[s, (x,)]) >= 5 for s in "AB" for x in ("one", "two", "three"))  # no line is dropped
+    want = {}
+    for (s, seq), ds in support.items():
+        if len(ds) >= 5 and all(len(support[s, seq[:k]]) >= 5 for k in range(1, len(seq))):
+            n, total = want.get((s, len(seq)), (0, 0))
+            want[s, len(seq)] = (n + 1, total + len(ds))
+    assert {(r[0], r[1]): (r[2], r[3]) for r in got} == want and max(n for _, n in want) >= 3
+
+
 def test_repeated_sequences_of_any_length(spark):
     block = [f"line {'abcdefghijk'[i]}" for i in range(9)]
     docs = [(f"d{i}", "A", block + [f"own {'xyzuvw'[i]}"]) for i in range(6)] + [("e", "A", block[:3]), ("f", None, block)]
@@ -247,6 +269,21 @@ def test_boilerplate(spark, labelled_pages):
     assert boilerplate.furniture(df.limit(0), docs.limit(0)).count() == 0
 
 
+def test_bodies_are_what_is_no_furniture(spark, labelled_pages):
+    pages, _, clean = labelled_pages
+    df = spark.createDataFrame([article(f"u{i}", "Site", None, None, p) for i, p in enumerate(pages)], ARTICLE).unionByName(odd(spark))
+    docs = spark.createDataFrame(list(enumerate(clean)), "doc_id bigint, text string")
+    model = boilerplate.train_labeller(df, docs)
+    gone = {(r[0], r[1]) for r in boilerplate.furniture(df, docs, model).collect()}
+    bodies = boilerplate.bodies(df, docs, model).collect()
+    assert len(bodies) == df.count()
+    by = {r["url_id"]: r["body"] for r in bodies}
+    for i, p in enumerate(pages):
+        assert by[f"u{i}"] == [x for k, x in enumerate(p) if (f"u{i}", k) not in gone]
+    assert by["n1"] == [] and by["n2"] == [] and by["n3"] == [x for k, x in enumerate([None, "", " ", "…"]) if ("n3", k) not in gone]
+    assert boilerplate.bodies(df.limit(0), docs, model).count() == 0
+
+
 def test_lstm_gradient():
     """Backpropagation against finite differences."""
     rng = np.random.default_rng(0)
@@ -433,9 +470,12 @@ def test_flight_keeps_balance():
     x = np.stack([np.ones(400), rng.integers(0, 2000, 400).astype(float)], 1)
     x[:20, 1] = 0
     p = rng.random(400)
-    q = mixing.flight(p, x)
-    open_ = ((q > 1e-9) & (q < 1 - 1e-9)).sum()
-    assert open_ <= 2 and np.allclose(p @ x, q @ x, rtol=1e-6)
+    for lanes in (1, 7, 64):
+        q = mixing.flight(p, x, lanes)
+        open_ = ((q > 1e-9) & (q < 1 - 1e-9)).sum()
+        assert open_ <= 2 and np.allclose(p @ x, q @ x, rtol=1e-6) and (q >= 0).all() and (q <= 1).all()
+    share = np.mean([mixing.flight(np.full(50, 0.3), np.c_[np.ones(50), rng.integers(1, 900, 50)], 4) for _ in range(400)], axis=0)
+    assert abs(share - 0.3).max() < 0.12  # each document keeps its chance
     assert mixing.flight(np.zeros(0), np.zeros((0, 2))).shape == (0,)
 
 
@@ -456,7 +496,9 @@ def test_mixing(spark):
     assert sum(r["copies"] for r in out if r["source"] == "c") == sum(1 for d in docs if d[1] == "c")
     report = {r["source"]: r["actual_share"] for r in mixing.mix_report(df, goals).collect()}
     assert report["none"] == 0 and abs(sum(report.values()) - 1) < 1e-9
-    assert mixing.unreachable_sources(df.limit(0), goals).count() == 0
+    assert {r[0] for r in mixing.unreachable_sources(df.limit(0), goals).collect()} == set()
+    more = goals.unionByName(spark.createDataFrame([("absent", 0.1, 2)], goals.schema))
+    assert {r[0] for r in mixing.unreachable_sources(df, more).collect()} == {"c", "absent"}
 
 
 # ---------------------------------------------------------------- 10
