@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,18 +86,46 @@ def without_person_title(c: Column) -> Column:
     return F.regexp_replace(c, r"(?i)^(" + "|".join(PERSON_TITLES) + r")\.?\s+", "")
 
 
-def clean_title(c: Column, rounds: int = 3) -> Column:
-    """Runs of space collapsed, site names and markup cut off again and again, shortened to MAX_TITLE, first letters raised."""
-    c = F.regexp_replace(c, r"[\s\x{A0}]{2,}", " ")
+def unescape(c: Column) -> Column:
+    """HTML character references replaced, the names of HTML 4 among them; no-break spaces become spaces, zero-width ones go."""
+
+    def one(piece: Column) -> Column:
+        name = F.regexp_extract(piece, r"^&(#?\w{2,8});", 1)
+        code = F.coalesce(F.when(name.rlike(r"^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 8)).try_cast("bigint"), _entity_codes()[name])
+        good = code.isNotNull() & (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        sign = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(good, F.concat(sign, F.regexp_replace(piece, r"^&#?\w{2,8};", ""))).otherwise(piece)
+
+    plain = F.when(c.contains("&"), F.array_join(F.transform(F.split(c, r"(?=&#?\w{2,8};)"), one), "")).otherwise(c)
+    return F.regexp_replace(F.translate(plain, "\u00a0", " "), "[\u200b-\u200f\ufeff]", "")
+
+
+def _entity_codes() -> Column:
+    """Names of character references and their code points, as the standard library lists them."""
+    pairs = [F.lit(x) for name, code in [*sorted(name2codepoint.items()), ("apos", 0x2019)] for x in (name, code)]
+    return F.create_map(*pairs)
+
+
+def _until_gone(c: Column, pattern: str) -> Column:
+    """The pattern removed until it is found no more: anchored ones are repeated within one expression."""
+    if pattern.startswith("^"):
+        return F.regexp_replace(c, f"^(?:{pattern[1:]})+", "")
+    if pattern.endswith("$"):
+        return F.regexp_replace(c, f"(?:{pattern[:-1]})+$", "")
+    return F.aggregate(F.sequence(F.lit(0), F.regexp_count(c, F.lit("<"))), c, lambda a, _: F.regexp_replace(a, pattern, ""))
+
+
+def clean_title(c: Column) -> Column:
+    """Unescaped, runs of space collapsed, each kind of noise removed until it is gone, cut to MAX_TITLE, first letters raised."""
+    c = F.regexp_replace(unescape(c), r"[\s\x{A0}]{2,}", " ")
     for pattern in TITLE_NOISE:
-        for _ in range(rounds if pattern.endswith("$") or pattern.startswith("^") else 1):
-            c = F.regexp_replace(c, pattern, "")
+        c = _until_gone(c, pattern)
     return let(c, _fitted_title)
 
 
 def _fitted_title(c: Column) -> Column:
     c = F.when(F.length(c) > MAX_TITLE, F.concat(F.substring(c, 1, MAX_TITLE - 1), F.lit("…"))).otherwise(c)
-    raised = F.array_join(F.transform(F.split(c, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000))), " ")
+    raised = F.array_join(F.transform(F.split(c, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 2_000_000_000))), " ")
     return F.trim(F.when(c.rlike(r"^\p{Ll}"), raised).otherwise(c))
 
 
@@ -133,15 +162,17 @@ def character_bucket(c: Column, buckets: int) -> Column:
     return F.pmod(F.aggregate(F.split(c, ""), F.lit(0).cast("bigint"), lambda a, x: a + F.when(x == "", F.lit(0)).otherwise(F.ascii(x))), F.lit(buckets))
 
 
-def version_key(c: Column, parts: int = 6) -> Column:
-    """Dotted numbers as an array that compares like versions: 1.10 > 1.9, 1 = 1.0."""
-    nums = F.transform(F.split(c, r"\."), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
-    return F.slice(F.concat(nums, F.array_repeat(F.lit(0), parts)), 1, parts)
+def version_key(c: Column, parts: Column | int) -> Column:
+    """Dotted numbers as an array of at least `parts` numbers that compares like versions: 1.10 > 1.9, 1 = 1.0."""
+    nums = F.transform(F.split(c, r"\."), lambda x: F.coalesce(x.try_cast("bigint"), F.lit(0).cast("bigint")))
+    return F.concat(nums, F.array_repeat(F.lit(0).cast("bigint"), F.greatest(F.lit(parts) - F.size(nums), F.lit(0))))
 
 
 def version_compare(a: Column, b: Column) -> Column:
-    x, y = version_key(a), version_key(b)
-    return F.when(x < y, -1).when(x > y, 1).otherwise(0)
+    """-1, 0 or 1, however many parts either has; null when either is."""
+    parts = F.greatest(F.size(F.split(a, r"\.")), F.size(F.split(b, r"\.")))
+    x, y = version_key(a, parts), version_key(b, parts)
+    return F.when(a.isNull() | b.isNull(), None).when(x < y, -1).when(x > y, 1).otherwise(0)
 
 
 def object_id(*keys: Column) -> Column:
@@ -153,6 +184,11 @@ def starts_any_word(c: Column, prefix: str) -> Column:
     return F.exists(F.split(F.lower(c), r"[^\w]+"), lambda w: w.startswith(prefix.lower()))
 
 
+def words_starting(c: Column, prefix: str) -> Column:
+    """The words of a title that begin with the prefix, case aside: one row each when exploded, as a type-ahead lists them."""
+    return F.filter(F.split(c, r"[^\w]"), lambda w: F.lower(w).startswith(prefix.lower()))
+
+
 def blob_field(c: Column, name: str) -> Column:
     """The value of `name(value)` in a string of such fields joined by '!'."""
     v = F.regexp_extract(c, rf"(?:^|!){name}\(([^)]*)\)", 1)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstream.functions.urls import host, suffixes
-from loomstream.session import salted_join
+from loomstream.session import salted_join, written
 
 
 def domain_suffix_join(rows: DataFrame, url: str, sites: DataFrame, domains: list[str], how: str = "left") -> DataFrame:
@@ -80,23 +80,47 @@ def conflict_anti_join(rows: DataFrame, tombstones: DataFrame, group: str, key:
 
 
 def prefix_anti_join(rows: DataFrame, name: str, existing: DataFrame, other: str, least: int = 1) -> DataFrame:
-    """Rows whose name is no prefix of any existing name: existing names are exploded to their prefixes of the lengths in use."""
-    lengths = rows.select(F.length(name).alias("__n")).filter(F.col("__n") >= least).distinct()
-    starts = existing.select(F.col(other).alias("__e")).distinct().join(F.broadcast(lengths.limit(10_000)), F.col("__n") <= F.length("__e"))  # lengths of names: few
-    return rows.join(starts.select(F.expr("substring(__e, 1, __n)").alias(name)).distinct(), name, "left_anti")
-
-
-def closure(edges: DataFrame, child: str, parent: str, deepest: int = 20) -> DataFrame:
-    """(value, ancestor, distance) of a forest, each value at distance 0 from itself; cycles stop at `deepest`."""
-    spark = edges.sparkSession
-    view = f"edges_{abs(hash((child, parent)))}"
-    edges.select(F.col(child).cast("string").alias("c"), F.col(parent).cast("string").alias("p")).createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE up (value, ancestor, distance) AS (
-            SELECT v, v, 0 FROM (SELECT c AS v FROM {view} UNION SELECT p FROM {view} WHERE p IS NOT NULL)
-            UNION ALL
-            SELECT up.value, e.p, up.distance + 1 FROM up JOIN {view} e ON up.ancestor = e.c WHERE e.p IS NOT NULL AND up.distance < {deepest})
-        SELECT value, ancestor, distance FROM up""")
+    """Rows whose name is no prefix of any existing name; names shorter than `least` are no prefix, null names stay.
+
+    Existing names are exploded to all their prefixes and met by equality. Prefixes are as many as the name's letters,
+    but only those that begin like some row's name are made: both sides meet on their first `least` letters before.
+    """
+    heads = rows.select(F.substring(name, 1, least).alias("__h"), F.length(name).alias("__n")).filter(F.col("__n") >= least)
+    heads = heads.groupBy("__h").agg(F.min("__n").alias("__lo"), F.max("__n").alias("__hi"))
+    known = existing.select(F.col(other).alias("__e")).filter(F.length(other) >= least).distinct().withColumn("__h", F.substring("__e", 1, least))
+    near = known.join(heads, "__h").withColumn("__hi", F.least("__hi", F.length("__e"))).filter("__lo <= __hi")
+    starts = near.select(F.expr("explode(transform(sequence(__lo, __hi), n -> substring(__e, 1, n)))").alias(name)).distinct()
+    return rows.join(starts, name, "left_anti").select(*rows.columns)
+
+
+def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """(value, ancestor, distance) of a hierarchy, each value at distance 0 from itself; of several ways the shortest.
+
+    Distances double from round to round on written tables, so a chain of n values takes log n rounds. A value that is
+    its own ancestor is an error. Null parents and children are no edges.
+    """
+    up = edges.select(F.col(child).cast("string").alias("value"), F.col(parent).cast("string").alias("ancestor")).filter("ancestor is not null and value is not null").distinct()
+    known = written(up.withColumn("distance", F.lit(1).cast("bigint")), "closure")
+    before = known.count()
+    while True:
+        far = known.select("value", F.col("ancestor").alias("mid"), F.col("distance").alias("d")).join(known.select(F.col("value").alias("mid"), "ancestor", "distance"), "mid")
+        far = far.select("value", "ancestor", (F.col("d") + F.col("distance")).alias("distance"))
+        known = written(known.unionByName(far).groupBy("value", "ancestor").agg(F.min("distance").alias("distance")), "closure")
+        if not known.filter("value = ancestor").isEmpty():
+            raise ValueError("the hierarchy has a cycle")
+        if (now := known.count()) == before:
+            break
+        before = now
+    every = known.select(F.explode(F.array("value", "ancestor")).alias("value"))
+    if child in edges.columns:
+        every = every.unionByName(edges.select(F.col(child).cast("string").alias("value")).filter("value is not null"))
+    own = every.distinct().select("value", F.col("value").alias("ancestor"), F.lit(0).cast("bigint").alias("distance"))
+    return own.unionByName(known)
+
+
+def descendants(closure_: DataFrame, value: str) -> DataFrame:
+    """(value, distance): the values below one, itself included."""
+    return closure_.filter(F.col("ancestor") == value).select("value", "distance")
 
 
 def contained_elements_join(rows: DataFrame, array: str, element: str, other: DataFrame, key: str, how: str = "inner") -> DataFrame:

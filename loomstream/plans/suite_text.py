@@ -25,16 +25,39 @@ def fn_domain(s, d):
     return table(s, d, "url", "url").select("url", urls.domain(F.col("url")).alias("domain"))
 
 
-@query(r"""SELECT url, CASE WHEN regexp_matches(url, '/(18|19|20)[0-9]{2}/(0[0-9]|1[012])/') THEN epoch_ms(strptime(regexp_extract(url, '/(20[0-9]{2}/(0[0-9]|1[012]))/', 1) || '/01', '%Y/%m/%d')) END AS month FROM url""")
+@query(r"""WITH u AS (SELECT id, make_date(2000 + length(url) % 17, 1 + length(id) * 7 % 12, 1 + length(url) * 3 % 28) AS day FROM url),
+    f AS (SELECT id, day, unnest(['slash', 'slash_short', 'dash', 'eight', 'wire', 'month', 'month_only', 'none']) AS form FROM u)
+    SELECT id, form, CASE WHEN form IN ('month', 'month_only') THEN epoch_ms(date_trunc('month', day)) WHEN form <> 'none' THEN epoch_ms(day) END AS millis FROM f
+    UNION ALL SELECT id, 'table', CASE WHEN regexp_matches(url, '/20[0-9]{2}/(0[0-9]|1[012])/') THEN epoch_ms(strptime(regexp_extract(url, '/(20[0-9]{2}/(0[0-9]|1[012]))/', 1) || '/01', '%Y/%m/%d')) END FROM url""")
 def fn_month_from_url(s, d):
-    return table(s, d, "url", "url").select("url", dates.date_from_url(F.col("url"), allow_month=True).alias("month"))
-
-
-@query(r"""SELECT o_orderkey, epoch_ms(date_trunc('day', o_orderdate)) AS a, epoch_ms(date_trunc('day', o_orderdate)) AS b, epoch_ms(date_trunc('day', o_orderdate)) AS c, epoch_ms(date_trunc('day', o_orderdate)) AS d FROM orders""")
+    """Days and months in URLs: those of the table, and all forms of a day in URLs made of it."""
+    u = table(s, d, "url", "id", "url")
+    day = F.make_date(F.lit(2000) + F.length("url") % 17, F.lit(1) + F.length("id") * 7 % 12, F.lit(1) + F.length("url") * 3 % 28).cast("timestamp_ntz")
+    forms = {"slash": "'/'yyyy/MM/dd'/a-story'", "slash_short": "'/'yyyy/M/d'/x'", "dash": "'/'yyyy-MM-dd'-x'", "eight": "'/news/'yyyyMMdd'/x'", "wire": "'/a-story-'yyyyMMdd", "month": "'/'yyyy/MM'/a-story-1'", "month_only": "'/blog/'yyyy/MM'/'", "none": "'/'yyyy'/story'"}
+    made = F.array(*[F.struct(F.lit(n).alias("form"), F.concat(F.lit("http://a.example"), F.date_format(day, p)).alias("at")) for n, p in forms.items()])
+    rows = u.select("id", F.inline(made)).unionByName(u.select("id", F.lit("table").alias("form"), F.col("url").alias("at")))
+    return rows.select("id", "form", dates.date_from_url(F.col("at"), allow_month=True).alias("millis"))
+
+
+#: Forms of dates: name, pattern that writes it (a weekday and a zone included), unit of time it holds, minutes of its zone before UTC.
+_DATES = (
+    ("iso", "yyyy-MM-dd'T'HH:mm:ss'+02:00'", "second", -120), ("iso_z", "yyyy-MM-dd'T'HH:mm:ss'Z'", "second", 0), ("iso_minute", "yyyy-MM-dd'T'HH:mm'-08:00'", "minute", 480), ("iso_hour", "yyyy-MM-dd'T'HH:mm'-08'", "minute", 480),
+    ("long_time", "MMMM dd, yyyy, hh:mm a", "minute", 0), ("long", "MMMM d, yyyy", "day", 0), ("day", "yyyy-MM-dd", "day", 0), ("digits", "yyyyMMddHHmmss", "second", 0), ("eight", "yyyyMMdd", "day", 0),
+    ("slashes", "yyyy/MM/dd HH:mm:ss", "second", 0), ("slash_day", "yyyy/MM/dd", "day", 0), ("mail_minute", "EEE, dd MMM yyyy HH:mm 'EST'", "minute", 300), ("mail", "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "second", 0),
+    ("mail_offset", "EEE, dd MMM yyyy HH:mm:ss '+0530'", "second", -330), ("mail_bare", "EEE, dd MMM yyyy HH:mm:ss", "second", 0), ("mail_day", "EEE, d MMM yyyy", "day", 0), ("points", "MM.dd.yyyy", "day", 0), ("european", "dd MMMM yyyy", "day", 0),
+    ("at_hour", "EEE dd MMM yyyy 'at' hha 'PDT'", "hour", 420), ("bar", "dd MMM yyyy '|' HH:mm 'CET'", "minute", -60), ("hour_first", "hh:mm a 'EDT'  MMMM dd, yyyy", "minute", 240), ("weekday", "EEE MMM d, yyyy   h:mm a", "minute", 0),
+    ("short", "MMM d yyyy", "day", 0), ("unix", "EEE MMM dd HH:mm:ss 'UTC' yyyy", "second", 0), ("comma_time", "EEE, MMM dd yyyy, HH:mm 'GMT'", "minute", 0), ("no_date", "'on some day'", "", 0),
+)
+
+
+@query("WITH f AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{u}', {z})" for n, _, u, z in _DATES) + ") f(form, unit, zone)), o AS (SELECT o_orderkey, o_orderdate + to_seconds(o_orderkey * 7919 % 86400) AS t FROM orders WHERE o_orderkey % 10 < 3)"
+       " SELECT o_orderkey, form, CASE WHEN unit <> '' THEN epoch_ms(date_trunc(unit, t)) + zone * 60000 END AS millis FROM o, f")
 def fn_parse_dates(s, d):
-    o = table(s, d, "orders", "o_orderkey", "o_orderdate")
-    forms = {"a": "yyyy-MM-dd'T'00:00:00XXX", "b": "MMMM d, yyyy", "c": "yyyy/MM/dd", "d": "EEE, d MMM yyyy"}
-    return o.select("o_orderkey", *[dates.parse_date_time(F.date_format(F.col("o_orderdate").cast("timestamp"), f)).alias(n) for n, f in forms.items()])
+    """A tenth of the orders' dates in every form that pages use, read back."""
+    o = table(s, d, "orders", "o_orderkey", "o_orderdate").filter("o_orderkey % 10 < 3")
+    at = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("o_orderkey") * 7919 % 86_400)
+    forms = F.array(*[F.struct(F.lit(n).alias("form"), F.date_format(at, p).alias("text")) for n, p, _, _ in _DATES])
+    return o.select("o_orderkey", F.inline(forms)).select("o_orderkey", "form", dates.parse_date_time(F.col("text")).alias("millis"))
 
 
 @query("SELECT url_id, crawl_time, CASE WHEN coalesce(crawl_time, 0) - 129600000 > published_time THEN published_time ELSE coalesce(crawl_time, 0) END AS effective FROM article")
@@ -55,10 +78,13 @@ def fn_ordinal_day(s, d):
     return table(s, d, "orders", "o_orderkey", "o_orderdate").select("o_orderkey", dates.ordinal_day(F.col("o_orderdate")).alias("day"))
 
 
-@query("""SELECT id, (h < 8 OR h >= 22) AS night, dow IN (0, 6) AS weekend FROM (SELECT id, ((create_time / 3600000.0) - 8) % 24 AS h, (create_time - 28800000) // 86400000 AS dd, (((create_time - 28800000) // 86400000) + 4) % 7 AS dow FROM user_action)""")
+@query("""WITH z AS (SELECT id, create_time, unnest(['-08:00', '+05:30']) AS zone FROM user_action), x AS (SELECT id, zone, create_time + CASE zone WHEN '-08:00' THEN -28800000 ELSE 19800000 END AS t FROM z),
+    m AS (SELECT id, zone, (t // 60000) % 1440 AS m, (t // 86400000 + 4) % 7 AS dow FROM x)
+    SELECT id, zone, (m < 480 OR m >= 1320) AS night, (m >= 540 AND m < 780) AS morning, (m >= 480 AND m < 1200) AS daytime, (m >= 706 AND m <= 765) AS noon, dow IN (0, 6) AS weekend FROM m""")
 def fn_time_of_day(s, d):
-    a = table(s, d, "user_action", "id", "create_time")
-    return a.select("id", dates.is_night(F.col("create_time"), F.lit("-08:00")).alias("night"), dates.is_weekend(F.col("create_time"), F.lit("-08:00")).alias("weekend"))
+    a = table(s, d, "user_action", "id", "create_time").withColumn("zone", F.explode(F.array(F.lit("-08:00"), F.lit("+05:30"))))
+    t, z = F.col("create_time"), F.col("zone")
+    return a.select("id", "zone", dates.is_night(t, z).alias("night"), dates.is_morning(t, z).alias("morning"), dates.is_daytime(t, z).alias("daytime"), dates.is_around_noon(t, z).alias("noon"), dates.is_weekend(t, z).alias("weekend"))
 
 
 @query("SELECT url_id, coalesce(list_filter(feature, lambda f: f.feature_id = 10004)[1].similarity, 0) AS similarity FROM article")
@@ -83,25 +109,64 @@ def fn_shortened_text(s, d):
     return table(s, d, "article", "url_id", "origin", "title").select("url_id", text.shortened(F.concat_ws(": ", "origin", "title"), 110, 107).alias("text"))
 
 
-@query(r"""SELECT keyword, length(k) >= 2 AND length(k) <= 50 AND regexp_matches(k, '^\p{L}') AND NOT regexp_matches(lower(k), '^best( [a-z]+)? of |&.*;|;.*&|…|^bloomberg |^mba |@bloomberg$| (jobs|news|profile|restaurants|trends)$')
-    AND lower(k) NOT IN ('media', 'party', 'show', 'the', 'university', 'company', 'news', 'sports', 'tech') AS valid FROM (SELECT DISTINCT k.keyword AS keyword, trim(k.keyword) AS k FROM (SELECT unnest(keyword) AS k FROM article))""")
+_WORDS = ", ".join(f"'{w}'" for w in text.KEYWORD_BLACKLIST)
+
+
+@query(rf"""WITH k AS (SELECT DISTINCT k.keyword AS keyword FROM (SELECT unnest(keyword) AS k FROM article) UNION SELECT unnest([{_WORDS}, '#one', '@two', 'Bloomberg three', 'MBA four', 'five@bloomberg', 'Best of six', 'best old hats of seven', 'eight &amp; nine', 'ten…', 'x', '11 things', 'Éa']))
+    SELECT keyword, length(trim(keyword)) >= 2 AND length(trim(keyword)) <= 50 AND regexp_matches(trim(keyword), '^\p{{L}}') AND NOT regexp_matches(lower(trim(keyword)), '^best( [a-z]+)? of |&.*;|;.*&|…|^bloomberg |^mba |^[#@]|@bloomberg$| (jobs|news|profile|restaurants|trends)$')
+    AND lower(trim(keyword)) NOT IN ({_WORDS}) AS valid FROM k""")
 def fn_valid_keyword(s, d):
-    k = table(s, d, "article", "keyword").select(F.explode("keyword.keyword").alias("keyword")).distinct()
+    more = [*text.KEYWORD_BLACKLIST, "#one", "@two", "Bloomberg three", "MBA four", "five@bloomberg", "Best of six", "best old hats of seven", "eight &amp; nine", "ten…", "x", "11 things", "Éa"]
+    k = table(s, d, "article", "keyword").select(F.explode("keyword.keyword").alias("keyword")).unionByName(s.createDataFrame([(w,) for w in more], "keyword string")).distinct()
     return k.select("keyword", text.valid_keyword(F.col("keyword")).alias("valid"))
 
 
-@query()
+def _clean_sql(c):
+    """clean_keyword() of a column in SQL, step by step as table expressions of one column each."""
+    spell = "y"
+    for wrong, right in text.SPELLINGS:
+        spell = f"regexp_replace({spell}, '{wrong}', '{right}', 'gi')"
+    end = r'''regexp_replace(x, '[’''”",;\-!?*)/$—″\]\s]+$', '')'''
+    return rf"""a AS (SELECT {c} AS k, regexp_replace(trim({c}), '^[‘''“"()\-.?:&,!*+/—%…\[\s]+', '') AS x FROM src),
+    b AS (SELECT k, x, {end} AS e FROM a),
+    c AS (SELECT k, CASE WHEN regexp_matches(x, '[’'']s$') THEN trim(regexp_replace(x, '[’'']s$', '')) ELSE trim(regexp_replace(CASE WHEN ends_with(e, '.') AND len(string_split(e, '.')) = 2 THEN rtrim(left(e, length(e) - 1)) ELSE e END, '-based$', '')) END AS z FROM b),
+    d AS (SELECT k, trim(regexp_replace(z, '[’''].*$', '')) AS z FROM c),
+    e AS (SELECT k, z, CASE WHEN regexp_matches(z, '^\p{{Lu}}') THEN z ELSE array_to_string(list_transform(string_split(lower(z), ' '), lambda w: upper(w[1]) || w[2:]), ' ') END AS y FROM d),
+    f AS (SELECT k, CASE WHEN regexp_matches(z, '^([A-Z]+\.){{2,10}}$') THEN replace(z, '.', '') ELSE {spell} END AS clean FROM e)"""
+
+
+@query(rf"""WITH src AS (SELECT DISTINCT keyword FROM (SELECT k.keyword AS keyword FROM (SELECT unnest(keyword) AS k FROM article) UNION ALL SELECT unnest(string_split(title, ' ')) FROM article)), {_clean_sql("keyword")}
+    SELECT k AS keyword, clean, regexp_replace(k, '^(dr|mr|ms|mrs|miss|prof|rev)\.?\s+', '', 'i') AS bare FROM f""")
 def fn_clean_keyword(s, d):
-    k = table(s, d, "article", "keyword").select(F.explode("keyword.keyword").alias("keyword")).distinct()
+    a = table(s, d, "article", "keyword", "title")
+    k = a.select(F.explode("keyword.keyword").alias("keyword")).unionByName(a.select(F.explode(F.split("title", " ")).alias("keyword"))).distinct()
     return k.select("keyword", text.clean_keyword(F.col("keyword")).alias("clean"), text.without_person_title(F.col("keyword")).alias("bare"))
 
 
-@query()
+def _title_sql():
+    x = "regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&#8217;', '’'), '&nbsp;', ' '), '&amp;', '&'), '[\u200b-\u200f\ufeff]', '', 'g'), '\u00a0', ' ', 'g')"
+    x = rf"regexp_replace({x}, '\s{{2,}}', ' ', 'g')"
+    for p in text.TITLE_NOISE:
+        q = p.replace("'", "''")
+        q = f"^(?:{q[1:]})+" if q.startswith("^") else f"(?:{q[:-1]})+$" if q.endswith("$") else q
+        x = f"regexp_replace({x}, '{q}', '', 'g')"
+    return x
+
+
+@query(rf"""WITH t AS (SELECT url_id, {_title_sql()} AS t FROM article), u AS (SELECT url_id, CASE WHEN length(t) > 256 THEN left(t, 255) || '…' ELSE t END AS t FROM t)
+    SELECT url_id, trim(CASE WHEN regexp_matches(t, '^\p{{Ll}}') THEN array_to_string(list_transform(string_split(t, ' '), lambda w: upper(w[1]) || w[2:]), ' ') ELSE t END) AS title FROM u""")
 def fn_clean_title(s, d):
     return table(s, d, "article", "url_id", "title").select("url_id", text.clean_title(F.col("title")).alias("title"))
 
 
-@query()
+_STOPS = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+
+
+@query(rf"""WITH src AS (SELECT DISTINCT unnest(string_split_regex(coalesce(title, ''), '[\s\x{{A0}}]+')) AS word FROM article), {_clean_sql("word")},
+    w AS (SELECT k, left(lower(clean), 4) AS stem FROM f WHERE length(clean) >= 2 AND lower(clean) NOT IN ({_STOPS})),
+    t AS (SELECT DISTINCT url_id, title, unnest(string_split_regex(coalesce(title, ''), '[\s\x{{A0}}]+')) AS k FROM article),
+    g AS (SELECT url_id, title, list_sort(list(DISTINCT stem)) AS stems FROM t JOIN w USING (k) GROUP BY 1, 2)
+    SELECT a.url_id, coalesce(array_to_string(g.stems, ' '), '') AS stems FROM article a LEFT JOIN g ON a.url_id = g.url_id AND a.title IS NOT DISTINCT FROM g.title""")
 def fn_deduping_stems(s, d):
     return table(s, d, "article", "url_id", "title").select("url_id", F.concat_ws(" ", F.array_sort(text.deduping_stems(F.col("title")))).alias("stems"))
 
@@ -136,17 +201,22 @@ def fn_crawl_priority(s, d):
     return u.select("id", urls.crawl_priority(F.col("url"), F.col("url").rlike("/20[0-9]{2}/"), dates.date_from_url(F.col("url"), True), 1_420_070_400_000).alias("priority"))
 
 
-@query("""SELECT p_partkey, CAST(CASE WHEN a1 <> b1 THEN sign(a1 - b1) ELSE sign(a2 - b2) END AS BIGINT) AS cmp FROM (SELECT p_partkey, p_size // 10 AS a1, p_size % 10 AS a2, p_partkey % 5 AS b1, p_partkey % 7 AS b2 FROM part)""")
+@query("""WITH v AS (SELECT p_partkey, [p_size // 10, p_size % 10, 0, 0, 0, 0, 0, p_partkey % 3] AS a, [p_partkey % 5, p_partkey % 7, 0, 0, 0, 0, 0, 1] AS b FROM part),
+    n AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN a ELSE list_concat(a[1:2], [0, 0, 0, 0, 0, 0]) END AS a, b FROM v) SELECT p_partkey, CAST(CASE WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END AS BIGINT) AS cmp FROM n""")
 def fn_version_compare(s, d):
+    """Versions of two and of eight parts."""
     p = table(s, d, "part", "p_partkey", "p_size")
-    a = F.concat_ws(".", F.floor(F.col("p_size") / 10), F.col("p_size") % 10)
-    b = F.concat_ws(".", F.col("p_partkey") % 5, F.col("p_partkey") % 7, F.lit("0"))
+    two, zeros = F.concat_ws(".", F.floor(F.col("p_size") / 10), F.col("p_size") % 10), F.lit("0.0.0.0.0")
+    a = F.when(F.col("p_partkey") % 2 == 0, F.concat_ws(".", two, zeros, F.col("p_partkey") % 3)).otherwise(two)
+    b = F.concat_ws(".", F.col("p_partkey") % 5, F.col("p_partkey") % 7, zeros, F.lit("1"))
     return p.select("p_partkey", text.version_compare(a, b).cast("bigint").alias("cmp"))
 
 
-@query("SELECT DISTINCT p_name FROM part WHERE list_contains(list_transform(string_split_regex(lower(p_name), '[^a-z0-9_]+'), lambda w: starts_with(w, 'b')), true)")
+@query("SELECT p_partkey, p_name, word FROM (SELECT p_partkey, p_name, unnest(string_split_regex(p_name, '[^A-Za-z0-9_]')) AS word FROM part) WHERE starts_with(lower(word), 'b')")
 def fn_word_prefix(s, d):
-    return table(s, d, "part", "p_name").filter(text.starts_any_word(F.col("p_name"), "B")).distinct()
+    """Type-ahead: a title comes once for every word that begins with what was typed."""
+    p = table(s, d, "part", "p_partkey", "p_name").filter(text.starts_any_word(F.col("p_name"), "B"))
+    return p.select("p_partkey", "p_name", F.explode(text.words_starting(F.col("p_name"), "B")).alias("word"))
 
 
 @query(r"""SELECT doc_id, CAST(CASE WHEN regexp_matches(t, 'clash|erneut') OR regexp_matches(b, 'clash|erneut') THEN 0.0 ELSE greatest(CASE WHEN regexp_matches(t, 'divides|questions') THEN 1.0 ELSE 0 END, CASE WHEN regexp_matches(b, '(million|billion)') THEN 0.6 ELSE 0 END,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -21,17 +23,30 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """This application's folder under spark.checkpoint.dir, which all executors share.
+
+    Where that is unset, a session on this machine alone (tests) gets a temporary folder; on a cluster it is an error.
+    """
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
-        set_dir = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="loomstream-")
-        shared_dir.own = set_dir
-    return set_dir
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        set_dir = getattr(shared_dir, "own", None)
+        if not set_dir:
+            set_dir = shared_dir.own = tempfile.mkdtemp(prefix="loomstream-")
+            atexit.register(shutil.rmtree, set_dir, True)
+    return f"{set_dir}/loomstream-{spark.sparkContext.applicationId}"
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder; call it when the results are no longer needed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives the loss of executors."""
-    path = f"{shared_dir(df.sparkSession)}/loomstream-{uuid.uuid4().hex}/{name}.parquet"
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -11,11 +11,26 @@ from pyspark.sql import functions as F
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, header: bool = False) -> DataFrame:
-    """RFC-4180 CSV: quoted fields with commas, doubled quotes and line ends; blank lines are dropped."""
+    """RFC-4180 CSV: quoted fields with commas, doubled quotes and line ends; blank lines are dropped (read_csv_lines keeps them)."""
     r = spark.read.option("multiLine", True).option("quote", '"').option("escape", '"').option("header", header)
     return (r.schema(schema) if schema else r).csv(path)
 
 
+def read_csv_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, fields): every line of CSV files as an array, a blank line as one empty field.
+
+    Carriage returns are ignored, quoted fields may hold line ends and doubled quotes. Each file is one row while it is
+    split, so this is for files of modest size.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "\r", "").alias("v"))
+    whole = whole.withColumn("v", F.regexp_replace("v", "\n$", ""))
+    # a line or field ends where an even number of quotes follows it to the end
+    even = r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    lines = whole.select("file", F.posexplode(F.split("v", "\n" + even)).alias("line", "v"))
+    plain = lambda f: F.regexp_replace(F.when(f.rlike(r'^"(?s:.*)"$'), F.substring(f, 2, F.length(f) - 2)).otherwise(f), '""', '"')
+    return lines.select("file", "line", F.transform(F.split("v", "," + even), plain).alias("fields"))
+
+
 def read_lines(spark: SparkSession, path: str, comments: bool = True) -> DataFrame:
     """(value): the lines of text files; with `comments`, blank lines and those that begin with // are left out."""
     lines = spark.read.text(path)
@@ -130,6 +145,24 @@ MANIFEST_SCHEMA = (
 )
 
 
+PERSONA_SCHEMA = (
+    "name string, email string, good_url array<string>, bad_url array<string>, linked_in_contact_name array<string>, address_book_contact_name array<string>, "
+    "interest array<struct<type string, industry_code bigint, keyword string>>"
+)
+
+
+def personas(spark: SparkSession, texts: Iterable[str]) -> DataFrame:
+    """One row per persona in text format: who they are, which pages they call good or bad, and their interests. A name and an e-mail address are required."""
+    rows = []
+    for text in texts:
+        m = parse_text_proto(text)
+        if not m.get("name") or not m.get("email"):
+            raise ValueError("a persona has a name and an email")
+        interests = [(x.get("type", [None])[0], x.get("industry_code", [None])[0], x.get("entity", [{}])[0].get("keyword", [None])[0]) for x in m.get("interest", [])]
+        rows.append((m["name"][0], m["email"][0], *(m.get(k, []) for k in ("good_url", "bad_url", "linked_in_contact_name", "address_book_contact_name")), interests))
+    return spark.createDataFrame(rows, PERSONA_SCHEMA)
+
+
 def manifests(spark: SparkSession, texts: Iterable[str]) -> DataFrame:
     """One row per site manifest in text format; a handful of configuration files, read on the driver."""
     rows = []

@@ -21,6 +21,9 @@ def test_valid_keyword(spark, raw, ok):
 def test_titles_and_stems(spark):
     assert one(spark, "Big  news story - The Daily", text.clean_title) == "Big news story"
     assert one(spark, "lower case", text.clean_title) == "Lower Case"
+    assert one(spark, "A" + " | Site" * 12, text.clean_title) == "A"
+    assert one(spark, "An <<b>b>old</b> story &amp; more&nbsp;&eacute;&#8217;&#x41;&bogus; &apos;", text.clean_title) == "An old story & more é’A&bogus; ’"
+    assert one(spark, None, text.clean_title) is None
     assert len(one(spark, "x" * 300, text.clean_title)) == 256
     assert sorted(one(spark, "The Mega phantom and the mega network", text.deduping_stems)) == ["mega", "netw", "phan"]
     assert one(spark, None, text.deduping_stems) == []
@@ -35,7 +38,7 @@ def test_hashes_and_versions(spark):
 
     for s in ("", "http://x/y", "zzzzzzzzzz"):
         assert one(spark, s, text.java_hash) == java(s)
-    for a, b, want in (("1.10", "1.9", 1), ("1", "1.0", 0), ("0.9.9", "1", -1), ("2.x", "2.0", 0)):
+    for a, b, want in (("1.10", "1.9", 1), ("1", "1.0", 0), ("0.9.9", "1", -1), ("2.x", "2.0", 0), ("1.0.0.0.0.0.1", "1", 1), ("1.0.0.0.0.0.0", "1", 0)):
         assert spark.createDataFrame([(a, b)], "a string, b string").select(text.version_compare(F.col("a"), F.col("b"))).first()[0] == want
     assert one(spark, "goto(feed)!aid(123)", lambda c: text.blob_field(c, "aid")) == "123"
 
@@ -63,6 +66,11 @@ def test_dates(spark):
     for s in ("2015-02-12", "February 12, 2015", "20150212", "2015/02/12", "Thu, 12 Feb 2015", "02.12.2015", "12 February 2015", "Feb 12 2015", "2015-02-12T00:00:00+00:00", "20150212000000", "Thu, 12 Feb 2015 00:00:00 GMT"):
         assert one(spark, s, dates.parse_date_time) == ms, s
     assert one(spark, "yesterday", dates.parse_date_time) is None
+    h = 3_600_000
+    for s, want in (("Thu, 12 Feb 2015 10:00 EST", ms + 15 * h), ("Thu, 12 Feb 2015 10:00 GMT", ms + 10 * h), ("Thu, 12 Feb 2015 10:00:00 +0100", ms + 9 * h), ("12 Feb 2015 | 10:00 PST", ms + 18 * h), ("09:30 AM EDT  February 12, 2015", ms + 13 * h + h // 2),
+                    ("Thu 12 Feb 2015 at 09AM UTC", ms + 9 * h), ("Thu Feb 12, 2015   9:05 PM", ms + 21 * h + h // 12), ("Thu Feb 12 01:02:03 CET 2015", ms + 123_000 - h + h), ("Thu, Feb 12 2015, 08:00 BST", ms + 7 * h), ("2015-02-12T08:00-08:00", ms + 16 * h)):
+        want = ms + h + 123_000 - h if "CET" in s else want
+        assert one(spark, s, dates.parse_date_time) == want, s
     for u in ("http://a/2015/02/12/x", "http://a/2015-02-12-x", "http://a/20150212/x", "http://a/x-20150212", "http://a/2015/2/12/x"):
         assert one(spark, u, dates.date_from_url) == ms, u
     assert one(spark, "http://a/2015/02/x", dates.date_from_url) is None

@@ -70,6 +70,17 @@ def test_conflicts_prefixes_closure(spark):
     dead = spark.createDataFrame([("u", "acme", "org")], "u string, k string, t string")
     assert rows(J.conflict_anti_join(live, dead, "u", F.col("k"), F.col("t"), closure)) == [("u", "acme", "person"), ("v", "acme", "company")]
     names = spark.createDataFrame([("Ab",), ("Abc",), ("X",)], "name string")
+    chain = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(31)] + [("x", None), (None, "y"), ("n000", "n005")], "c string, p string")
+    far = J.closure(chain, "c", "p")
+    assert {r["ancestor"]: r["distance"] for r in far.filter("value = 'n000'").collect()} == {f"n{i:03}": i if i < 5 else i - 4 for i in range(32)}
+    assert rows(far.filter("value = 'x'").select("ancestor", "distance")) == [("x", 0)] and J.descendants(far, "n031").count() == 32
+    with pytest.raises(ValueError):
+        J.closure(spark.createDataFrame([("a", "b"), ("b", "a")], "c string, p string"), "c", "p")
+    long = spark.createDataFrame([("q" * n,) for n in range(1, 40, 2)] + [(None,), ("",)], "name string").withColumn("__h", F.lit(1))
+    kept = J.prefix_anti_join(long, "name", spark.createDataFrame([("q" * 20 + "z",), (None,)], "other string"), "other")
+    assert sorted(len(r["name"] or "") for r in kept.collect()) == [0, 0, *range(21, 40, 2)]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert rows(J.prefix_anti_join(names, "name", spark.createDataFrame([("Abba",)], "other string"), "other")) == [("Abc",), ("X",)]
 
 

@@ -74,3 +74,14 @@ def test_changes(spark):
     pr = spark.createDataFrame([("a", 1, True), ("b", 5, None), ("c", 4, False), ("d", 4, False), ("e", 1, False), ("f", None, None)], "id string, t bigint, r boolean")
     assert {r["id"] for r in store.prune(pr, 3, "t", "id", "r").collect()} == {"a", "b", "c", "d"}
     assert {r["id"] for r in readers.new_rows(pr, pr.filter("id < 'c'"), "id").collect()} == {"c", "d", "e", "f"}
+
+
+def test_csv_lines_and_personas(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('a,"b ""c"", d",e\r\n\n"two\nlines",,\n')
+    got = sorted((r["line"], r["fields"]) for r in readers.read_csv_lines(spark, str(tmp_path / "x.csv")).collect())
+    assert got == [(0, ["a", 'b "c", d', "e"]), (1, [""]), (2, ["two\nlines", "", ""])]
+    text = 'name: "Ada" email: "a@x.example"\ngood_url: "http://a" good_url: "http://b"\ninterest { type: INDUSTRY industry_code: 7 } interest { type: ENTITY entity { keyword: "Quern" } }'
+    p = readers.personas(spark, [text]).first()
+    assert (p["name"], p["good_url"], p["bad_url"]) == ("Ada", ["http://a", "http://b"], []) and [tuple(i) for i in p["interest"]] == [("INDUSTRY", 7, None), ("ENTITY", None, "Quern")]
+    with pytest.raises(ValueError):
+        readers.personas(spark, ['name: "x"'])
