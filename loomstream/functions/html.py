@@ -227,6 +227,15 @@ def page_facts(pages: DataFrame, keys: list[str]) -> DataFrame:
     return pages.select(*cols).mapInPandas(read, f"{ddl}, {PAGE}")
 
 
+def good_paragraph(text: Column, offset: Column, blacklist: Column) -> Column:
+    """Whether an element's text is a paragraph: not empty, no by-line in first place, no call to follow, none of the site's patterns (array<string>) found in it."""
+    low = F.lower(text)
+    byline = (offset == 0) & low.startswith("by ") & (F.length(text) < 100)
+    follow = (low.contains("facebook") | low.contains("twitter")) & low.contains("follow ")
+    listed = F.exists(F.coalesce(blacklist, F.array().cast("array<string>")), lambda p: F.regexp_like(text, p))
+    return F.coalesce((F.trim(text) != "") & ~byline & ~follow & ~listed, F.lit(False))
+
+
 def meta_keywords(c: Column, body: Column) -> Column:
     """Keywords of a meta tag, split by the more frequent of , and ; - those that share a word with the body."""
     sep = F.when(F.regexp_count(c, F.lit(";")) > F.regexp_count(c, F.lit(",")), ";").otherwise(",")

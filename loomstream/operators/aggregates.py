@@ -11,16 +11,43 @@ from loomstream.session import written
 PERCENTILES = (0.0, 0.01, 0.02, 0.03, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.92, 0.94, 0.95, 0.96, 0.97, 0.98, 0.99, 1.0)
 
 
-def quantile_point(value: Column, p: Column | float) -> Column:
-    return F.percentile(value, p)
-
-
 def distribution(value: Column) -> Column:
-    """array<struct<percentile, value>>: linear interpolation at (n - 1) p. No values give null."""
+    """array<struct<percentile, value>>: linear interpolation at (n - 1) p. No values give null.
+
+    For groups of modest size, as one buffer holds a group's values; distributions() has no such bound.
+    """
     q = F.percentile(value, F.array(*[F.lit(p) for p in PERCENTILES]))
     return F.transform(F.arrays_zip(F.array(*[F.lit(p) for p in PERCENTILES]).alias("p"), q.alias("v")), lambda z: F.struct(z["p"].alias("percentile"), z["v"].alias("value")))
 
 
+def distributions(df: DataFrame, keys: list[str], value: Column, partitions: int = 0) -> DataFrame:
+    """(keys, n, distribution): distribution() of every group, however large and uneven the groups are.
+
+    Rows are range-partitioned by keys and value and counted per partition; the ranks that the percentiles ask for are
+    looked up in the partitions that hold them, so no task sees more than its range and nothing goes to the driver.
+    Null values are left out; groups without values have no row; the null key is a group.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    group = F.struct(F.lit(0).alias("__0"), *[F.col(k).alias(f"__{i}") for i, k in enumerate(keys, 1)])  # a struct of nulls equals itself
+    rows = df.select(group.alias("__g"), value.cast("double").alias("__v")).filter("__v is not null")
+    ranged = written(rows.repartitionByRange(n, "__g", "__v").withColumn("__p", F.spark_partition_id()), "ranges")
+    counts = written(ranged.groupBy("__g", "__p").agg(F.count("*").alias("__c")), "counts")
+    before = Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0)))
+    points = counts.groupBy("__g").agg(F.sum("__c").alias("n")).select("__g", "n", F.explode(F.array(*[F.lit(p) for p in PERCENTILES])).alias("percentile"))
+    points = points.withColumn("__at", (F.col("n") - 1) * F.col("percentile"))
+    ranks = points.select("__g", F.explode(F.array_distinct(F.array(F.floor("__at"), F.ceil("__at")))).alias("__rank")).distinct()
+    placed = ranks.join(parts, "__g").filter("__rank >= __before and __rank < __before + __c").select("__g", "__p", "__rank", (F.col("__rank") - F.col("__before") + 1).alias("__n"))
+    order = Window.partitionBy("__g", "__p").orderBy("__v")
+    few = ranged.join(placed.select("__g", "__p").distinct(), ["__g", "__p"], "left_semi").withColumn("__n", F.row_number().over(order))
+    found = written(few.join(placed, ["__g", "__p", "__n"]).select("__g", "__rank", "__v"), "ranks")
+    low = points.withColumn("__rank", F.floor("__at")).join(found.withColumnRenamed("__v", "__low"), ["__g", "__rank"])
+    both = low.withColumn("__rank", F.ceil("__at")).join(found.withColumnRenamed("__v", "__high"), ["__g", "__rank"])
+    value_at = F.col("__low") + (F.col("__high") - F.col("__low")) * (F.col("__at") - F.floor("__at"))
+    out = both.groupBy("__g").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("percentile", value_at.alias("value")))).alias("distribution"))
+    return out.select(*[F.col(f"__g.__{i}").alias(k) for i, k in enumerate(keys, 1)], "n", "distribution")
+
+
 def project_quantile(dist: Column, x: Column) -> Column:
     """Quantile of x under a distribution: interpolated between the points around it; 0 below the first, 1 above the last."""
     around = F.struct(F.array_max(F.filter(dist, lambda z: z["value"] <= x)).alias("low"), F.array_min(F.filter(dist, lambda z: z["value"] >= x)).alias("high"))
@@ -43,14 +70,15 @@ def click_through(rows: DataFrame, keys: list[str], clicked: Column) -> DataFram
 
 def rated(rates: DataFrame, rate: str = "rate", name: str = "rating") -> DataFrame:
     """Each row's rate as a quantile of all rows' rates; the distribution is a scalar subquery."""
-    dist = rates.agg(distribution(F.col(rate))).scalar()
+    dist = distributions(rates, [], F.col(rate)).select("distribution").scalar()
     return rates.withColumn("__d", dist).withColumn(name, project_quantile(F.col("__d"), F.col(rate))).drop("__d")
 
 
 def cumulative_buckets(rows: DataFrame, age: Column, ends: list[int], value: Column) -> DataFrame:
     """(end, n, distribution): every row counts for all ranges that end after its age; `ends` are few."""
     hit = rows.select(value.alias("v"), F.explode(F.filter(F.array(*[F.lit(e).cast("bigint") for e in ends]), lambda e: e > age)).alias("end"))
-    return hit.groupBy("end").agg(F.count("*").alias("n"), distribution(F.col("v")).alias("distribution"))
+    sizes = hit.groupBy("end").agg(F.count("*").alias("n"))
+    return sizes.join(distributions(hit, ["end"], F.col("v")).drop("n"), "end", "left")
 
 
 def zero_filled(rows: DataFrame, key: str, dimension: DataFrame, aggs: list[Column]) -> DataFrame:
@@ -168,3 +196,21 @@ def last_times(df: DataFrame, key: str, time: str, n: int = 5, apart: int = 3_60
 def every_nth(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "holdback") -> DataFrame:
     """Marks rows 1, n + 1, 2 n + 1 ... of each group."""
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) % n == 0)
+
+
+def best_of_islands(df: DataFrame, keys: list[str], order: list[Column], value: Column, depth: Column, tie: str) -> DataFrame:
+    """Of each run of equal values in a group's order the row of greatest depth (ties by `tie`), with `island` and the run's `length`."""
+    runs = islands(df, keys, order, value)
+    w = Window.partitionBy(*keys, "island")
+    ranked = runs.withColumn("length", F.count("*").over(w)).withColumn("__n", F.row_number().over(w.orderBy(depth.desc_nulls_last(), F.asc(tie))))
+    return ranked.filter("__n = 1").drop("__n")
+
+
+def applicable(df: DataFrame, keys: list[str], time: str, tie: str, click: str, now: int, after: int = 172_800_000, fresh: int = 28_800_000) -> DataFrame:
+    """Rows that teach: clicked ones, those before a click of their group, and those after its last click that lie
+    less than `after` from that click and were made less than `fresh` before `now`. Groups without a click have none."""
+    w = Window.partitionBy(*keys).orderBy(time, tie)
+    later = F.count_if(F.col(click).isNotNull()).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)) > 0
+    last = F.last(click, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    tail = F.coalesce((F.abs(F.col(time) - last) < after) & (F.lit(now) - F.col(time) < fresh), F.lit(False))
+    return df.withColumn("__keep", later | tail).filter("__keep").drop("__keep")

@@ -140,3 +140,23 @@ def branch_union(branches: list[DataFrame], key: str, order: list[Column]) -> Da
         b = b.withColumn("branch", F.lit(i))
         out = b if out is None else out.unionByName(b)
     return first_wins(out, [key], [F.col("branch"), *order])
+
+
+def interleaved(streams: list[DataFrame], group: str, time: str, key: str) -> DataFrame:
+    """Several streams of each group as one, newest first: (columns, source, rank); ties by source, then key."""
+    out = None
+    for i, s in enumerate(streams):
+        s = s.withColumn("source", F.lit(i))
+        out = s if out is None else out.unionByName(s)
+    order = Window.partitionBy(group).orderBy(F.desc_nulls_last(time), "source", key)
+    return out.withColumn("rank", F.row_number().over(order))
+
+
+def range_lookup(rows: DataFrame, value: str, ranges: DataFrame, low: str, high: str, width: int) -> DataFrame:
+    """Rows with the range low <= value <= high that holds them, by an equi-join on buckets of `width`; rows without one are left out.
+
+    Ranges are listed in every bucket they touch, so width is about that of a common range. Overlapping ranges give a row each.
+    """
+    bucket = lambda c: F.floor(F.col(c) / width)
+    listed = ranges.withColumn("__b", F.explode(F.sequence(bucket(low), bucket(high))))
+    return rows.withColumn("__b", bucket(value)).join(listed, "__b").filter((F.col(value) >= F.col(low)) & (F.col(value) <= F.col(high))).drop("__b")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstream.functions.text import STOP_WORDS
-from loomstream.operators.aggregates import order_statistic
+from loomstream.operators.aggregates import order_statistic, project_quantile, top_per_group
 from loomstream.session import ship, written
 
 
@@ -152,3 +152,31 @@ def train_networks(rows: DataFrame, inputs: str, label: str, holdback: str, hidd
             yield pd.DataFrame(out, columns=["hidden", "try", "train_error", "holdback_error", "weights"])
 
     return grid.repartition(min(len(hidden) * tries, 64)).mapInPandas(fit, "hidden int, try int, train_error double, holdback_error double, weights array<array<double>>")
+
+
+def ratio_above(df: DataFrame, score: Column, threshold: Column | float) -> DataFrame:
+    """(ratio, n): share of the known scores at or above the threshold."""
+    return df.agg(F.avg(F.when(score.isNotNull(), F.when(score >= threshold, 1.0).otherwise(0.0))).alias("ratio"), F.count(score).alias("n"))
+
+
+def rescaled(similarity: Column) -> Column:
+    """The upper third of similarities stretched over all of them."""
+    return F.greatest(F.lit(0.0), similarity * 3 - 2)
+
+
+def feature_score(similarity: Column, dist: Column, boost: Column, low: Column, high: Column) -> Column:
+    """Score of a text for a feature: the quantile of its similarity, boosted by its site, mapped piecewise; no similarity scores 0."""
+    return F.coalesce(piecewise(project_quantile(dist, similarity), boost, low, high), F.lit(0.0))
+
+
+def top_words(weights: DataFrame, key: str, n: int) -> DataFrame:
+    """The n heaviest words of each vector, ties by word."""
+    return top_per_group(weights, [key], [F.desc("weight"), F.asc("word")], n)
+
+
+def reclassified(articles: DataFrame, features: DataFrame, key: str, since: int, until: int, time: str = "published_time", retain: str = "retain") -> DataFrame:
+    """Articles with new features where they fall into a slice of time or are retained, and there are new ones; others as they are."""
+    due = F.coalesce(F.col(retain), F.lit(False)) | ((F.col(time) >= since) & (F.col(time) < until))
+    new = features.select(key, F.col("feature").alias("__new"))
+    out = articles.join(new, key, "left").withColumn("feature", F.when(F.coalesce(due, F.lit(False)) & F.col("__new").isNotNull(), F.col("__new")).otherwise(F.col("feature")))
+    return out.select(*articles.columns)

@@ -269,7 +269,7 @@ _POINTS = ", ".join(str(p) for p in A.PERCENTILES)
 
 @query(f"WITH q AS (SELECT quantile_cont(value, [{_POINTS}]) AS v FROM events) SELECT CAST([{_POINTS}][i] AS DOUBLE) AS percentile, round(v[i], 6) AS value FROM (SELECT v, unnest(range(1, {len(A.PERCENTILES) + 1})) AS i FROM q)")
 def vec_distribution(s, d):
-    q = table(s, d, "events", "value").agg(A.distribution(F.col("value")).alias("d")).select(F.inline("d"))
+    q = A.distributions(table(s, d, "events", "value"), [], F.col("value")).select(F.inline("distribution"))
     return q.select("percentile", F.round("value", 6).alias("value"))
 
 
@@ -278,7 +278,7 @@ def vec_distribution(s, d):
     SELECT event_id, round(CASE WHEN hp IS NULL THEN 1.0 WHEN lp IS NULL THEN 0.0 WHEN hv = lv THEN lp ELSE lp + (x - lv) / (hv - lv) * (hp - lp) END, 6) AS quantile FROM b""")
 def vec_project_quantile(s, d):
     e = table(s, d, "events", "event_id", "value")
-    dist = e.agg(A.distribution(F.col("value"))).scalar()
+    dist = A.distributions(e, [], F.col("value")).select("distribution").scalar()
     return e.withColumn("d", dist).select("event_id", F.round(A.project_quantile(F.col("d"), F.col("value")), 6).alias("quantile"))
 
 

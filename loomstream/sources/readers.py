@@ -190,3 +190,13 @@ def write_table(df: DataFrame, path: str, mode: str = "append", partition_by: li
 def each_batch(df: DataFrame, deliver, checkpoint: str):
     """A stream delivered batch by batch to deliver(df, batch id) until the input is used up."""
     return df.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def write_side_table(df: DataFrame, path: str) -> None:
+    """A vector, distribution or normaliser table as gzip-compressed Parquet, replacing what is there."""
+    df.write.mode("overwrite").option("compression", "gzip").parquet(path)
+
+
+def read_side_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Read back with the schema it must have: a column that is missing is null, others are left out."""
+    return spark.read.schema(schema).parquet(path)

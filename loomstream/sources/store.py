@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomstream.operators.aggregates import order_statistic
 from loomstream.plans.query import Query
 
 
@@ -46,9 +47,30 @@ def insert_new(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 
 def set_field(df: DataFrame, key: str, value, name: str, new: Column) -> DataFrame:
+    """One row's field set; a key that no row has is an error."""
+    if df.filter(F.col(key) == value).isEmpty():
+        raise KeyError(f"no row has {key} {value!r}")
     return df.withColumn(name, F.when(F.col(key) == value, new).otherwise(F.col(name)))
 
 
+def put_urls(urls: DataFrame, wanted: DataFrame, key: str = "url", order: str = "ord", new_id: Column | None = None) -> DataFrame:
+    """(ord, key, id, is_new) for every wanted row, in the order they came in: the id there is, or a new one, the same for repeats."""
+    new_id = F.substring(F.sha2(F.col(key), 256), 1, 24) if new_id is None else new_id
+    have = urls.groupBy(key).agg(F.min("id").alias("__id"))
+    out = wanted.select(order, key).join(have, key, "left")
+    return out.select(order, key, F.coalesce("__id", new_id).alias("id"), F.col("__id").isNull().alias("is_new"))
+
+
+def create_table(spark: SparkSession, name: str, schema, path: str, buckets: int = 0) -> None:
+    """An empty table of the schema's stored columns; with buckets, clustered by its primary key, so that lookups and joins by it don't shuffle."""
+    from loomstream.sources.schemas import primary_key, stored
+
+    writer = stored(spark.createDataFrame([], schema), schema).write.mode("errorifexists").option("path", path)
+    if buckets:
+        writer = writer.bucketBy(buckets, primary_key(schema)).sortBy(primary_key(schema))
+    writer.saveAsTable(name)
+
+
 def push(df: DataFrame, condition: Column, name: str, values: Column) -> DataFrame:
     """Append to an array field; null is an empty array."""
     old = F.coalesce(F.col(name), F.array().cast(df.schema[name].dataType))
@@ -69,14 +91,14 @@ def delete(df: DataFrame, query: Query, key: str) -> DataFrame:
 def prune(df: DataFrame, keep: int, time: str, key: str, retain: str) -> DataFrame:
     """Retained rows and the newest others, `keep` in all; ties at the border stay.
 
-    The border is an order statistic, read from the counts of distinct times rather than from a sort of all rows.
+    The border is an order statistic, looked up in the one range of times that holds it.
     """
     others = df.filter(~F.coalesce(F.col(retain), F.lit(False)))
     retained = df.filter(F.coalesce(F.col(retain), F.lit(False))).count()
     room = max(0, keep - retained)
     if not room:
         return df.filter(F.coalesce(F.col(retain), F.lit(False)))
-    border = others.select(time).filter(F.col(time).isNotNull()).orderBy(F.desc(time)).offset(room - 1).limit(1).first()
+    border = order_statistic(others, time, room - 1, descending=True).first()
     return df if border is None else df.filter(F.coalesce(F.col(retain), F.lit(False)) | (F.col(time) >= border[0]))
 
 

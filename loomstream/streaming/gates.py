@@ -93,3 +93,9 @@ def run_to_end(df: DataFrame, name: str, mode: str) -> DataFrame:
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def heartbeat(stream: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """(keys, started, finished, n, n_open, millis) of running work, to be emitted at each trigger: how much has begun and ended, when, and how long it took."""
+    done = F.col(end).isNotNull()
+    return stream.groupBy(*keys).agg(F.min(start).alias("started"), F.max(end).alias("finished"), F.count("*").alias("n"), F.count_if(~done).alias("n_open"), F.coalesce(F.sum(F.col(end) - F.col(start)), F.lit(0)).alias("millis"))

@@ -92,6 +92,14 @@ def test_distribution_and_quantiles(spark):
     q = lambda x: d.select(A.project_quantile(F.col("d"), F.lit(x))).first()[0]
     assert (q(-2.0), q(-1.0), q(5.0), q(52.0), q(None)) == (0.0, 0.0, 0.5, 1.0, None)
     assert df.limit(0).agg(A.distribution(F.col("v")).alias("d")).first()[0] is None
+    rnd = random.Random(5)
+    data = [(rnd.choice(["hot"] * 8 + ["a", None]), rnd.choice([None, 1.5, *range(30)])) for _ in range(600)] + [("one", 4.0), ("none", None)]
+    many = spark.createDataFrame([(k, None if v is None else float(v)) for k, v in data], "k string, v double").withColumn("n", F.lit(1))
+    got = {r["k"]: (r["n"], {x["percentile"]: x["value"] for x in r["distribution"]}) for r in A.distributions(many, ["k"], F.col("v"), 5).collect()}
+    for k in ("hot", "a", None, "one"):
+        vs = [float(v) for key, v in data if key == k and v is not None]
+        assert got[k][0] == len(vs) and np.allclose([got[k][1][p] for p in A.PERCENTILES], np.quantile(vs, A.PERCENTILES))
+    assert "none" not in got and A.distributions(many.limit(0), ["k"], F.col("v")).count() == 0
     order = [A.order_statistic(df, "v", r, True, 3).collect() for r in (0, 1, 4, 9)]
     assert [o[0][0] if o else None for o in order] == [51, 50, -1, None]
 
