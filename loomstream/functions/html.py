@@ -191,7 +191,23 @@ _META = {
 }
 
 
-def facts(page: str, url: str, selectors: list[str]) -> dict:
+_FOLLOW = re.compile(r"(?i)facebook|twitter")
+
+
+def _kept(lines: list[str], blacklist: list[str], known: bool) -> list[str]:
+    """Lines without those that a pattern is found in and, on known sites, without a leading by-line and calls to follow."""
+    out: list[str] = []
+    for x in lines:
+        low = x.lower()
+        if any(re.search(p, x) for p in blacklist):
+            continue
+        if known and ((not out and low.startswith("by ") and len(x) < 100) or ("follow " in low and _FOLLOW.search(low))):
+            continue
+        out.append(x)
+    return out
+
+
+def facts(page: str, url: str, selectors: list[str], blacklist: list[str] | None = None) -> dict:
     root = parse(page)
     meta: dict[str, str] = {}
     for n in select(root, "meta"):
@@ -204,23 +220,24 @@ def facts(page: str, url: str, selectors: list[str]) -> dict:
     found = links(root, url)
     videos = found + [n.attrs.get("src", "") for n in root.walk() if n.tag in ("iframe", "source", "embed")]
     ids = (re.search(r"(?:youtube\.com/(?:watch\?(?:[^#]*&)?v=|embed/|v/)|youtu\.be/)([\w-]{6,})", v) for v in videos)
-    return out | {"paragraph": paragraphs(root, selectors), "links": found, "youtube": list(dict.fromkeys(m[1] for m in ids if m)), "keywords": meta.get("keywords") or meta.get("news_keywords")}
+    return out | {"paragraph": _kept(paragraphs(root, selectors), blacklist or [], bool(selectors)), "links": found, "youtube": list(dict.fromkeys(m[1] for m in ids if m)), "keywords": meta.get("keywords") or meta.get("news_keywords")}
 
 
 PAGE = "title string, description string, author string, type string, image_url string, published string, modified string, origin string, paragraph array<string>, links array<string>, youtube array<string>, keywords string"
 
 
 def page_facts(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys and facts of rows with url, html and optionally selectors array<string>. Null pages have empty facts."""
+    """Keys and facts of rows with url, html and optionally selectors and text_blacklist (array<string>). Null pages have empty facts."""
     ship(pages.sparkSession)
-    has = "selectors" in pages.columns
-    cols = [*dict.fromkeys([*keys, "url"]), "html", *(["selectors"] if has else [])]
+    extra = [c for c in ("selectors", "text_blacklist") if c in pages.columns]
+    cols = [*dict.fromkeys([*keys, "url"]), "html", *(c for c in extra if c not in keys)]
     names = [x.split()[0] for x in PAGE.split(", ")]
     kept = [pages.schema[k] for k in dict.fromkeys([*keys, "url"])]
 
     def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            got = [facts(h or "", u or "", list(s) if s is not None else []) for h, u, s in zip(pdf["html"], pdf["url"], pdf["selectors"] if has else [[]] * len(pdf), strict=True)]
+            lists = [pdf[c] if c in extra else [None] * len(pdf) for c in ("selectors", "text_blacklist")]
+            got = [facts(h or "", u or "", *(list(x) if x is not None else [] for x in more)) for h, u, *more in zip(pdf["html"], pdf["url"], *lists, strict=True)]
             yield pd.concat([pdf[[f.name for f in kept]].reset_index(drop=True), pd.DataFrame(got, columns=names)], axis=1)
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
@@ -238,6 +255,6 @@ def good_paragraph(text: Column, offset: Column, blacklist: Column) -> Column:
 
 def meta_keywords(c: Column, body: Column) -> Column:
     """Keywords of a meta tag, split by the more frequent of , and ; - those that share a word with the body."""
-    sep = F.when(F.regexp_count(c, F.lit(";")) > F.regexp_count(c, F.lit(",")), ";").otherwise(",")
+    sep = F.when(F.regexp_count(c, F.lit(",")) > F.regexp_count(c, F.lit(";")), ",").otherwise(";")
     words = F.split(F.lower(body), r"[^\p{L}\p{N}]+")
-    return F.filter(F.transform(F.split(c, sep), F.trim), lambda k: (k != "") & F.arrays_overlap(F.split(F.lower(k), r"[^\p{L}\p{N}]+"), words))
+    return F.filter(F.transform(F.split(c, sep), lambda k: F.trim(k)), lambda k: (k != "") & F.arrays_overlap(F.split(F.lower(k), r"[^\p{L}\p{N}]+"), words))

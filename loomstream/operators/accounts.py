@@ -66,7 +66,7 @@ def session_key(millis: Column, user: Column, salt: str) -> Column:
 
 def session_user(key: Column, salt: str) -> Column:
     """The user of a genuine session key, else null."""
-    text = F.decode(F.try_to_binary(F.translate(key, "-_", "+/"), F.lit("base64")), "UTF-8")
+    text = F.try_to_binary(F.translate(key, "-_", "+/"), F.lit("base64")).cast("string")
     parts = F.split(text, "/", 3)
     front = F.concat_ws("/", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))
     good = (F.size(parts) == 3) & (F.sha1(F.concat(F.lit(salt), front)) == F.get(parts, F.lit(2))) & F.get(parts, F.lit(0)).rlike("^[0-9]+$")
@@ -74,12 +74,12 @@ def session_user(key: Column, salt: str) -> Column:
 
 
 def clicked(notifications: DataFrame, clicks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(notifications, actions): the first click of its own reader sets a notification's click_time once; each such click is an EMAIL_CLICK action.
+    """(notifications, log of actions): the first click of its own reader sets a notification's click_time once; each such click is an EMAIL_CLICK action.
 
     clicks: notification_id, user_id, time. Clicks of other readers, of unknown notifications and later ones change nothing.
     """
     mine = clicks.join(notifications.select(F.col("id").alias("notification_id"), "user_id", F.col("click_time").alias("__was"), "url_id"), ["notification_id", "user_id"])
     first = mine.filter("__was is null").groupBy(F.col("notification_id").alias("id")).agg(F.min("time").alias("__at"))
     changed = notifications.join(first, "id", "left").withColumn("click_time", F.coalesce("click_time", "__at")).drop("__at").select(*notifications.columns)
-    log = mine.select("user_id", "url_id", F.lit("EMAIL_CLICK").alias("action_type"), F.col("time").alias("create_time"))
+    log = mine.select("notification_id", "user_id", "url_id", F.lit("EMAIL_CLICK").alias("action_type"), F.col("time").alias("create_time"))
     return changed, log

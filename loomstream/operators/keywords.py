@@ -151,7 +151,7 @@ def canonical_keywords(rows: DataFrame, key: str, links: DataFrame, entities: Da
     """
     ship(rows.sparkSession)
     kind = dict(rows.dtypes)[key]
-    good = rows.filter(valid_keyword(F.col("keyword"))).join(F.broadcast(depths.select("type", "depth")), "type", "left")  # a row per type
+    good = rows.select(key, "ord", "keyword", "type", "strength", "paragraph_number").filter(valid_keyword(F.col("keyword"))).join(F.broadcast(depths.select("type", "depth")), "type", "left")  # a row per type
     good = good.select(key, "ord", "keyword", "type", F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("strength", F.lit(0)).alias("strength"), "paragraph_number")
     lists = good.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "keyword", "type", "depth", "strength", "paragraph_number"))).alias("all"))
     out_cols = ["ord", "keyword", "type", "strength", "paragraph_number"]
@@ -173,8 +173,8 @@ def canonical_keywords(rows: DataFrame, key: str, links: DataFrame, entities: Da
 
 def best_entities(entities: DataFrame, depths: DataFrame) -> DataFrame:
     """Of the entities of each keyword the best one: by importance, then number of topics, then depth of the type, then id."""
-    ranked = entities.join(F.broadcast(depths.select("type", "depth")), "type", "left")  # a row per type
-    order = Window.partitionBy("keyword").orderBy(F.desc_nulls_last("importance"), F.desc_nulls_last("topics"), F.desc_nulls_last("depth"), "id")
+    ranked = entities.join(F.broadcast(depths.select("type", F.col("depth").alias("__depth"))), "type", "left")  # a row per type
+    order = Window.partitionBy("keyword").orderBy(F.desc_nulls_last("importance"), F.desc_nulls_last("topics"), F.desc_nulls_last("__depth"), "id")
     return ranked.withColumn("__n", F.row_number().over(order)).filter("__n = 1").select(*entities.columns)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstream.operators.aggregates import top_per_group
@@ -154,3 +154,13 @@ def with_next_page(rows: DataFrame, k: int) -> DataFrame:
     """The first k positions of each stream and whether there are more (rows hold one position more than shown)."""
     more = rows.groupBy("stream").agg((F.count("*") > k).alias("next_page"))
     return rows.filter(F.col("position") < k).join(more, "stream")
+
+
+def image_first(rows: DataFrame, group: str, order: list[Column], has_image: Column) -> DataFrame:
+    """Rows with `rank` in their group's order, but the first row with an image at the head; the others keep their order."""
+    w = Window.partitionBy(group).orderBy(*order)
+    ranked = rows.withColumn("__r", F.row_number().over(w))
+    first = ranked.filter(has_image).groupBy(group).agg(F.min("__r").alias("__i"))
+    out = ranked.join(first, group, "left")
+    moved = F.when(F.col("__r") == F.col("__i"), 1).when(F.col("__r") < F.col("__i"), F.col("__r") + 1).otherwise(F.col("__r"))
+    return out.withColumn("rank", moved.cast("int")).drop("__r", "__i")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomstream.functions.text import STOP_WORDS
 from loomstream.operators.aggregates import order_statistic, project_quantile, top_per_group
-from loomstream.session import ship, written
+from loomstream.session import salted_join, ship, skew_join, written
 
 
 def tokens(c: Column) -> Column:
@@ -30,15 +30,18 @@ def universe(counts: DataFrame, key: str) -> DataFrame:
 
 
 def tf_idf(counts: DataFrame, corpus: DataFrame, documents: int) -> DataFrame:
-    """Counts with weight tf ln(N / (1e-6 + df)); a word the corpus doesn't have has df 0."""
+    """Counts with weight tf ln(N / (1e-6 + df)); a word the corpus doesn't have has df 0.
+
+    Words that many documents have are spread over tasks by their df. The corpus is read three times: a written table.
+    """
     df = F.coalesce(F.col("df"), F.lit(0))
-    return counts.join(corpus.select("word", "df"), "word", "left").withColumn("weight", F.col("tf") * F.log(F.lit(float(documents)) / (df + 1e-6))).drop("df")
+    return skew_join(counts, corpus.select("word", "df"), ["word"], "df", "left").withColumn("weight", F.col("tf") * F.log(F.lit(float(documents)) / (df + 1e-6))).drop("df")
 
 
 def cosine_with(weights: DataFrame, key: str, seed: DataFrame) -> DataFrame:
     """(key, similarity) of each vector with one seed vector (word, weight); zero norms give 0."""
     norm = seed.agg(F.sqrt(F.sum(F.col("weight") ** 2))).scalar()
-    both = weights.join(seed.select("word", F.col("weight").alias("ws")), "word", "left")
+    both = salted_join(weights, seed.select("word", F.col("weight").alias("ws")), ["word"], "left")
     out = both.groupBy(key).agg(F.sum(F.col("weight") * F.coalesce("ws", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("weight") ** 2)).alias("n"))
     out = out.withColumn("ns", norm)
     return out.select(key, F.coalesce(F.try_divide("dot", F.col("n") * F.col("ns")), F.lit(0.0)).alias("similarity"))
@@ -166,7 +169,7 @@ def rescaled(similarity: Column) -> Column:
 
 def feature_score(similarity: Column, dist: Column, boost: Column, low: Column, high: Column) -> Column:
     """Score of a text for a feature: the quantile of its similarity, boosted by its site, mapped piecewise; no similarity scores 0."""
-    return F.coalesce(piecewise(project_quantile(dist, similarity), boost, low, high), F.lit(0.0))
+    return F.when(similarity.isNull() | dist.isNull(), 0.0).otherwise(piecewise(project_quantile(dist, similarity), boost, low, high))
 
 
 def top_words(weights: DataFrame, key: str, n: int) -> DataFrame:

@@ -136,7 +136,7 @@ def srt_top_list(s, d):
 
 @query("SELECT published_time FROM article ORDER BY published_time DESC NULLS LAST LIMIT 1 OFFSET 100")
 def srt_offset_statistic(s, d):
-    return table(s, d, "article", "published_time").orderBy(F.desc_nulls_last("published_time")).offset(100).limit(1)
+    return A.order_statistic(table(s, d, "article", "published_time"), "published_time", 100, descending=True)
 
 
 @query("SELECT p_name, row_number() OVER (ORDER BY CASE WHEN starts_with(lower(p_name), 'b') THEN 0 ELSE 1 END, p_name, p_partkey) AS rank FROM part WHERE lower(p_name) LIKE '%b%' ORDER BY rank LIMIT 60")
@@ -233,7 +233,8 @@ def jn_contained_elements(s, d):
     a = table(s, d, "article", "url_id", "keyword")
     known = a.select(F.explode("keyword").alias("k"), "url_id").select(F.lower("k.keyword").alias("keyword"), "url_id").distinct()
     top = known.groupBy("keyword").agg(F.count("*").alias("n")).filter("n >= 5").select("keyword")
-    return known.join(top, "keyword").groupBy("keyword").agg(F.count("*").alias("articles"))
+    met = J.contained_elements_join(a.select("url_id", F.transform("keyword", lambda k: F.struct(F.lower(k["keyword"]).alias("low"))).alias("ks")), "ks", "low", top, "keyword")
+    return met.select("keyword", "url_id").distinct().groupBy("keyword").agg(F.count("*").alias("articles"))
 
 
 @query("""SELECT DISTINCT a.user_id, a.url_id FROM (SELECT * FROM user_action WHERE action_type <> 'UNFAVORITE') a

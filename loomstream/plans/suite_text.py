@@ -121,22 +121,22 @@ def fn_valid_keyword(s, d):
     return k.select("keyword", text.valid_keyword(F.col("keyword")).alias("valid"))
 
 
-def _clean_sql(c):
+def clean_sql(c):
     """clean_keyword() of a column in SQL, step by step as table expressions of one column each."""
     spell = "y"
     for wrong, right in text.SPELLINGS:
         spell = f"regexp_replace({spell}, '{wrong}', '{right}', 'gi')"
     end = r'''regexp_replace(x, '[’''”",;\-!?*)/$—″\]\s]+$', '')'''
-    return rf"""a AS (SELECT {c} AS k, regexp_replace(trim({c}), '^[‘''“"()\-.?:&,!*+/—%…\[\s]+', '') AS x FROM src),
-    b AS (SELECT k, x, {end} AS e FROM a),
-    c AS (SELECT k, CASE WHEN regexp_matches(x, '[’'']s$') THEN trim(regexp_replace(x, '[’'']s$', '')) ELSE trim(regexp_replace(CASE WHEN ends_with(e, '.') AND len(string_split(e, '.')) = 2 THEN rtrim(left(e, length(e) - 1)) ELSE e END, '-based$', '')) END AS z FROM b),
-    d AS (SELECT k, trim(regexp_replace(z, '[’''].*$', '')) AS z FROM c),
-    e AS (SELECT k, z, CASE WHEN regexp_matches(z, '^\p{{Lu}}') THEN z ELSE array_to_string(list_transform(string_split(lower(z), ' '), lambda w: upper(w[1]) || w[2:]), ' ') END AS y FROM d),
-    f AS (SELECT k, CASE WHEN regexp_matches(z, '^([A-Z]+\.){{2,10}}$') THEN replace(z, '.', '') ELSE {spell} END AS clean FROM e)"""
+    return rf"""ka AS (SELECT {c} AS k, regexp_replace(trim({c}), '^[‘''“"()\-.?:&,!*+/—%…\[\s]+', '') AS x FROM src),
+    kb AS (SELECT k, x, {end} AS e FROM ka),
+    kc AS (SELECT k, CASE WHEN regexp_matches(x, '[’'']s$') THEN trim(regexp_replace(x, '[’'']s$', '')) ELSE trim(regexp_replace(CASE WHEN ends_with(e, '.') AND len(string_split(e, '.')) = 2 THEN rtrim(left(e, length(e) - 1)) ELSE e END, '-based$', '')) END AS z FROM kb),
+    kd AS (SELECT k, trim(regexp_replace(z, '[’''].*$', '')) AS z FROM kc),
+    ke AS (SELECT k, z, CASE WHEN regexp_matches(z, '^\p{{Lu}}') THEN z ELSE array_to_string(list_transform(string_split(lower(z), ' '), lambda w: upper(w[1]) || w[2:]), ' ') END AS y FROM kd),
+    kf AS (SELECT k, CASE WHEN regexp_matches(z, '^([A-Z]+\.){{2,10}}$') THEN replace(z, '.', '') ELSE {spell} END AS clean FROM ke)"""
 
 
-@query(rf"""WITH src AS (SELECT DISTINCT keyword FROM (SELECT k.keyword AS keyword FROM (SELECT unnest(keyword) AS k FROM article) UNION ALL SELECT unnest(string_split(title, ' ')) FROM article)), {_clean_sql("keyword")}
-    SELECT k AS keyword, clean, regexp_replace(k, '^(dr|mr|ms|mrs|miss|prof|rev)\.?\s+', '', 'i') AS bare FROM f""")
+@query(rf"""WITH src AS (SELECT DISTINCT keyword FROM (SELECT k.keyword AS keyword FROM (SELECT unnest(keyword) AS k FROM article) UNION ALL SELECT unnest(string_split(title, ' ')) FROM article)), {clean_sql("keyword")}
+    SELECT k AS keyword, clean, regexp_replace(k, '^(dr|mr|ms|mrs|miss|prof|rev)\.?\s+', '', 'i') AS bare FROM kf""")
 def fn_clean_keyword(s, d):
     a = table(s, d, "article", "keyword", "title")
     k = a.select(F.explode("keyword.keyword").alias("keyword")).unionByName(a.select(F.explode(F.split("title", " ")).alias("keyword"))).distinct()
@@ -162,8 +162,8 @@ def fn_clean_title(s, d):
 _STOPS = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 
 
-@query(rf"""WITH src AS (SELECT DISTINCT unnest(string_split_regex(coalesce(title, ''), '[\s\x{{A0}}]+')) AS word FROM article), {_clean_sql("word")},
-    w AS (SELECT k, left(lower(clean), 4) AS stem FROM f WHERE length(clean) >= 2 AND lower(clean) NOT IN ({_STOPS})),
+@query(rf"""WITH src AS (SELECT DISTINCT unnest(string_split_regex(coalesce(title, ''), '[\s\x{{A0}}]+')) AS word FROM article), {clean_sql("word")},
+    w AS (SELECT k, left(lower(clean), 4) AS stem FROM kf WHERE length(clean) >= 2 AND lower(clean) NOT IN ({_STOPS})),
     t AS (SELECT DISTINCT url_id, title, unnest(string_split_regex(coalesce(title, ''), '[\s\x{{A0}}]+')) AS k FROM article),
     g AS (SELECT url_id, title, list_sort(list(DISTINCT stem)) AS stems FROM t JOIN w USING (k) GROUP BY 1, 2)
     SELECT a.url_id, coalesce(array_to_string(g.stems, ' '), '') AS stems FROM article a LEFT JOIN g ON a.url_id = g.url_id AND a.title IS NOT DISTINCT FROM g.title""")
@@ -182,8 +182,9 @@ def fn_clean_url(s, d):
     return u.select("id", urls.clean_url(F.col("url"), F.col("is_https"), F.array(F.lit("id"))).alias("url"))
 
 
-@query(r"""SELECT id, length(url) <= 767 AND NOT regexp_matches(h, '^videos?\.') AND NOT regexp_matches(p, '/videos?/|/cgi-bin/') AND NOT regexp_matches(p, '\.(gif|jpe?g|png|mp3|mp4|mov|pdf|zip|exe|rss|xml|swf)$') AS allowed
-    FROM (SELECT id, url, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS h, lower(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)) AS p FROM url)""")
+@query(r"""SELECT id, length(url) <= 767 AND NOT (contains(h, 'video.') OR contains(h, 'videos.') OR starts_with(p, '/cgi-bin/') OR contains(p, '/video/') OR contains(p, '/videos/'))
+      AND NOT regexp_matches(p, '(/atom\.xml|/rss\.xml|\.gif|\.jpeg|\.jpg|\.mp3|\.mp4|\.mpeg|\.pdf|\.png)$') AS allowed
+    FROM (SELECT id, url, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS h, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS p FROM url)""")
 def fn_allowed_url(s, d):
     return table(s, d, "url", "id", "url").select("id", urls.allowed_url(F.col("url")).alias("allowed"))
 
@@ -240,9 +241,8 @@ def vec_universe(s, d):
 @query(f"WITH {_TOKENS} SELECT doc_id, word, round(tf * ln((SELECT count(*) FROM documents) / (df + 1e-6)), 6) AS weight FROM c JOIN u USING (word)")
 def vec_tf_idf(s, d):
     docs = table(s, d, "documents", "doc_id", "text")
-    counts = V.word_counts(docs, "doc_id", F.col("text"))
-    known = V.universe(counts, "doc_id")
-    w = V.tf_idf(counts, known, docs.count())
+    counts = written(V.word_counts(docs, "doc_id", F.col("text")), "counts")
+    w = V.tf_idf(counts, written(V.universe(counts, "doc_id"), "universe"), docs.count())
     return w.select("doc_id", "word", F.round("weight", 6).alias("weight"))
 
 
@@ -250,8 +250,8 @@ def vec_tf_idf(s, d):
     n AS (SELECT sqrt(sum(ws * ws)) AS ns FROM s) SELECT doc_id, round(coalesce(sum(weight * coalesce(ws, 0)) / nullif(sqrt(sum(weight * weight)) * (SELECT ns FROM n), 0), 0), 6) AS similarity FROM w LEFT JOIN s USING (word) GROUP BY 1""")
 def vec_cosine_with_seed(s, d):
     docs = table(s, d, "documents", "doc_id", "text")
-    counts = V.word_counts(docs, "doc_id", F.col("text"))
-    w = V.tf_idf(counts, V.universe(counts, "doc_id"), docs.count())
+    counts = written(V.word_counts(docs, "doc_id", F.col("text")), "counts")
+    w = written(V.tf_idf(counts, written(V.universe(counts, "doc_id"), "universe"), docs.count()), "weights")
     seed = w.filter("doc_id % 100 = 0").groupBy("word").agg(F.sum("weight").alias("weight"))
     return V.cosine_with(w, "doc_id", seed).select("doc_id", F.round("similarity", 6).alias("similarity"))
 
@@ -482,9 +482,12 @@ def html_titles(s, d):
     return html.page_facts(_pages(s, d), ["url_id"]).filter("title is not null").select("url_id", "title")
 
 
-@query()
+@query(r"""WITH a AS (SELECT url_id, paragraph, url FROM (SELECT *, row_number() OVER (PARTITION BY url_id ORDER BY url) AS n FROM article) WHERE n = 1), l AS (SELECT url_id, unnest(paragraph) AS p FROM a WHERE paragraph IS NOT NULL),
+    s AS (SELECT url_id, trim(regexp_replace(unnest(string_split(p, chr(10))), '[\s\x0b\x{A0}]+', ' ', 'g')) AS line FROM l), c AS (SELECT url_id, count(*) AS n FROM s WHERE line <> '' AND NOT contains(line, 'Photo gallery') GROUP BY 1)
+    SELECT a.url_id, CAST(coalesce(c.n, 0) AS BIGINT) AS paragraphs, regexp_extract(a.url, '^[a-z]+://[^/?#]+') || '/home' AS link FROM a LEFT JOIN c USING (url_id)""")
 def html_paragraphs(s, d):
-    return html.page_facts(_pages(s, d), ["url_id"]).select("url_id", F.size("paragraph").alias("paragraphs"), F.element_at("links", 1).alias("link"))
+    pages = _pages(s, d).withColumn("text_blacklist", F.array(F.lit("Photo gallery")))
+    return html.page_facts(pages, ["url_id"]).select("url_id", F.size("paragraph").cast("bigint").alias("paragraphs"), F.element_at("links", 1).alias("link"))
 
 
 # ---------------------------------------------------------------- streams (M)
@@ -516,16 +519,34 @@ def str_recency_gate(s, d):
     return gates.recency_gate_batch(table(s, d, "user_action", "url_id", "create_time"), "url_id", "create_time", 86_400_000)
 
 
-@query()
+_GATE_SQL = """WITH RECURSIVE a AS (SELECT url_id, create_time AS t, row_number() OVER (PARTITION BY url_id ORDER BY create_time) AS n FROM user_action WHERE url_id IS NOT NULL AND create_time IS NOT NULL),
+    w AS (SELECT url_id, t, n, t AS last, true AS kept FROM a WHERE n = 1 UNION ALL SELECT a.url_id, a.t, a.n, CASE WHEN a.t - w.last >= 86400000 THEN a.t ELSE w.last END, a.t - w.last >= 86400000 FROM w JOIN a ON a.url_id = w.url_id AND a.n = w.n + 1)
+    SELECT url_id, t AS create_time FROM w WHERE kept"""
+
+
+def _in_time(s, d, *cols):
+    """Actions as a stream whose files come in order of time."""
+    path = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    a = table(s, d, "user_action", *cols).filter("create_time is not null")
+    cuts = [-1, *[r[0] for r in A.distributions(a, [], F.col("create_time")).select(F.inline("distribution")).filter("percentile in (0.3, 0.6)").select(F.floor("value")).collect()], 1 << 62]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        a.filter((F.col("create_time") > low) & (F.col("create_time") <= high)).coalesce(1).write.mode("append").parquet(path)
+    return s.readStream.schema(a.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(_GATE_SQL)
 def str_recency_gate_stream(s, d):
-    st = _stream(s, d, "url_id", "create_time").filter("url_id is not null")
+    st = _in_time(s, d, "url_id", "create_time").filter("url_id is not null")
     return gates.run_to_end(gates.recency_gate(st, "url_id", "create_time", 86_400_000), f"gate_{uuid.uuid4().hex}", "append")
 
 
-@query()
+@query("""WITH x AS (SELECT user_id, create_time AS t, lag(create_time) OVER (PARTITION BY user_id ORDER BY create_time) AS b FROM user_action WHERE create_time IS NOT NULL),
+    k AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t DESC) AS n FROM x WHERE b IS NULL OR t - b > 3600000)
+    SELECT user_id, count(*) AS n, max(t) AS newest, min(t) AS oldest FROM k WHERE n <= 5 GROUP BY 1""")
 def str_last_uses(s, d):
-    out = gates.run_to_end(gates.last_uses(_stream(s, d, "user_id", "create_time"), "user_id", "create_time"), f"uses_{uuid.uuid4().hex}", "update")
-    return out.select("user_id", F.size("times").alias("n"))
+    out = gates.run_to_end(gates.last_uses(_in_time(s, d, "user_id", "create_time"), "user_id", "create_time"), f"uses_{uuid.uuid4().hex}", "update")
+    last = out.groupBy("user_id").agg(F.max("times").alias("times"))  # of a key's updates the newest
+    return last.select("user_id", F.size("times").cast("bigint").alias("n"), F.array_max("times").alias("newest"), F.array_min("times").alias("oldest"))
 
 
 FLAGSHIP = rank_streams

@@ -56,8 +56,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: list[str], weight: str) -> DataFrame:
-    """Inner join of a large left side to a right side that is unique on the keys and says in `weight` how many rows each key has.
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """Inner or left join of a large left side to a right side that is unique on the keys and says in `weight` how many rows each key has.
 
     Keys of more than half a task's share of all rows are heavy - at most two a task, so they may be broadcast; their
     left rows are spread over as many tasks as there are shuffle partitions, and only they are repeated on the right.
@@ -69,7 +69,7 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], weight: str) ->
     hashable = [c for c, t in left.dtypes if not t.startswith("map")]
     left = left.join(F.broadcast(heavy), on, "left").withColumn("__salt", F.pmod(F.xxhash64(*hashable), F.coalesce("__n", F.lit(1))).cast("int")).drop("__n")
     few = F.when(F.col(weight) > total / (2 * parts), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
-    return left.join(right.withColumn("__salt", F.explode(few)), [*on, "__salt"]).drop("__salt")
+    return left.join(right.withColumn("__salt", F.explode(few)), [*on, "__salt"], how).drop("__salt")
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salts: int = 8) -> DataFrame:

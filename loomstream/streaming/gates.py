@@ -11,15 +11,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from loomstream.session import ship
+from loomstream.session import shared_dir, ship
 
 
-def recency_gate(stream: DataFrame, key: str, time: str, gap: int) -> DataFrame:
-    """(key, time) of the events that come at least `gap` after the key's last one let through; state is one time per key."""
+def recency_gate(stream: DataFrame, key: str, time: str, gap: int, late: str = "1 hour") -> DataFrame:
+    """(key, time) of the events that come at least `gap` after the key's last one let through; state is one time per key.
+
+    A key's state ends when event time has passed it by the gap, so what is kept is bounded by the keys of one gap.
+    Events that come later than `late` after newer ones are dropped.
+    """
     ship(stream.sparkSession)
     kind = dict(stream.dtypes)[key]
 
     def step(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         times = sorted(int(t) for pdf in pdfs for t in pdf[time].dropna())
         out = []
@@ -29,9 +36,11 @@ def recency_gate(stream: DataFrame, key: str, time: str, gap: int) -> DataFrame:
                 last = t
         if last is not None:
             state.update((last,))
+            state.setTimeoutTimestamp(max(last + gap, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [k[0]] * len(out), time: out})
 
-    return stream.select(key, time).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {time} bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
+    timed = stream.select(key, time, F.timestamp_millis(time).alias("__ts")).filter(F.col(time).isNotNull()).withWatermark("__ts", late)
+    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {time} bigint", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def recency_gate_batch(df: DataFrame, key: str, time: str, gap: int) -> DataFrame:
@@ -87,12 +96,19 @@ def last_uses(stream: DataFrame, key: str, time: str, n: int = 5, apart: int = 3
 
 
 def run_to_end(df: DataFrame, name: str, mode: str) -> DataFrame:
-    """Drive a stream over what its source holds now and return the result table."""
-    from loomstream.session import shared_dir
+    """Drive a stream over what its source holds now and return the result table, written batch by batch to the shared folder.
+
+    'complete' keeps the last batch's result, 'append' and 'update' all batches' rows.
+    """
+    root = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{root}/rows")
 
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    df.sparkSession.createDataFrame([], df.schema).write.parquet(f"{root}/rows")
+    q = df.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{root}/rows")
 
 
 def heartbeat(stream: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
