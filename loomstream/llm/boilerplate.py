@@ -1,18 +1,21 @@
 """Page furniture against the article's own body: a bidirectional LSTM that labels every block of a page.
 
-Each block is a vector: the mean of trained embeddings of its hashed words, and its shape (lengths, capitals,
-digits, separators, how it begins and ends, where it stands). The tables hold no markup, so the block's place
-and shape stand where tag paths would. The network reads a document's blocks in both directions, so each label
+Each block is a vector: the mean of trained embeddings of its hashed words, of its edges and of its tag path, and its
+shape (lengths, capitals, digits, separators, how it begins and ends, where it stands). Tag paths are read where the
+pages have them (`tag_path`, an array parallel to the blocks, such as "html/body/div.nav/ul/li"); pages without markup
+have none, and place and shape stand in for them. The network reads a document's blocks in both directions, so each label
 rests on the whole document. All of it is numpy; documents of like length are labelled together.
 
 There are no hand labels. The network is trained on a bounded sample of pages (`sample_pages`) with labels made
-from two facts: lines that stand in several pages, or whose wording is frequent on pages but unknown to the
-corpus of clean texts, are furniture; paragraphs of the clean texts are body. A logistic model over these spreads
+from two facts: lines that stand in several pages of their site (counted over all pages there are, not in the sample),
+or whose wording is frequent on pages but unknown to the corpus of clean texts, are furniture; paragraphs of the clean
+texts are body. A logistic model over these spreads
 the labels to the other blocks of the sample; what it is unsure of is left out of the loss.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,8 +25,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstream.llm.repeated_lines import MIN_SUPPORT, line_key, line_rows
 from loomstream.llm.words import batches, codepoints, mix, runs, words
-from loomstream.session import ship
+from loomstream.session import ship, written
 
 BUCKETS, DIM, HIDDEN = 1 << 13, 12, 24
 SAMPLE_PAGES, SAMPLE_CLEAN = 2_000, 2_000
@@ -66,17 +70,28 @@ class Blocks:
     """Features of the blocks of some documents.
 
     h, at: word hashes (numbers alike) and the first word of each block; edges: buckets of a block's first word,
-    first two words and last word; shape: numbers about form, place, and how many of its names the rest of the
+    first two words and last word, of its tag path and of that path's last two steps (-1: none); shape: numbers about form, place, and how many of its names the rest of the
     document uses too; heads: first block of each document.
     """
 
-    def __init__(self, texts: list[str], per_doc: np.ndarray, origins: list[str], common: np.ndarray):
+    def __init__(self, texts: list[str], per_doc: np.ndarray, origins: list[str], common: np.ndarray, tags: list[str] | None = None):
         self.h, self.at, self.shape, self.heads, self.edges = block_features(texts, per_doc, origins, common)
+        self.edges = np.concatenate([self.edges, tag_edges(tags, len(texts))], 1)
 
     def __len__(self) -> int:
         return len(self.shape)
 
 
+def tag_edges(tags: list[str] | None, n: int) -> np.ndarray:
+    """(blocks, 2): buckets of each tag path and of its last two steps; -1 where there is none."""
+    out = np.full((n, 2), -1, np.int64)
+    for i, path in enumerate(tags or []):
+        if path:
+            for j, part in enumerate((path, "/".join(path.split("/")[-2:]))):
+                out[i, j] = zlib.crc32(f"{j} {part}".encode()) & (BUCKETS - 1)
+    return out
+
+
 def _cohesion(h, at, named, heads, origins) -> tuple[np.ndarray, np.ndarray]:
     """(names in each block, share of them that another block of the document has)."""
     n = len(at) - 1
@@ -87,10 +102,13 @@ def _cohesion(h, at, named, heads, origins) -> tuple[np.ndarray, np.ndarray]:
     site = mix(oh + np.repeat(np.arange(len(origins)), np.diff(oat)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     own = ~np.isin(key, site)  # the site's own name is on all of its pages
     owner, key = owner[own], key[own]
-    pair = key ^ mix(owner.astype(np.uint64) + np.uint64(1))
-    _, one = np.unique(pair, return_index=True)
-    vocab, blocks = np.unique(key[one], return_counts=True)
-    shared = (blocks > 1)[np.searchsorted(vocab, key)] if len(key) else np.zeros(0, bool)
+    shared = np.zeros(len(key), bool)
+    if len(key):
+        order = np.argsort(key)
+        cuts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+        blocks = owner[order]
+        several = np.minimum.reduceat(blocks, cuts) != np.maximum.reduceat(blocks, cuts)
+        shared[order] = np.repeat(several, np.diff(np.r_[cuts, len(key)]))
     count = np.bincount(owner, minlength=n).astype(np.float32)
     return count, (np.bincount(owner, shared, minlength=n) / np.maximum(count, 1)).astype(np.float32)
 
@@ -166,8 +184,8 @@ def pooled(emb: np.ndarray, x: Blocks) -> np.ndarray:
     total = np.zeros((n, emb.shape[1]), np.float32)
     full = np.flatnonzero(np.diff(x.at))
     if len(full):
-        total[full] = np.add.reduceat(emb[(x.h & np.uint64(BUCKETS - 1)).astype(np.int64)], x.at[full], axis=0)
-    edge = emb[np.maximum(x.edges, 0)].sum(1) * (x.edges[:, :1] >= 0)
+        total[full] = np.add.reduceat(emb.take((x.h & np.uint64(BUCKETS - 1)).astype(np.int64), axis=0), x.at[full], axis=0)
+    edge = (emb.take(np.maximum(x.edges, 0), axis=0) * (x.edges >= 0)[:, :, None]).sum(1)
     return np.concatenate([total / np.maximum(np.diff(x.at), 1)[:, None].astype(np.float32), edge / 3], 1)
 
 
@@ -245,15 +263,15 @@ class Labeller:
 
     def forward(self, x: np.ndarray, grid: np.ndarray, keep: bool = False):
         live = (grid >= 0).astype(np.float32)
-        cells = x[np.maximum(grid, 0)] * live[:, :, None]
+        cells = x.take(np.maximum(grid, 0), axis=0) * live[:, :, None]
         fw, tf = _lstm(cells @ self.p["wf"] + self.p["bf"], self.p["uf"], live, keep)
         bw, tb = _lstm((cells @ self.p["wb"] + self.p["bb"])[:, ::-1], self.p["ub"], live[:, ::-1], keep)
         top = np.concatenate([fw, bw[:, ::-1], cells], 2)
         return _sigmoid((top @ self.p["w"])[:, :, 0] + self.p["b"]), (live, cells, tf, tb, top)
 
-    def predict(self, texts: list[str], per_doc: np.ndarray, origins: list[str]) -> np.ndarray:
+    def predict(self, texts: list[str], per_doc: np.ndarray, origins: list[str], tags: list[str] | None = None) -> np.ndarray:
         """Chance of each block to be furniture."""
-        return self.predict_features(Blocks(texts, per_doc, origins, self.common))
+        return self.predict_features(Blocks(texts, per_doc, origins, self.common, tags))
 
     def predict_features(self, blocks: Blocks) -> np.ndarray:
         x = np.concatenate([pooled(self.p["emb"], blocks), blocks.shape], 1)
@@ -287,11 +305,11 @@ class Labeller:
                 pool = np.zeros((len(blocks), DIM), np.float32)
                 full = np.flatnonzero(lengths[blocks])
                 if len(full):
-                    vec = self.p["emb"][bucket[ws]] * keep[:, None]
+                    vec = self.p["emb"].take(bucket[ws], axis=0) * keep[:, None]
                     pool[full] = np.add.reduceat(vec, np.searchsorted(owner, full), axis=0)
                 e = edges[blocks]
-                has = (e[:, :1] >= 0) & (rng.random((len(blocks), 1)) < 0.85)
-                edge = self.p["emb"][np.maximum(e, 0)].sum(1) * has / 3
+                has = ((e >= 0) & (rng.random((len(blocks), 1)) < 0.85))[:, :, None]
+                edge = (self.p["emb"].take(np.maximum(e, 0), axis=0) * has).sum(1) / 3
                 x = np.concatenate([pool * scale[:, None], edge, shape[blocks]], 1).astype(np.float32)
                 grads = {k: np.zeros_like(v) for k, v in self.p.items() if k != "emb"}
                 dx_all = np.zeros_like(x)
@@ -315,7 +333,7 @@ class Labeller:
                 step += 1
                 fix = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 de = (dx_all[:, :DIM] * scale[:, None])[owner[keep]]
-                dedge = np.repeat((dx_all[:, DIM : 2 * DIM] * has / 3)[:, None], 3, 1).reshape(-1, DIM)
+                dedge = (dx_all[:, None, DIM : 2 * DIM] * has / 3).reshape(-1, DIM)
                 rows, inv = np.unique(np.r_[bucket[ws[keep]], np.maximum(e, 0).ravel()], return_inverse=True)
                 ge = np.zeros((len(rows), DIM), np.float32)
                 np.add.at(ge, inv, np.concatenate([de, dedge]))
@@ -338,10 +356,10 @@ def _trigrams(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g[ok], owner[:-2][ok]
 
 
-def weak_labels(x: Blocks, doc_of: np.ndarray, n_pages: int) -> tuple[np.ndarray, np.ndarray]:
+def weak_labels(x: Blocks, doc_of: np.ndarray, n_pages: int, listed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(label, weight) of the blocks of pages (doc_of < n_pages) and clean texts.
 
-    Furniture: the same words in five pages or more, or wording frequent on pages and unknown to clean texts at
+    Furniture: blocks that are `listed` as repeated on their site, the same words in five pages or more, or wording frequent on pages and unknown to clean texts at
     the block's start or in much of it. Body: clean texts, and whole sentences about the names that the rest of
     the page is about; these win over wording, as prose may talk of cookies or rights.
     """
@@ -372,6 +390,8 @@ def weak_labels(x: Blocks, doc_of: np.ndarray, n_pages: int) -> tuple[np.ndarray
     repeated = np.zeros(n, bool)
     if len(lines):
         repeated[~clean] = docs[np.searchsorted(lines, bag[~clean])] >= 5
+    if listed is not None:
+        repeated |= listed
     known = np.isin(bag, bag[clean])
     prose = (shape[:, _ENDS_SENTENCE] > 0) & (shape[:, _COHESION] >= 0.5) & (shape[:, _NAMES] >= np.log(3) / 2) & (np.diff(at) >= 8)
     body = ~clean & (known | prose & ((shape[:, _SENTENCES] >= np.log(3)) | ~(repeated | leads | (share >= 0.3))))
@@ -404,26 +424,40 @@ def weak_labels(x: Blocks, doc_of: np.ndarray, n_pages: int) -> tuple[np.ndarray
     return target, weight
 
 
-def fit(pages: list[list[str]], origins: list[str], clean: list[str], epochs: int = 6) -> Labeller:
-    """Train on the blocks of sampled pages and the paragraphs of clean texts."""
+def fit(pages: list[list[str]], origins: list[str], clean: list[str], listed: list[list[bool]] | None = None, tags: list[list[str]] | None = None, epochs: int = 6) -> Labeller:
+    """Train on the blocks of sampled pages and the paragraphs of clean texts; `listed` says which blocks repeat on their site."""
     docs = [[x or "" for x in p or []] for p in pages] + [[x for x in (t or "").split("\n") if x.strip()] for t in clean]
     per_doc = np.array([len(d) for d in docs], np.int64)
     flat = [b for d in docs for b in d]
     common = common_names(flat, per_doc)
-    x = Blocks(flat, per_doc, [*origins, *[""] * len(clean)], common)
-    target, weight = weak_labels(x, np.repeat(np.arange(len(docs)), per_doc), len(pages))
+    rest = int(per_doc[len(pages) :].sum())
+    x = Blocks(flat, per_doc, [*origins, *[""] * len(clean)], common, [*(t for p in tags for t in p), *[""] * rest] if tags else None)
+    flags = np.array([*(f for p in listed for f in p), *[False] * rest], bool) if listed else None
+    target, weight = weak_labels(x, np.repeat(np.arange(len(docs)), per_doc), len(pages), flags)
     model = Labeller(common)
     model.train(x, len(pages), target, weight, epochs)  # clean texts have no furniture around them: only pages teach context
     return model
 
 
 def train_labeller(articles: DataFrame, clean: DataFrame, sample_pages: int = SAMPLE_PAGES, sample_clean: int = SAMPLE_CLEAN) -> Labeller:
-    """Fit on at most sample_pages articles and sample_clean clean documents, drawn by hash of their ids."""
-    art = articles.select("url_id", "origin", "paragraph").filter("paragraph is not null")
+    """Fit on at most sample_pages articles and sample_clean clean documents, drawn by hash of their ids.
+
+    Which lines of the sampled pages repeat on their site is counted over all articles.
+    """
+    tagged = "tag_path" in articles.columns
+    paths = F.transform("paragraph", lambda _, i: F.coalesce(F.get("tag_path", i), F.lit(""))) if tagged else F.lit(None).cast("array<string>")
+    art = articles.select("url_id", "origin", "paragraph", paths.alias("tag_path")).filter("paragraph is not null")
     share = lambda df, key, n: df.filter(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 20)) < _cut(df, n)).orderBy(F.xxhash64(key), key).limit(n)
-    pages = share(art, "url_id", sample_pages).select("paragraph", "origin").collect()
-    texts = [r[0] for r in share(clean.select("doc_id", "text").filter("text is not null"), "doc_id", sample_clean).select("text").collect()]
-    return fit([r[0] for r in pages], [r[1] or "" for r in pages], texts)
+    sample = written(share(art, "url_id", sample_pages).withColumn("lines", F.transform("paragraph", line_key)), "pages")
+    wanted = sample.select(F.col("origin").alias("source"), F.explode("lines").alias("line")).filter("line is not null and source is not null").distinct()
+    met = line_rows(articles, "origin", "url_id", "paragraph").join(F.broadcast(wanted), ["source", "line"], "left_semi")  # the lines of at most sample_pages pages
+    often = met.select("source", "line", "doc").distinct().groupBy("source", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_SUPPORT)
+    known = often.groupBy(F.col("source").alias("origin")).agg(F.collect_set("line").alias("often"))  # bounded by the sample's lines
+    listed = F.transform("lines", lambda x: F.coalesce(F.array_contains("often", x), F.lit(False)))
+    pages = sample.join(known, "origin", "left").select("paragraph", "origin", "tag_path", listed.alias("listed"), "url_id").collect()
+    pages = sorted(pages, key=lambda r: (r["url_id"] or "", r["paragraph"] and str(r["paragraph"])))
+    texts = sorted(r[0] for r in share(clean.select("doc_id", "text").filter("text is not null"), "doc_id", sample_clean).select("text").collect())
+    return fit([r["paragraph"] for r in pages], [r["origin"] or "" for r in pages], texts, [r["listed"] for r in pages], [r["tag_path"] for r in pages] if tagged else None)
 
 
 def _cut(df: DataFrame, n: int) -> int:
@@ -431,23 +465,33 @@ def _cut(df: DataFrame, n: int) -> int:
     return (1 << 20) if (total := df.count()) <= 2 * n else int((1 << 20) * 2 * n / total)
 
 
+def page_columns(articles: DataFrame, *more: str) -> DataFrame:
+    """What page_pieces() reads, and more columns."""
+    return articles.select("url_id", "origin", "paragraph", *(["tag_path"] if "tag_path" in articles.columns else []), *more)
+
+
+def page_pieces(net: Labeller, batch: pa.RecordBatch, room: int = 0) -> Iterator[tuple[int, int, pa.Array, np.ndarray, np.ndarray]]:
+    """(first row, end, blocks, blocks per page, chance of each block to be furniture) in pieces of bounded size; `room` is added to a page's size."""
+    lists = batch.column("paragraph")
+    per_doc = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten()
+    heads = np.r_[0, np.cumsum(per_doc)]
+    chars = np.r_[0, np.cumsum(pc.utf8_length(flat).fill_null(0).to_numpy(zero_copy_only=False))]
+    paths = batch.column("tag_path").to_pylist() if "tag_path" in batch.schema.names else None
+    for a, b in batches(len(per_doc), np.diff(chars[heads]) + room):
+        blocks = flat.slice(heads[a], heads[b] - heads[a])
+        tags = [(*(p or ()), *[""] * n)[:n] for p, n in zip(paths[a:b], per_doc[a:b].tolist(), strict=True)] if paths else None
+        yield a, b, blocks, per_doc[a:b], net.predict(blocks.to_pylist(), per_doc[a:b], batch.column("origin").slice(a, b - a).to_pylist(), [t for p in tags for t in p] if tags else None)
+
+
 def _tagger(model):
     def tag(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net: Labeller = model.value
         for batch in it:
-            lists = batch.column("paragraph")
-            per_doc = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = lists.flatten()
-            heads = np.r_[0, np.cumsum(per_doc)]
-            chars = np.r_[0, np.cumsum(pc.utf8_length(flat).fill_null(0).to_numpy(zero_copy_only=False))]
-            ids, docs, pos = batch.column("url_id"), [], []
-            for a, b in batches(len(per_doc), np.diff(chars[heads])):
-                p = net.predict(flat.slice(heads[a], heads[b] - heads[a]).to_pylist(), per_doc[a:b], batch.column("origin").slice(a, b - a).to_pylist())
+            for a, b, _, per_doc, p in page_pieces(model.value, batch):
                 hit = p > 0.5
-                docs.append(np.repeat(np.arange(a, b), per_doc[a:b])[hit])
-                pos.append(runs(per_doc[a:b])[hit])
-            if docs and sum(map(len, docs)):
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(docs))), pa.array(np.concatenate(pos), pa.int32())], names=["url_id", "pos"])
+                doc, pos = np.repeat(np.arange(a, b), per_doc)[hit], runs(per_doc)[hit]
+                if len(doc):
+                    yield pa.RecordBatch.from_arrays([batch.column("url_id").take(pa.array(doc)), pa.array(pos, pa.int32())], names=["url_id", "pos"])
 
     return tag
 
@@ -461,24 +505,16 @@ def furniture(articles: DataFrame, clean: DataFrame, model: Labeller | None = No
     spark = articles.sparkSession
     ship(spark)
     model = model or train_labeller(articles, clean)
-    return articles.select("url_id", "origin", "paragraph").mapInArrow(_tagger(spark.sparkContext.broadcast(model)), "url_id string, pos int")
+    return page_columns(articles).mapInArrow(_tagger(spark.sparkContext.broadcast(model)), "url_id string, pos int")
 
 
 def _keeper(model):
     def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net: Labeller = model.value
         for batch in it:
-            lists = batch.column("paragraph")
-            per_doc = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = lists.flatten()
-            heads = np.r_[0, np.cumsum(per_doc)]
-            chars = np.r_[0, np.cumsum(pc.utf8_length(flat).fill_null(0).to_numpy(zero_copy_only=False))]
-            for a, b in batches(len(per_doc), np.diff(chars[heads])):
-                part = flat.slice(heads[a], heads[b] - heads[a])
-                own = net.predict(part.to_pylist(), per_doc[a:b], batch.column("origin").slice(a, b - a).to_pylist()) <= 0.5
-                sizes = np.add.reduceat(np.r_[own, False], np.minimum(heads[a:b] - heads[a], len(own)), dtype=np.int64) * (per_doc[a:b] > 0)
-                body = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), part.filter(pa.array(own)))
-                yield pa.RecordBatch.from_arrays([batch.column("url_id").slice(a, b - a), body], names=["url_id", "body"])
+            for a, b, blocks, per_doc, p in page_pieces(model.value, batch):
+                own = p <= 0.5
+                kept = np.r_[0, np.cumsum(own)][np.r_[0, np.cumsum(per_doc)]]
+                yield pa.RecordBatch.from_arrays([batch.column("url_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(kept, pa.int32()), blocks.filter(pa.array(own)))], names=["url_id", "body"])
 
     return keep
 
@@ -488,4 +524,4 @@ def bodies(articles: DataFrame, clean: DataFrame, model: Labeller | None = None)
     spark = articles.sparkSession
     ship(spark)
     model = model or train_labeller(articles, clean)
-    return articles.select("url_id", "origin", "paragraph").mapInArrow(_keeper(spark.sparkContext.broadcast(model)), "url_id string, body array<string>")
+    return page_columns(articles).mapInArrow(_keeper(spark.sparkContext.broadcast(model)), "url_id string, body array<string>")

@@ -25,12 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstream.llm.boilerplate import Labeller, train_labeller
-from loomstream.llm.words import batches, mix, runs, words
+from loomstream.llm.boilerplate import Labeller, page_columns, page_pieces, train_labeller
+from loomstream.llm.words import distinct, mix, runs, words
 from loomstream.session import ship, written
 
 COORDS, DEPTH, MAX_DEPTH, LIMIT, BLOCK, MAX_TREES = 64, 3, 6, 100, 1_000, 1_000
@@ -76,7 +75,7 @@ def shingle_sets(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
     owner = np.repeat(np.arange(n, dtype=np.uint64), np.diff(at))
     g = mix(h[:-2] * np.uint64(3) + mix(h[1:-1] * np.uint64(5) + mix(h[2:]))) >> np.uint64(64 - MEMBER_BITS)
-    both = np.unique(((owner[:-2] << np.uint64(MEMBER_BITS)) | g)[owner[:-2] == owner[2:]])
+    both = distinct(((owner[:-2] << np.uint64(MEMBER_BITS)) | g)[owner[:-2] == owner[2:]])
     return both & np.uint64((1 << MEMBER_BITS) - 1), np.searchsorted(both >> np.uint64(MEMBER_BITS), np.arange(n + 1, dtype=np.uint64))
 
 
@@ -143,22 +142,14 @@ def _article_sets(model):
     def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        net: Labeller = model.value
         rid = TaskContext.get().partitionId() << 33
         for batch in it:
-            lists = batch.column("paragraph")
-            per_doc = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = lists.flatten()
-            heads = np.r_[0, np.cumsum(per_doc)]
-            chars = np.r_[0, np.cumsum(pc.utf8_length(flat).fill_null(0).to_numpy(zero_copy_only=False))]
             titles, about = batch.column("title").to_pylist(), batch.column("description").to_pylist()
-            for a, b in batches(len(per_doc), np.diff(chars[heads]) + 40):
-                blocks = flat.slice(heads[a], heads[b] - heads[a]).to_pylist()
-                body = net.predict(blocks, per_doc[a:b], batch.column("origin").slice(a, b - a).to_pylist()) <= 0.5
-                local = heads[a : b + 1] - heads[a]
+            for a, b, blocks, per_doc, p in page_pieces(model.value, batch, 40):
+                blocks, own, at = blocks.to_pylist(), p <= 0.5, np.r_[0, np.cumsum(per_doc)]
                 texts = []
                 for i in range(b - a):
-                    parts = [titles[a + i], about[a + i], *(blocks[k] for k in range(local[i], local[i + 1]) if body[k])]
+                    parts = [titles[a + i], about[a + i], *(blocks[k] for k in range(at[i], at[i + 1]) if own[k])]
                     texts.append("\n".join(x for x in parts if x))
                 h, at, _ = words(texts)
                 out = set_columns(batch.column("url_id").slice(a, b - a), rid + np.arange(b - a), h, at)
@@ -173,7 +164,7 @@ def article_sets(articles: DataFrame, clean: DataFrame, model: Labeller | None =
     """The sets of title, description and body of each article (page furniture left out), written once."""
     ship(articles.sparkSession)
     model = model or train_labeller(articles, clean)
-    cols = articles.select("url_id", "origin", "title", "description", "paragraph").filter("url_id is not null")
+    cols = page_columns(articles, "title", "description").filter("url_id is not null")
     return written(cols.mapInArrow(_article_sets(articles.sparkSession.sparkContext.broadcast(model)), _SETS), "sets")
 
 

@@ -95,6 +95,12 @@ def _words(cp: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return h, np.searchsorted(begin, starts), begin if where is None else where[begin]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct values in order: a sort beats a hash table by far."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def runs(lengths: np.ndarray) -> np.ndarray:
     """0..n-1 for every length n, one after the other."""
     ends = np.cumsum(lengths)

@@ -269,6 +269,43 @@ def test_boilerplate(spark, labelled_pages):
     assert boilerplate.furniture(df.limit(0), docs.limit(0)).count() == 0
 
 
+def test_boilerplate_reads_tag_paths(spark, labelled_pages):
+    """Blocks whose words, shape and place say nothing: the tag path tells them apart, as weak labels of other blocks taught it."""
+    pages, truth, clean = labelled_pages
+    path = lambda own: "html/body/article/p" if own else "html/body/nav/ul/li"
+    rows = [(f"u{i}", "Site", p, [path(own) for own in t]) for i, (p, (t, _)) in enumerate(zip(pages, truth, strict=True))]
+    odd_text = "Zorvin quenla"
+    rows += [(f"x{i}", "Site", [*pages[i][:3], odd_text, *pages[i][3:]], [path(o) for o in [*truth[i][0][:3], i % 2 == 0, *truth[i][0][3:]]]) for i in range(20)]
+    rows += [("n", "Site", None, None), ("short", "Site", pages[0], ["html/body/nav/ul/li"])]
+    df = spark.createDataFrame(rows, "url_id string, origin string, paragraph array<string>, tag_path array<string>")
+    docs = spark.createDataFrame(list(enumerate(clean)), "doc_id bigint, text string")
+    model = boilerplate.train_labeller(df.filter("url_id like 'u%'"), docs)
+    got = {(r[0], r[1]) for r in boilerplate.furniture(df, docs, model).collect()}
+    assert sum(((f"x{i}", 3) in got) == (i % 2 == 1) for i in range(20)) >= 18
+    assert {u for u, _ in got} >= {"short", "u0"}
+
+
+def test_labels_count_lines_on_all_pages(spark, labelled_pages):
+    """A site's line that stands in few of the sampled pages is labelled by its count on all of them."""
+    pages, _, clean = labelled_pages
+    rows = [article(f"u{i}", f"Site{i % 3}", None, None, [*p, "Mira Voss reads Tolen Harr at dawn in Pellow."] if i % 6 == 0 else p) for i, p in enumerate(pages)]
+    df = spark.createDataFrame(rows, ARTICLE)
+    seen = {}
+    original = boilerplate.fit
+
+    def spy(pages_, origins, texts, listed, tags):
+        seen.update(pages=pages_, listed=listed)
+        return original(pages_, origins, texts, listed, tags)
+
+    boilerplate.fit = spy
+    try:
+        boilerplate.train_labeller(df, spark.createDataFrame(list(enumerate(clean)), "doc_id bigint, text string"), sample_pages=30)
+    finally:
+        boilerplate.fit = original
+    flags = [f for p, fs in zip(seen["pages"], seen["listed"], strict=True) for x, f in zip(p, fs, strict=True) if x.startswith("Mira Voss")]
+    assert len(seen["pages"]) == 30 and 0 < len(flags) < 15 and all(flags), flags
+
+
 def test_bodies_are_what_is_no_furniture(spark, labelled_pages):
     pages, _, clean = labelled_pages
     df = spark.createDataFrame([article(f"u{i}", "Site", None, None, p) for i, p in enumerate(pages)], ARTICLE).unionByName(odd(spark))
@@ -298,6 +335,23 @@ def test_lstm_gradient():
         assert abs((f(u + e) - f(u - e)) / 2e-2 - du[i, j]) < 1e-2
 
 
+def test_interpolation_is_held_out():
+    """Bigrams that only occur in their own half get no weight, shared ones do."""
+    lm = languages.fit([], [])
+    rnd = random.Random(3)
+    for shared in (True, False):
+        texts = [" ".join(rnd.choice(["alpha beta", "gamma delta"] if shared else [f"w{rnd.random()} x{rnd.random()}"]) for _ in range(40)) + "." for _ in range(60)]
+        yes = np.array([[True, False]] * 30 + [[False, True]] * 30)
+        h, sent, text, lang = subjects.tagged(texts, lm)
+        bg = subjects.smoothed(*np.unique(subjects._uni(h), return_counts=True), lm)
+        bg[1 << subjects.UNI :] += len(h)
+        weight = yes[text].astype(float)
+        part = np.arange(60) % 2
+        halves = [subjects.fit_models(["a", "b"], lm, bg, h, sent, text, lang, weight * (part[text] != k)[:, None]) for k in (0, 1)]
+        w = subjects.interpolation(halves, h, sent, text, lang, weight, part)
+        assert (w[0] > 0.5) == shared and 0 < w[0] + w[1] < 1
+
+
 def test_subjects(spark, labelled_pages):
     pages, truth, clean = labelled_pages
     rows = [article(f"u{i}", "Site", "A short note", None, p) for i, p in enumerate(pages)]
@@ -310,7 +364,12 @@ def test_subjects(spark, labelled_pages):
     got = {(r[0], r[1]) for r in subjects.document_subjects(df, lab, areas, docs).select("url_id", "subject").collect()}
     held = [(f"u{i}", t) for i, (_, t) in enumerate(truth) if i >= 120]
     assert sum(x in got for x in held) >= 0.95 * len(held)
-    assert all(sum(u == k for u, _ in got) <= 2 for k in {u for u, _ in got})
+    both = {(r[0], r[1]) for r in subjects.document_subjects(df, lab, areas, docs, least=1, most=1).select("url_id", "subject").collect()}
+    assert all(sum(u == k for u, _ in both) == 1 for k in {u for u, _ in both}) and len({u for u, _ in both}) >= len(pages)
+    half = ["The judge of the court heard an appeal. A verdict of the court came.", "The striker scored a goal in the match. The league saw a goal."]
+    mixed = spark.createDataFrame([article(f"m{i}", "Site", "A note", None, [half[0], half[1], f"The patient met a nurse at clinic {i}. A vaccine for the patient."]) for i in range(4)], ARTICLE)
+    three = subjects.document_subjects(df.unionByName(mixed), lab, areas, docs).filter("url_id like 'm%'").groupBy("url_id").count().collect()
+    assert max(r["count"] for r in three) == 3  # no cap where none is given
 
 
 # ---------------------------------------------------------------- 7
