@@ -478,7 +478,7 @@ def page_pieces(net: Labeller, batch: pa.RecordBatch, room: int = 0) -> Iterator
     heads = np.r_[0, np.cumsum(per_doc)]
     chars = np.r_[0, np.cumsum(pc.utf8_length(flat).fill_null(0).to_numpy(zero_copy_only=False))]
     paths = batch.column("tag_path").to_pylist() if "tag_path" in batch.schema.names else None
-    for a, b in batches(len(per_doc), np.diff(chars[heads]) + room):
+    for a, b in batches(len(per_doc), np.diff(chars[heads]) + room, 800_000):
         blocks = flat.slice(heads[a], heads[b] - heads[a])
         tags = [(*(p or ()), *[""] * n)[:n] for p, n in zip(paths[a:b], per_doc[a:b].tolist(), strict=True)] if paths else None
         yield a, b, blocks, per_doc[a:b], net.predict(blocks.to_pylist(), per_doc[a:b], batch.column("origin").slice(a, b - a).to_pylist(), [t for p in tags for t in p] if tags else None)
