@@ -170,17 +170,21 @@ def paragraphs(root: Node, selectors: list[str], longest: int = 10_240) -> list[
     return out
 
 
+def _resolved(base: str, href: str) -> str | None:
+    try:
+        return urljoin(base, href)
+    except ValueError:
+        return None
+
+
 def links(root: Node, url: str) -> list[str]:
     base = next((n.attrs["href"] for n in select(root, "base") if n.attrs.get("href")), url)
     out = []
     for n in select(root, "a"):
         href = n.attrs.get("href", "").strip()
         if href and not re.match(r"(?i)(javascript|mailto|whatsapp):", href):
-            try:
-                out.append(urljoin(urljoin(url, base), href))
-            except ValueError:
-                continue
-    return list(dict.fromkeys(out))
+            out.append(_resolved(_resolved(url, base) or url, href))
+    return list(dict.fromkeys(x for x in out if x))
 
 
 # Where pages state their title, description and so on, best place first.
@@ -218,12 +222,13 @@ def facts(page: str, url: str, selectors: list[str], blacklist: list[str] | None
     if not out["title"]:
         out["title"] = next((unescape(n.text()).strip() for n in select(root, "title")), None)
     found = links(root, url)
+    sources = [n.attrs["src"] for n in root.walk() if n.tag in ("video", "source") and n.attrs.get("src") and (n.tag == "video" or n.parent.tag == "video")]
     videos = found + [n.attrs.get("src", "") for n in root.walk() if n.tag in ("iframe", "source", "embed")]
     ids = (re.search(r"(?:youtube\.com/(?:watch\?(?:[^#]*&)?v=|embed/|v/)|youtu\.be/)([\w-]{6,})", v) for v in videos)
-    return out | {"paragraph": _kept(paragraphs(root, selectors), blacklist or [], bool(selectors)), "links": found, "youtube": list(dict.fromkeys(m[1] for m in ids if m)), "keywords": meta.get("keywords") or meta.get("news_keywords")}
+    return out | {"paragraph": _kept(paragraphs(root, selectors), blacklist or [], bool(selectors)), "links": found, "youtube": list(dict.fromkeys(m[1] for m in ids if m)), "videos": list(dict.fromkeys(v for v in (_resolved(url, v) for v in sources) if v)), "keywords": meta.get("keywords") or meta.get("news_keywords")}
 
 
-PAGE = "title string, description string, author string, type string, image_url string, published string, modified string, origin string, paragraph array<string>, links array<string>, youtube array<string>, keywords string"
+PAGE = "title string, description string, author string, type string, image_url string, published string, modified string, origin string, paragraph array<string>, links array<string>, youtube array<string>, videos array<string>, keywords string"
 
 
 def page_facts(pages: DataFrame, keys: list[str]) -> DataFrame:

@@ -40,24 +40,24 @@ def shared_item_pairs(df: DataFrame, key: str, items: str, least: int, time: str
 
     Two rows that share `least` items also share one that is not among the least - 1 most frequent items of either.
     So only the rarer items of each row enter the inverted index, and a frequent item meets itself only where rows
-    have nothing rarer; the candidates are then checked on their whole arrays. With a window, rows meet by item and
+    have nothing rarer; rows carry their arrays, so that candidates are checked where they meet. With a window, rows meet by item and
     time bucket as well. Keys are unique; null keys, times and items have no part.
     """
     rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.array_distinct(items).alias("own"), (F.col(time) if time else F.lit(0)).cast("bigint").alias("t")).filter("t is not null")
-    each = rows.select("k", "t", F.explode("own").alias("item")).filter("item is not null")
+    each = written(rows.select("k", "t", F.explode("own").alias("item")).filter("item is not null"), "items")
     often = each.groupBy("item").agg(F.count("*").alias("n"))
-    ranked = salted_join(each, often, ["item"], salts=salts).groupBy("k", "t").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("by_rarity"))
-    rare = ranked.select("k", "t", F.explode(F.slice("by_rarity", F.lit(1), F.greatest(F.size("by_rarity") - (least - 1), F.lit(0)))).alias("x")).select("k", "t", F.col("x.item").alias("item"))
+    ranked = salted_join(each, often, ["item"], salts=salts).groupBy("k", "t").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("by"))
+    ranked = written(ranked.select("k", "t", F.col("by.item").alias("by")).filter(F.size("by") >= least), "by_rarity")
+    rare = ranked.select("k", "t", "by", F.explode(F.slice("by", F.lit(1), F.size("by") - (least - 1))).alias("item"))
     at = F.floor(F.col("t") / window) if window else F.lit(0)
-    a = rare.select(F.col("k").alias("ka"), "item", at.alias("w"), F.col("t").alias("ta"))
-    b = rare.select(F.col("k").alias("kb"), "item", (F.explode(F.array(at, at - 1)) if window else at).alias("w"), F.col("t").alias("tb"))
+    a = rare.select(F.col("k").alias("ka"), "item", at.alias("w"), F.col("t").alias("ta"), F.col("by").alias("ba"))
+    b = rare.select(F.col("k").alias("kb"), "item", (F.explode(F.array(at, at - 1)) if window else at).alias("w"), F.col("t").alias("tb"), F.col("by").alias("bb"))
     met = a.join(b, ["item", "w"]).filter((F.col("tb") > F.col("ta")) | (F.col("tb") == F.col("ta")) & (F.col("ka") < F.col("kb")))
     if window:
         met = met.filter(F.col("tb") - F.col("ta") <= window)
-    pairs = met.select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()
-    own = rows.select("k", "own")
-    both = pairs.join(own.toDF("key_a", "own_a"), "key_a").join(own.toDF("key_b", "own_b"), "key_b")
-    return both.select("key_a", "key_b", F.size(F.array_intersect("own_a", "own_b")).cast("bigint").alias("shared")).filter(F.col("shared") >= least)
+    # a pair meets at each of its common rare items; it counts at the rarest, so nothing is to be made distinct
+    both = met.select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"), "item", F.array_intersect("ba", "bb").alias("common"))
+    return both.filter((F.size("common") >= least) & (F.get("common", F.lit(0)) == F.col("item"))).select("key_a", "key_b", F.size("common").cast("bigint").alias("shared"))
 
 
 def without_near(candidates: DataFrame, earlier: DataFrame, group: str, key: str, items: str, time: str, least: int, window: int) -> DataFrame:

@@ -303,6 +303,18 @@ def fn_rescaled(s, d):
     return f.select("url_id", "feature_id", F.round(V.rescaled(F.col("similarity")), 6).alias("similarity"))
 
 
+@query(f"""WITH r AS (SELECT origin, count(*) AS instances, count(*) FILTER (action_type = 'TAP_FROM_STREAM') AS clicks FROM user_action JOIN (SELECT DISTINCT url_id, origin FROM article WHERE origin IS NOT NULL) USING (url_id) GROUP BY 1), x AS (SELECT *, clicks / instances AS rate FROM r),
+    q AS (SELECT quantile_cont(rate, [{', '.join(str(p) for p in A.PERCENTILES)}]) AS v FROM x), z AS (SELECT CAST([{', '.join(str(p) for p in A.PERCENTILES)}][i] AS DOUBLE) AS p, v[i] AS v FROM (SELECT v, unnest(range(1, {len(A.PERCENTILES) + 1})) AS i FROM q)),
+    w AS (SELECT origin, instances, clicks, rate, max(CASE WHEN z.v <= rate THEN p END) AS lp, max(CASE WHEN z.v <= rate THEN z.v END) AS lv, min(CASE WHEN z.v >= rate THEN p END) AS hp, min(CASE WHEN z.v >= rate THEN z.v END) AS hv FROM x, z GROUP BY ALL)
+    SELECT origin, instances, clicks, round(CASE WHEN instances < 50 OR clicks < 5 THEN 0.4 WHEN hp IS NULL THEN 1.0 WHEN lp IS NULL THEN 0.0 WHEN hv = lv THEN lp ELSE lp + (rate - lv) / (hv - lv) * (hp - lp) END, 6) AS rating FROM w""")
+def agg_rated_sites(s, d):
+    """Click rates of sites as quantiles among all sites; what rests on too little has the default."""
+    a = table(s, d, "user_action", "url_id", "action_type").join(table(s, d, "article", "url_id", "origin").filter("origin is not null").distinct(), "url_id")
+    rated = A.rated(written(A.click_through(a, ["origin"], F.col("action_type") == "TAP_FROM_STREAM"), "rates"))
+    out = J.default_rating(rated.drop("rating"), rated, "origin", "rating", 0.4, lambda: (F.col("instances") >= 50) & (F.col("clicks") >= 5))
+    return out.select("origin", "instances", "clicks", F.round("rating", 6).alias("rating"))
+
+
 @query("SELECT round(avg(CASE WHEN value >= 100 THEN 1.0 ELSE 0.0 END), 6) AS ratio, count(value) AS n FROM events")
 def vec_ratio_above(s, d):
     return V.ratio_above(table(s, d, "events", "value"), F.col("value"), 100.0).select(F.round("ratio", 6).alias("ratio"), "n")

@@ -351,18 +351,60 @@ def _candidates(s, d, top):
     return A.top_per_group(mine, ["stream"], order, top).drop("rank").join(ready.drop("origin", "best"), "url_id")
 
 
-@query()
+def _stream_sql(top):
+    """The candidates of every stream in SQL, numbered by score: table expressions up to `cand`."""
+    latest = "list_filter(fb, lambda x: x.create_time = list_max(list_transform(fb, lambda y: y.create_time)))[1].share_score"
+    return rf"""first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url_id ORDER BY crawl_time NULLS FIRST) AS nth FROM article) WHERE nth = 1 AND origin IS NOT NULL),
+    src AS (SELECT DISTINCT unnest(string_split_regex(coalesce(title, ''), '[\s\x{{A0}}]+')) AS word FROM first), {clean_sql("word")},
+    stem AS (SELECT k, left(lower(clean), 4) AS stem FROM kf WHERE length(clean) >= 2 AND lower(clean) NOT IN ({_STOPS})),
+    words AS (SELECT DISTINCT url_id, unnest(string_split_regex(coalesce(title, ''), '[\s\x{{A0}}]+')) AS k FROM first), st AS (SELECT url_id, list(DISTINCT stem) AS stems FROM words JOIN stem USING (k) GROUP BY 1),
+    ready AS (SELECT f.url_id, f.origin, coalesce(published_time, 0) AS time, coalesce(st.stems, []) AS stems, {latest} AS share_score, coalesce(list_max(list_transform(feature, lambda x: x.similarity)), 0) AS best
+      FROM (SELECT *, list_filter(social_engagement, lambda x: x.site = 'FACEBOOK') AS fb FROM first) f LEFT JOIN st USING (url_id)),
+    follows AS (SELECT user_id AS stream, origin, least(count(*), 10) AS n FROM user_action JOIN ready USING (url_id) WHERE action_type = 'TAP_FROM_STREAM' GROUP BY 1, 2),
+    scored AS (SELECT stream, url_id, time, stems, share_score, round(best * 0.7 + least(n / 10, 1.0) * 0.3, 9) AS score FROM follows JOIN ready USING (origin)),
+    ranked AS (SELECT *, round(score * (1 / (1 + greatest(0.0, (1480000000000 - time) / 3600000.0 - 18.0) / 8760.0)), 12) AS rank_score FROM scored),
+    cand AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY score DESC, url_id) AS n FROM (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY rank_score DESC, url_id) AS r FROM ranked) WHERE r <= {top})"""
+
+
+def _deduped_sql(top):
+    """dedupe_streams() as a walk over each stream's candidates: table expressions up to `kept` (stream, k)."""
+    return f"""{_stream_sql(top)}, pass AS (SELECT stream, 0 AS n, CAST([] AS STRUCT(u VARCHAR, s DOUBLE, t BIGINT, w DOUBLE, st VARCHAR[], hot INTEGER, old BIGINT)[]) AS kept FROM (SELECT DISTINCT stream FROM cand)
+    UNION ALL SELECT stream, n + 1, CASE WHEN hit = 0 THEN list_append(kept, own) ELSE list_transform(kept, lambda x, i: CASE WHEN i <> hit THEN x
+        WHEN x.w IS NULL OR own.w > x.w THEN struct_pack(u := own.u, s := own.s, t := own.t, w := own.w, st := own.st, hot := 1, old := least(own.t, x.t)) ELSE struct_pack(u := x.u, s := x.s, t := x.t, w := x.w, st := x.st, hot := x.hot + 1, old := least(x.old, own.t)) END) END
+      FROM (SELECT p.stream, p.n, p.kept, struct_pack(u := c.url_id, s := c.score, t := c.time, w := c.share_score, st := c.stems, hot := 0, old := c.time) AS own,
+        coalesce(list_position(list_transform(p.kept, lambda x: abs(x.t - c.time) <= 108000000 AND len(list_intersect(x.st, c.stems)) >= 2), true), 0) AS hit FROM pass p JOIN cand c ON c.stream = p.stream AND c.n = p.n + 1)),
+    kept AS (SELECT stream, unnest(arg_max(kept, n)) AS k FROM pass GROUP BY 1)"""
+
+
+def _ranked_sql(top, k):
+    """ranked_streams(): duplicates out, the best by score and second score, and at each place the one of the next eight that differs most from the last three."""
+    latest = "list_filter(tw, lambda x: x.create_time = list_max(list_transform(tw, lambda y: y.create_time)))[1].share_score"
+    worth = " + ".join(f"CASE WHEN len(chosen) >= {n} THEN trunc(m[i][chosen[len(chosen) - {n - 1}]] / {n}.0) ELSE {120 // n} END" for n in (1, 2, 3))
+    return f"""WITH RECURSIVE {_deduped_sql(top)}, more AS (SELECT url_id, {latest} AS second, regexp_replace({"lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1))"}, '^www\\.', '') AS domain,
+      list_distinct(list_transform(list_filter(coalesce(keyword, []), lambda x: x.strength > 30), lambda x: lower(x.keyword))) AS kw, list_transform(list_sort(list_transform(coalesce(feature, []), lambda x: struct_pack(o := -x.similarity, id := x.feature_id)))[1:3], lambda x: x.id) AS ft
+      FROM (SELECT *, list_filter(social_engagement, lambda x: x.site = 'TWITTER') AS tw FROM first)),
+    few AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY score DESC, url_id) AS i FROM (SELECT stream, k.u AS url_id, k.s AS score, CASE WHEN k.hot > 0 THEN k.hot + 1 ELSE 0 END AS hot_count, k.st AS st, second, domain, kw, ft,
+      row_number() OVER (PARTITION BY stream ORDER BY k.s * (1 + coalesce(second, 0.5)) DESC, k.u) AS r FROM kept JOIN more ON k.u = more.url_id) WHERE r <= {k + 5}),
+    d AS (SELECT a.stream, a.i, b.i AS j, 100 - (15 * len(list_intersect(a.kw, b.kw)) + len(list_intersect(a.st, b.st)) + CASE WHEN a.domain = b.domain THEN 5 ELSE 0 END) + (len(a.ft) + len(b.ft) - 2 * len(list_intersect(a.ft, b.ft))) * (len(a.ft) + len(b.ft) - 2 * len(list_intersect(a.ft, b.ft))) // 2 AS d
+      FROM few a JOIN few b USING (stream)), rows_ AS (SELECT stream, i, list(d ORDER BY j) AS l FROM d GROUP BY 1, 2), mat AS (SELECT stream, list(l ORDER BY i) AS m FROM rows_ GROUP BY 1),
+    walk AS (SELECT stream, CAST([] AS BIGINT[]) AS chosen, range(1, len(m) + 1) AS left_ FROM mat UNION ALL SELECT stream, list_append(chosen, pick), list_filter(left_, lambda x: x <> pick) FROM (SELECT w.stream, w.chosen, w.left_,
+        w.left_[list_position(ws, list_max(ws))] AS pick FROM (SELECT walk.*, list_transform(left_[1:8], lambda i: {worth}) AS ws FROM walk JOIN mat USING (stream) WHERE len(left_) > 0 AND len(chosen) < {k}) w)),
+    done AS (SELECT stream, arg_max(chosen, len(chosen)) AS chosen FROM walk GROUP BY 1), place AS (SELECT stream, unnest(chosen) AS i, unnest(range(0, len(chosen))) AS position FROM done),
+    final AS (SELECT stream, url_id, score, CAST(hot_count AS INTEGER) AS hot_count, CAST(position AS INTEGER) AS position FROM place JOIN few USING (stream, i))"""
+
+
+@query(f"WITH RECURSIVE {_deduped_sql(153)} SELECT stream, k.u AS url_id, k.s AS score, k.t AS time, k.w AS share_score, CAST(CASE WHEN k.hot > 0 THEN k.hot + 1 ELSE 0 END AS INTEGER) AS hot_count, k.old AS oldest FROM kept")
+def rank_deduped(s, d):
+    return R.dedupe_streams(_candidates(s, d, 153))
+
+
+@query(f"{_ranked_sql(153, 51)} SELECT * FROM final")
 def rank_streams(s, d):
     """The flagship: the ranked, unduplicated and diversified stream of every user at once."""
     return R.ranked_streams(_candidates(s, d, 153), 51)
 
 
-@query()
-def rank_deduped(s, d):
-    return R.dedupe_streams(_candidates(s, d, 153))
-
-
-@query()
+@query(f"{_ranked_sql(63, 21)} SELECT stream, url_id, score, hot_count, position, count(*) OVER (PARTITION BY stream) > 20 AS next_page FROM final QUALIFY position < 20")
 def rank_next_page(s, d):
     return R.with_next_page(R.ranked_streams(_candidates(s, d, 63), 21), 20)
 
