@@ -14,10 +14,13 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
+from loomstream.llm.words import batches, runs
 from loomstream.session import ship
 
 #: Encodings a UTF-8 text may have been read in; w1252 is the web's reading of cp1252, C1 bytes included.
@@ -192,28 +195,31 @@ def garbled(texts: list[str]) -> list[tuple[int, str, float, float]]:
     return out
 
 
-_OUT = "url_id string, field string, pos int, restored string, cost_before double, cost_after double"
+_OUT = "url_id string, field string, pos int, restored string, cost_before double, cost_after double, lost boolean"
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, titles, lists = batch.column("url_id"), batch.column("title").to_pylist(), batch.column("paragraph")
-        rows: list[tuple] = [(ids[i].as_py(), "title", 0, *x) for i, *x in garbled(titles)]
-        flat = lists.flatten().to_pylist()
-        parents, pos = pa.compute.list_parent_indices(lists).to_pylist(), []
-        for k, p in enumerate(parents):
-            pos.append(0 if k == 0 or p != parents[k - 1] else pos[-1] + 1)
-        rows += [(ids[parents[i]].as_py(), "paragraph", pos[i], *x) for i, *x in garbled(flat)]
-        if rows:
-            cols = list(zip(*rows, strict=True))
-            types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in _OUT.split(", ")])
+def _scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        lists = batch.column("paragraph")
+        n = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        every = np.arange(batch.num_rows)
+        for field, texts, owner, pos in (("title", batch.column("title"), every, np.zeros(len(every), np.int64)), ("paragraph", lists.flatten(), np.repeat(every, n), runs(n))):
+            odd = np.flatnonzero(~pc.string_is_ascii(texts).fill_null(True).to_numpy(zero_copy_only=False))  # only these can be garbled
+            texts = texts.take(pa.array(odd))
+            for a, b in batches(len(odd), pc.utf8_length(texts).to_numpy(zero_copy_only=False)):
+                found = garbled(texts.slice(a, b - a).to_pylist())
+                if found:
+                    at = odd[a + np.array([i for i, *_ in found])]
+                    before, after = (np.array([x[k] for x in found], float) for k in (2, 3))
+                    cols = [batch.column("url_id").take(pa.array(owner[at])), pa.array([field] * len(at)), pa.array(pos[at], pa.int32()), pa.array([x[1] for x in found]), pa.array(before), pa.array(after), pa.array(after >= before)]
+                    yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _OUT.split(", ")])
 
 
 def garbled_values(df: DataFrame) -> DataFrame:
-    """(url_id, field, pos, restored, cost_before, cost_after) of title and paragraph values wrongly decoded.
+    """(url_id, field, pos, restored, cost_before, cost_after, lost) of title and paragraph values wrongly decoded.
 
-    One row per value and delivery of the record; nulls and empty texts are clean; order and repeats of rows
+    `lost` marks values that no round trip makes better: their cost alone tells, and `restored` is as it was. One row per
+    value and delivery of the record; nulls and empty texts are clean; order and repeats of rows
     don't matter; no shuffle.
     """
     ship(df.sparkSession)

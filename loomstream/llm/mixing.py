@@ -153,7 +153,8 @@ def mixed(docs: DataFrame, targets: DataFrame, path: str = TOKENIZER, chunk: int
 
 def sampled(mine: DataFrame, plan: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """mixed() from the results of source_shares(); documents used no time have a row of 0 copies."""
-    rows = salted_join(mine, plan.select("source", "repeats"), ["source"]).withColumn("whole", F.floor("repeats").cast("int"))
+    rows = salted_join(mine.hint("merge"), plan.select("source", "repeats"), ["source"])  # the documents are never broadcast
+    rows = rows.withColumn("whole", F.floor("repeats").cast("int"))
     rows = rows.select("doc_id", "source", "n_tokens", "whole", (F.col("repeats") - F.col("whole")).alias("p"))
     exact = rows.filter("p <= 1e-9").withColumn("p", F.lit(0.0))
     rows = rows.filter("p > 1e-9")
