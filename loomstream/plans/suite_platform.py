@@ -14,8 +14,8 @@ from loomstream.operators import ranking as R
 from loomstream.operators import vectors as V
 from loomstream.plans.suite_relational import query
 from loomstream.plans.suite_text import clean_sql
-from loomstream.session import shared_dir, table, written
-from loomstream.sources import readers, store
+from loomstream.session import shared_dir, table, written, written_together
+from loomstream.sources import readers, schemas, store
 from loomstream.streaming import gates
 
 
@@ -551,6 +551,25 @@ def str_heartbeat(s, d):
     return gates.run_to_end(gates.heartbeat(st, ["host"], "last_crawl_start_time", "last_crawl_finish_time"), f"beat_{uuid.uuid4().hex}", "complete")
 
 
+@query("SELECT id, CASE WHEN crawl_priority % 2 = 0 THEN NULL ELSE url END AS url, origin_url, crawl_priority + 1 AS crawl_priority, CASE WHEN crawl_priority % 2 = 0 THEN 'url is required' END AS violation FROM url")
+def src_rows_with_blob(s, d):
+    """URLs kept as a blob beside columns that were pulled out of it and have changed since."""
+    u = table(s, d, "url").withColumn("blob", F.to_json(F.struct("id", "url", "origin_url", "crawl_priority")))
+    rows = u.select("id", F.when(F.col("crawl_priority") % 2 != 0, F.col("url")).alias("url"), (F.col("crawl_priority") + 1).alias("crawl_priority"), "blob")
+    return schemas.from_rows(rows, schemas.URL, "blob", ["id", "url", "crawl_priority"]).select("id", "url", "origin_url", "crawl_priority", "violation")
+
+
+@query("SELECT 'article' AS t, count(*) AS n FROM article UNION ALL SELECT 'url', count(*) FROM url UNION ALL SELECT 'user_action', count(*) FROM user_action")
+def src_together(s, d):
+    """Several scans at once."""
+    counts = {t: table(s, d, t).agg(F.count("*").alias("n")) for t in ("article", "url", "user_action")}
+    out = None
+    for t, df in written_together(counts).items():
+        df = df.select(F.lit(t).alias("t"), "n")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
 # ---------------------------------------------------------------- residual jobs
 
 @query("WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 5 = 1 THEN '' ELSE c_name || '@x.example' END AS email, c_custkey % 3 = 0 AS opt_out, CASE WHEN c_custkey % 4 = 0 THEN 1 END AS sent FROM customer) SELECT c_custkey, email FROM c WHERE email IS NOT NULL AND email <> '' AND NOT opt_out AND sent IS NULL")

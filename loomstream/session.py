@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,3 +84,10 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
     left = left.withColumn(salt, F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int"))
     right = right.withColumn(salt, F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return left.join(right, [*on, salt], how).drop(salt)
+
+
+def written_together(frames: dict[str, DataFrame], threads: int = 8) -> dict[str, DataFrame]:
+    """Several tables written at the same time, each by its own job, and read back: what asynchronous reads are for."""
+    with ThreadPoolExecutor(min(threads, max(1, len(frames)))) as pool:
+        done = {name: pool.submit(written, df, name) for name, df in frames.items()}
+        return {name: job.result() for name, job in done.items()}

@@ -167,3 +167,14 @@ def from_document(df: DataFrame, schema: T.StructType) -> DataFrame:
     key = primary_key(schema)
     rest = T.StructType([f for f in schema if f.name != key and f.metadata.get("storage") != "DO_NOT_STORE"])
     return df.select(F.col("_id").alias(key), F.from_json("document", rest).alias("d")).select(key, "d.*")
+
+
+def from_rows(df: DataFrame, schema: T.StructType, blob: str, pulled: list[str]) -> DataFrame:
+    """Messages of rows that keep a JSON blob beside pulled-out columns: the columns win, a null column clears its field.
+
+    Has `violation`, the first rule a message breaks, or null; a blob that can't be read has only the pulled fields.
+    """
+    kept = T.StructType([f for f in schema if f.metadata.get("storage") != "DO_NOT_STORE"])
+    read = df.withColumn("__m", F.from_json(blob, kept))
+    out = read.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in pulled else F.col(f"__m.{f.name}").alias(f.name) for f in kept])
+    return violations(out, schema)

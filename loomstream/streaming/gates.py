@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,13 +55,21 @@ def recency_gate_batch(df: DataFrame, key: str, time: str, gap: int) -> DataFram
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, last = None, None
         for batch in it:
-            keys, times, keep = batch.column("k").to_pylist(), batch.column("t").to_pylist(), []
-            for k, t in zip(keys, times, strict=True):
-                go = k != at or last is None or t - last >= gap
-                if go:
-                    at, last = k, t
-                keep.append(go)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            if not batch.num_rows:
+                continue
+            times, keep = batch.column("t").to_numpy(), np.zeros(batch.num_rows, bool)
+            codes = batch.column("k").dictionary_encode().indices.to_numpy()
+            cuts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1], True])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                key = batch.column("k")[a].as_py()
+                if key != at:
+                    at, last = key, None
+                i = a if last is None else a + int(np.searchsorted(times[a:b], last + gap))
+                while i < b:  # from one time let through to the next, not row by row
+                    keep[i] = True
+                    last = int(times[i])
+                    i += max(1, int(np.searchsorted(times[i:b], last + gap)))
+            yield batch.filter(pa.array(keep))
 
     out = rows.repartition("k").sortWithinPartitions("k", "t").mapInArrow(run, rows.schema)
     return out.select(F.col("k").alias(key), F.col("t").alias(time))
