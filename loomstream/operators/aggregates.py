@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from loomstream.session import written
 
@@ -172,30 +173,58 @@ def order_statistic(df: DataFrame, value: str, rank: int, descending: bool = Fal
     return rows.limit(0)
 
 
-def islands(df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str = "island") -> DataFrame:
-    """Number of each run of equal values in the order of a group."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    new = F.coalesce((~value.eqNullSafe(F.lag(value).over(w))).cast("int"), F.lit(1))
-    return df.withColumn("__new", F.when(F.row_number().over(w) == 1, 1).otherwise(new)).withColumn(name, F.sum("__new").over(w)).drop("__new")
+def in_ranges(df: DataFrame, keys: list[str], order: list[Column], partitions: int = 0) -> DataFrame:
+    """Rows with __g (their keys) and __p, written: range-partitioned by keys and order, so that a heavy key lies in many
+    partitions, one after the other. Windows over (__g, __p) and what is stitched over __g in the order of __p see no key whole."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    group = F.struct(F.lit(0).alias("__0"), *[F.col(k).alias(f"__{i}") for i, k in enumerate(keys, 1)])  # a struct of nulls equals itself
+    return written(df.withColumn("__g", group).repartitionByRange(n, "__g", *order).withColumn("__p", F.spark_partition_id()), "ranges")
+
+
+def _ranges_of_key(first: int, last: int) -> WindowSpec:
+    """Over the ranges of a key, from `first` to `last` places away."""
+    return Window.partitionBy("__g").orderBy("__p").rowsBetween(first, last)
+
+
+def islands(df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str = "island", partitions: int = 0) -> DataFrame:
+    """Number of each run of equal values in the order of a group (nulls are equal), counted over ranges and stitched."""
+    w = Window.partitionBy("__g", "__p").orderBy(*order)
+    ranged = in_ranges(df.withColumn("__v", F.struct(value.alias("v"))), keys, order, partitions)
+    rows = ranged.withColumn("__new", (~F.col("__v").eqNullSafe(F.coalesce(F.lag("__v").over(w), F.col("__v")))).cast("int")).withColumn("__run", F.sum("__new").over(w))
+    ends = rows.groupBy("__g", "__p").agg(F.min_by("__v", F.struct(*order)).alias("__first"), F.max_by("__v", F.struct(*order)).alias("__last"), F.sum("__new").alias("__inner"))
+    border = (~F.col("__first").eqNullSafe(F.lag("__last").over(Window.partitionBy("__g").orderBy("__p")))).cast("int")
+    ends = ends.withColumn("__border", border)
+    ends = ends.select("__g", "__p", (F.col("__border") + F.coalesce(F.sum(F.col("__inner") + F.col("__border")).over(_ranges_of_key(Window.unboundedPreceding, -1)), F.lit(0))).alias("__base"))
+    out = rows.join(ends, ["__g", "__p"]).withColumn(name, F.col("__base") + F.col("__run"))
+    return out.select(*df.columns, name)
 
 
-def followed_by(df: DataFrame, keys: list[str], order: list[Column], event: Column, name: str) -> DataFrame:
-    """Whether the event happens at the row or later in its group (gap-fill backwards); never across groups."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return df.withColumn(name, F.max(F.coalesce(event.cast("int"), F.lit(0))).over(w) == 1)
+def followed_by(df: DataFrame, keys: list[str], order: list[Column], event: Column, name: str, partitions: int = 0) -> DataFrame:
+    """Whether the event happens at the row or later in its group (gap-fill backwards), within its range or a later one; never across groups."""
+    ranged = in_ranges(df.withColumn("__e", F.coalesce(event.cast("int"), F.lit(0))), keys, order, partitions)
+    w = Window.partitionBy("__g", "__p").orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ends = ranged.groupBy("__g", "__p").agg(F.max("__e").alias("__any")).select("__g", "__p", F.coalesce(F.max("__any").over(_ranges_of_key(1, Window.unboundedFollowing)), F.lit(0)).alias("__later"))
+    out = ranged.withColumn("__here", F.max("__e").over(w)).join(ends, ["__g", "__p"])
+    return out.withColumn(name, F.greatest("__here", "__later") == 1).select(*df.columns, name)
 
 
-def last_times(df: DataFrame, key: str, time: str, n: int = 5, apart: int = 3_600_000) -> DataFrame:
+def last_times(df: DataFrame, key: str, time: str, n: int = 5, apart: int = 3_600_000, partitions: int = 0) -> DataFrame:
     """(key, times): the newest n times of each key that come more than `apart` after the time before, newest first."""
-    w = Window.partitionBy(key).orderBy(time)
-    kept = df.select(key, time).filter(F.col(time).isNotNull()).withColumn("__b", F.lag(time).over(w)).filter(F.col("__b").isNull() | (F.col(time) - F.col("__b") > apart))
-    few = top_per_group(kept.drop("__b"), [key], [F.desc(time)], n)
+    ranged = in_ranges(df.select(key, time).filter(F.col(time).isNotNull()), [key], [F.col(time)], partitions)
+    w = Window.partitionBy("__g", "__p").orderBy(time)
+    ends = ranged.groupBy("__g", "__p").agg(F.max(time).alias("__last")).select("__g", "__p", F.max("__last").over(_ranges_of_key(Window.unboundedPreceding, -1)).alias("__before"))
+    rows = ranged.withColumn("__b", F.lag(time).over(w)).join(ends, ["__g", "__p"]).withColumn("__b", F.coalesce("__b", "__before"))
+    few = top_per_group(rows.filter(F.col("__b").isNull() | (F.col(time) - F.col("__b") > apart)).select(key, time), [key], [F.desc(time)], n)
     return few.groupBy(key).agg(F.reverse(F.array_sort(F.collect_list(time))).alias("times"))
 
 
-def every_nth(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "holdback") -> DataFrame:
+def every_nth(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "holdback", partitions: int = 0) -> DataFrame:
     """Marks rows 1, n + 1, 2 n + 1 ... of each group."""
-    return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) % n == 0)
+    ranged = in_ranges(df, keys, order, partitions)
+    ends = ranged.groupBy("__g", "__p").agg(F.count("*").alias("__c")).select("__g", "__p", F.coalesce(F.sum("__c").over(_ranges_of_key(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    at = F.row_number().over(Window.partitionBy("__g", "__p").orderBy(*order))
+    out = ranged.withColumn("__at", at).join(ends, ["__g", "__p"])
+    return out.withColumn(name, (F.col("__at") + F.col("__before") - 1) % n == 0).select(*df.columns, name)
 
 
 def best_of_islands(df: DataFrame, keys: list[str], order: list[Column], value: Column, depth: Column, tie: str) -> DataFrame:

@@ -122,6 +122,33 @@ def test_windows(spark):
     assert A.histogram(spark.createDataFrame([(1.0,), (0.0,), (0.55,), (7.0,), (None,)], "v double"), F.col("v"), 10).filter("n > 0").count() == 4
 
 
+def test_windows_over_ranges_equal_windows_over_groups(spark):
+    """A hot key over many ranges, null keys and values, against plain loops."""
+    rnd = random.Random(8)
+    data = [(rnd.choice(["hot"] * 6 + ["a", "b", None]), t, rnd.choice(["x", "x", "y", None])) for t in rnd.sample(range(2000), 400)]
+    df = spark.createDataFrame(data, "k string, t bigint, v string")
+    by = {}
+    for k, t, v in sorted(data, key=lambda r: r[1]):
+        by.setdefault(k, []).append((t, v))
+    order, want = [F.col("t")], {"i": set(), "f": set(), "n": set(), "l": {}}
+    for k, seq in by.items():
+        island = 0
+        for j, (t, v) in enumerate(seq):
+            island += j == 0 or v != seq[j - 1][1]
+            want["i"].add((k, t, island))
+            want["f"].add((k, t, any(x == "y" for _, x in seq[j:])))
+            want["n"].add((k, t, j % 4 == 0))
+        kept = [t for j, (t, _) in enumerate(seq) if j == 0 or t - seq[j - 1][0] > 5]
+        want["l"][k] = sorted(kept, reverse=True)[:3]
+    three = lambda d, c: {tuple(r) for r in d.select("k", "t", c).collect()}
+    for parts in (1, 9):
+        assert three(A.islands(df, ["k"], order, F.col("v"), partitions=parts), "island") == want["i"]
+        assert three(A.followed_by(df, ["k"], order, F.col("v") == "y", "f", partitions=parts), "f") == want["f"]
+        assert three(A.every_nth(df, ["k"], order, 4, partitions=parts), "holdback") == want["n"]
+        assert {r["k"]: r["times"] for r in A.last_times(df, "k", "t", 3, 5, partitions=parts).collect()} == want["l"]
+    assert A.islands(df.limit(0), ["k"], order, F.col("v")).count() == 0 and A.every_nth(df.limit(0), ["k"], order, 4).count() == 0
+
+
 def test_vectors(spark):
     docs = spark.createDataFrame([(1, "Thisx Isx Axe Axe Sample"), (2, "Thisx Isx Anotherx Anotherx Examplex Examplex Examplex"), (3, None), (4, "")], "id int, t string")
     counts = V.word_counts(docs, "id", F.col("t"))
