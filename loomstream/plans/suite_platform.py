@@ -13,7 +13,7 @@ from loomstream.operators import joins as J
 from loomstream.operators import ranking as R
 from loomstream.operators import vectors as V
 from loomstream.plans.suite_relational import query
-from loomstream.plans.suite_text import clean_sql
+from loomstream.plans.suite_text import clean_sql, deduped_sql, stream_sql
 from loomstream.session import shared_dir, table, written, written_together
 from loomstream.sources import readers, schemas, store
 from loomstream.streaming import gates
@@ -461,7 +461,12 @@ def rank_entity_candidates(s, d):
     return _by_names(s, d, _top_entities(s, d), 0.5 + 0.5 * best).select("stream", "url_id", F.round("score", 6).alias("score"))
 
 
-@query()
+_ENTITY_SCORED = f"""{_TOP_SQL}, scored AS (SELECT DISTINCT o.keyword AS stream, ready.url_id, ready.time, ready.stems, ready.share_score, round(0.5 + 0.5 * coalesce(list_max(list_transform(list_filter(a.feature, lambda x: list_contains(coalesce(t.top, []), x.feature_id)), lambda x: x.similarity)), 0), 9) AS score
+    FROM o JOIN k ON o.keyword = k.keyword JOIN a ON k.url_id = a.url_id JOIN ready ON ready.url_id = a.url_id LEFT JOIN t ON o.keyword = t.keyword)"""
+
+
+@query(f"""WITH RECURSIVE {deduped_sql(stream_sql(153, _ENTITY_SCORED, "true", 168.0, 24.0))}
+    SELECT stream, k.u AS url_id, k.s AS score, k.t AS time, k.w AS share_score, CAST(CASE WHEN k.hot > 0 THEN k.hot + 1 ELSE 0 END AS INTEGER) AS hot_count, k.old AS oldest, CAST(row_number() OVER (PARTITION BY stream ORDER BY k.s DESC, k.u) AS INTEGER) AS rank FROM kept QUALIFY rank <= 51""")
 def rank_entity_streams(s, d):
     """The stream of every entity: its own top features stand for interests; duplicates out, no diversification."""
     best = F.coalesce(F.array_max(F.transform(F.filter("feature", lambda x: F.array_contains("top", x["feature_id"])), lambda x: x["similarity"])), F.lit(0.0))
@@ -525,10 +530,10 @@ def dml_set_field(s, d):
     return store.set_field(table(s, d, "customer", "c_custkey", "c_name"), "c_custkey", 7, "c_name", F.lit("Renamed"))
 
 
-@query(f"WITH t AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 2)) AS word FROM documents WHERE doc_id % 20 = 3) SELECT word, count(*) AS frequency, count(DISTINCT doc_id) AS document_occurences, CAST(NULL AS VARCHAR) AS note FROM t WHERE word NOT IN ({_quoted(text.STOP_WORDS)}) GROUP BY 1")
+@query(f"WITH t AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 2)) AS word FROM documents) SELECT word, count(*) AS frequency, count(DISTINCT doc_id) AS document_occurences, CAST(NULL AS VARCHAR) AS note FROM t WHERE word NOT IN ({_quoted(text.STOP_WORDS)}) GROUP BY 1")
 def src_side_table(s, d):
-    """The word vector of one feature's seed documents (every twentieth), written as a side table and read back."""
-    docs = table(s, d, "documents", "doc_id", "text").filter("doc_id % 20 = 3")
+    """The corpus's word vector, written as a side table and read back."""
+    docs = table(s, d, "documents", "doc_id", "text")
     v = V.universe(V.word_counts(docs, "doc_id", F.col("text")), "doc_id").select("word", F.col("tf").alias("frequency"), F.col("df").alias("document_occurences"), F.lit(1).alias("left_out"))
     path = f"{shared_dir(s)}/vector-{uuid.uuid4().hex}"
     readers.write_side_table(v, path)
@@ -620,10 +625,10 @@ def job_set_cities(s, d):
     return store.update(p, ids.select("p_partkey", F.lit("city").alias("p_type"), F.greatest(F.lit(1), F.col("p_size") - 20).alias("p_size")), "p_partkey")
 
 
-@query("SELECT id || '.html' AS file FROM url WHERE id NOT IN (SELECT url_id FROM article) AND crawl_priority % 2 = 0")
+@query("SELECT id || '.html' AS file FROM url WHERE id NOT IN (SELECT url_id FROM article)")
 def job_orphan_files(s, d):
     """Files kept for articles that are no longer there: what may be deleted."""
-    files = table(s, d, "url", "id", "crawl_priority").filter("crawl_priority % 2 = 0").select(F.concat("id", F.lit(".html")).alias("file"), "id")
+    files = table(s, d, "url", "id").select(F.concat("id", F.lit(".html")).alias("file"), "id")
     return files.join(table(s, d, "article", F.col("url_id").alias("id")), "id", "left_anti").select("file")
 
 

@@ -50,14 +50,17 @@ _DATES = (
 )
 
 
-@query("WITH f AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{u}', {z})" for n, _, u, z in _DATES) + ") f(form, unit, zone)), o AS (SELECT o_orderkey, o_orderdate + to_seconds(o_orderkey * 7919 % 86400) AS t FROM orders WHERE o_orderkey % 10 < 3)"
-       " SELECT o_orderkey, form, CASE WHEN unit <> '' THEN epoch_ms(date_trunc(unit, t)) + zone * 60000 END AS millis FROM o, f")
+@query("WITH f AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', '{u}', {z})" for i, (n, _, u, z) in enumerate(_DATES)) + f") f(i, form, unit, zone)), o AS (SELECT o_orderkey, o_orderkey % {len(_DATES)} AS i, o_orderdate + to_seconds(o_orderkey * 7919 % 86400) AS t FROM orders)"
+       " SELECT o_orderkey, form, CASE WHEN unit <> '' THEN epoch_ms(date_trunc(unit, t)) + zone * 60000 END AS millis FROM o JOIN f USING (i)")
 def fn_parse_dates(s, d):
-    """A tenth of the orders' dates in every form that pages use, read back."""
-    o = table(s, d, "orders", "o_orderkey", "o_orderdate").filter("o_orderkey % 10 < 3")
+    """The orders' dates, one after the other in each of the forms that pages use, read back."""
+    o = table(s, d, "orders", "o_orderkey", "o_orderdate")
     at = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("o_orderkey") * 7919 % 86_400)
-    forms = F.array(*[F.struct(F.lit(n).alias("form"), F.date_format(at, p).alias("text")) for n, p, _, _ in _DATES])
-    return o.select("o_orderkey", F.inline(forms)).select("o_orderkey", "form", dates.parse_date_time(F.col("text")).alias("millis"))
+    form, written_as = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (n, p, _, _) in enumerate(_DATES):
+        mine = F.col("o_orderkey") % len(_DATES) == i
+        form, written_as = F.when(mine, n).otherwise(form), F.when(mine, F.date_format(at, p)).otherwise(written_as)
+    return o.select("o_orderkey", form.alias("form"), written_as.alias("text")).select("o_orderkey", "form", dates.parse_date_time(F.col("text")).alias("millis"))
 
 
 @query("SELECT url_id, crawl_time, CASE WHEN coalesce(crawl_time, 0) - 129600000 > published_time THEN published_time ELSE coalesce(crawl_time, 0) END AS effective FROM article")
@@ -315,7 +318,7 @@ def vec_train_networks(s, d):
         F.array(F.col("create_time") % 86_400_000 / 8.64e7, F.when(F.col("read_start_time").isNull(), 0.0).otherwise(1.0)).alias("x"), (F.col("action_type") == "TAP_FROM_STREAM").alias("y"),
         (text.java_hash(F.col("user_id")) % 5 == 0).alias("held"),
     )
-    return V.train_networks(rows, "x", "y", "held", [0, 2, 4], 2, 300).select("hidden", "try", F.size("weights").alias("layers_and_units"))
+    return V.train_networks(rows, "x", "y", "held", [0, 2, 4], 2, 300).select("hidden", "try", F.round("train_error", 4).alias("train_error"), F.round("holdback_error", 4).alias("holdback_error"))
 
 
 # ---------------------------------------------------------------- ranking
@@ -351,24 +354,27 @@ def _candidates(s, d, top):
     return A.top_per_group(mine, ["stream"], order, top).drop("rank").join(ready.drop("origin", "best"), "url_id")
 
 
-def _stream_sql(top):
-    """The candidates of every stream in SQL, numbered by score: table expressions up to `cand`."""
+_FOLLOWED = """follows AS (SELECT user_id AS stream, origin, least(count(*), 10) AS n FROM user_action JOIN ready USING (url_id) WHERE action_type = 'TAP_FROM_STREAM' GROUP BY 1, 2),
+    scored AS (SELECT stream, url_id, time, stems, share_score, round(best * 0.7 + least(n / 10, 1.0) * 0.3, 9) AS score FROM follows JOIN ready USING (origin))"""
+
+
+def stream_sql(top, scored=_FOLLOWED, named="origin IS NOT NULL", free=18.0, half=8760.0):
+    """The candidates of every stream in SQL, numbered by score: table expressions up to `cand`, from those that make `scored`."""
     latest = "list_filter(fb, lambda x: x.create_time = list_max(list_transform(fb, lambda y: y.create_time)))[1].share_score"
-    return rf"""first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url_id ORDER BY crawl_time NULLS FIRST) AS nth FROM article) WHERE nth = 1 AND origin IS NOT NULL),
+    return rf"""first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url_id ORDER BY crawl_time NULLS FIRST) AS nth FROM article) WHERE nth = 1 AND {named}),
     src AS (SELECT DISTINCT unnest(string_split_regex(coalesce(title, ''), '[\s\x{{A0}}]+')) AS word FROM first), {clean_sql("word")},
     stem AS (SELECT k, left(lower(clean), 4) AS stem FROM kf WHERE length(clean) >= 2 AND lower(clean) NOT IN ({_STOPS})),
     words AS (SELECT DISTINCT url_id, unnest(string_split_regex(coalesce(title, ''), '[\s\x{{A0}}]+')) AS k FROM first), st AS (SELECT url_id, list(DISTINCT stem) AS stems FROM words JOIN stem USING (k) GROUP BY 1),
     ready AS (SELECT f.url_id, f.origin, coalesce(published_time, 0) AS time, coalesce(st.stems, []) AS stems, {latest} AS share_score, coalesce(list_max(list_transform(feature, lambda x: x.similarity)), 0) AS best
       FROM (SELECT *, list_filter(social_engagement, lambda x: x.site = 'FACEBOOK') AS fb FROM first) f LEFT JOIN st USING (url_id)),
-    follows AS (SELECT user_id AS stream, origin, least(count(*), 10) AS n FROM user_action JOIN ready USING (url_id) WHERE action_type = 'TAP_FROM_STREAM' GROUP BY 1, 2),
-    scored AS (SELECT stream, url_id, time, stems, share_score, round(best * 0.7 + least(n / 10, 1.0) * 0.3, 9) AS score FROM follows JOIN ready USING (origin)),
-    ranked AS (SELECT *, round(score * (1 / (1 + greatest(0.0, (1480000000000 - time) / 3600000.0 - 18.0) / 8760.0)), 12) AS rank_score FROM scored),
+    {scored},
+    ranked AS (SELECT *, round(score * (1 / (1 + greatest(0.0, (1480000000000 - time) / 3600000.0 - {free}) / {half})), 12) AS rank_score FROM scored),
     cand AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY score DESC, url_id) AS n FROM (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY rank_score DESC, url_id) AS r FROM ranked) WHERE r <= {top})"""
 
 
-def _deduped_sql(top):
+def deduped_sql(cand):
     """dedupe_streams() as a walk over each stream's candidates: table expressions up to `kept` (stream, k)."""
-    return f"""{_stream_sql(top)}, pass AS (SELECT stream, 0 AS n, CAST([] AS STRUCT(u VARCHAR, s DOUBLE, t BIGINT, w DOUBLE, st VARCHAR[], hot INTEGER, old BIGINT)[]) AS kept FROM (SELECT DISTINCT stream FROM cand)
+    return f"""{cand}, pass AS (SELECT stream, 0 AS n, CAST([] AS STRUCT(u VARCHAR, s DOUBLE, t BIGINT, w DOUBLE, st VARCHAR[], hot INTEGER, old BIGINT)[]) AS kept FROM (SELECT DISTINCT stream FROM cand)
     UNION ALL SELECT stream, n + 1, CASE WHEN hit = 0 THEN list_append(kept, own) ELSE list_transform(kept, lambda x, i: CASE WHEN i <> hit THEN x
         WHEN x.w IS NULL OR own.w > x.w THEN struct_pack(u := own.u, s := own.s, t := own.t, w := own.w, st := own.st, hot := 1, old := least(own.t, x.t)) ELSE struct_pack(u := x.u, s := x.s, t := x.t, w := x.w, st := x.st, hot := x.hot + 1, old := least(x.old, own.t)) END) END
       FROM (SELECT p.stream, p.n, p.kept, struct_pack(u := c.url_id, s := c.score, t := c.time, w := c.share_score, st := c.stems, hot := 0, old := c.time) AS own,
@@ -380,7 +386,7 @@ def _ranked_sql(top, k):
     """ranked_streams(): duplicates out, the best by score and second score, and at each place the one of the next eight that differs most from the last three."""
     latest = "list_filter(tw, lambda x: x.create_time = list_max(list_transform(tw, lambda y: y.create_time)))[1].share_score"
     worth = " + ".join(f"CASE WHEN len(chosen) >= {n} THEN trunc(m[i][chosen[len(chosen) - {n - 1}]] / {n}.0) ELSE {120 // n} END" for n in (1, 2, 3))
-    return f"""WITH RECURSIVE {_deduped_sql(top)}, more AS (SELECT url_id, {latest} AS second, regexp_replace({"lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1))"}, '^www\\.', '') AS domain,
+    return f"""WITH RECURSIVE {deduped_sql(stream_sql(top))}, more AS (SELECT url_id, {latest} AS second, regexp_replace({"lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1))"}, '^www\\.', '') AS domain,
       list_distinct(list_transform(list_filter(coalesce(keyword, []), lambda x: x.strength > 30), lambda x: lower(x.keyword))) AS kw, list_transform(list_sort(list_transform(coalesce(feature, []), lambda x: struct_pack(o := -x.similarity, id := x.feature_id)))[1:3], lambda x: x.id) AS ft
       FROM (SELECT *, list_filter(social_engagement, lambda x: x.site = 'TWITTER') AS tw FROM first)),
     few AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY score DESC, url_id) AS i FROM (SELECT stream, k.u AS url_id, k.s AS score, CASE WHEN k.hot > 0 THEN k.hot + 1 ELSE 0 END AS hot_count, k.st AS st, second, domain, kw, ft,
@@ -393,7 +399,7 @@ def _ranked_sql(top, k):
     final AS (SELECT stream, url_id, score, CAST(hot_count AS INTEGER) AS hot_count, CAST(position AS INTEGER) AS position FROM place JOIN few USING (stream, i))"""
 
 
-@query(f"WITH RECURSIVE {_deduped_sql(153)} SELECT stream, k.u AS url_id, k.s AS score, k.t AS time, k.w AS share_score, CAST(CASE WHEN k.hot > 0 THEN k.hot + 1 ELSE 0 END AS INTEGER) AS hot_count, k.old AS oldest FROM kept")
+@query(f"WITH RECURSIVE {deduped_sql(stream_sql(153))} SELECT stream, k.u AS url_id, k.s AS score, k.t AS time, k.w AS share_score, CAST(CASE WHEN k.hot > 0 THEN k.hot + 1 ELSE 0 END AS INTEGER) AS hot_count, k.old AS oldest FROM kept")
 def rank_deduped(s, d):
     return R.dedupe_streams(_candidates(s, d, 153))
 
