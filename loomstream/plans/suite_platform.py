@@ -409,7 +409,7 @@ def vec_reclassified(s, d):
 
 
 @query("""WITH a AS (SELECT DISTINCT user_id, id, url_id, create_time AS t, read_start_time AS r, action_type FROM user_action WHERE create_time IS NOT NULL), b AS (SELECT url_id, max(list_max(list_transform(feature, lambda f: f.similarity))) AS best, any_value(published_time) AS p FROM article GROUP BY 1)
-    SELECT id, round(coalesce(b.best, 0), 6) AS best, round(least(greatest(floor(coalesce(a.t - b.p, 14677151) / 1800000), 0), 48) / 48.0, 6) AS age, CASE WHEN r IS NULL THEN 0.0 ELSE 1.0 END AS opened, action_type = 'TAP_FROM_STREAM' AS label FROM a LEFT JOIN b USING (url_id)""")
+    SELECT id, round(coalesce(b.best, 0), 6) AS best, round(least(greatest(floor(coalesce(a.t - b.p, 14677151) / 1800000), 0), 48) / 48.0, 6) AS age, CAST(CASE WHEN r IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS opened, action_type = 'TAP_FROM_STREAM' AS label FROM a LEFT JOIN b USING (url_id)""")
 def vec_training_set(s, d):
     """Inputs and label of every notification; an unknown age is put in as the mean of the unclicked ones."""
     a = table(s, d, "user_action", "user_id", "id", "url_id", "create_time", "read_start_time", "action_type").filter("create_time is not null").distinct()

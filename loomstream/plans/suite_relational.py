@@ -260,7 +260,7 @@ def jn_prefix_anti(s, d):
 
 
 @query("""WITH RECURSIVE e AS (SELECT n_name AS c, r_name AS p FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'world' FROM region),
-    up AS (SELECT v, v AS a, 0 AS distance FROM (SELECT c AS v FROM e UNION SELECT p FROM e) UNION ALL SELECT up.v, e.p, distance + 1 FROM up JOIN e ON up.a = e.c)
+    up AS (SELECT v, v AS a, CAST(0 AS BIGINT) AS distance FROM (SELECT c AS v FROM e UNION SELECT p FROM e) UNION ALL SELECT up.v, e.p, distance + 1 FROM up JOIN e ON up.a = e.c)
     SELECT v AS value, a AS ancestor, distance FROM up""")
 def jn_hierarchy_closure(s, d):
     n = table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("c"), F.col("r_name").alias("p"))
