@@ -45,7 +45,7 @@ def _blocks(h: np.ndarray) -> np.ndarray:
 
 
 def build(ids: list[int], texts: list[str], m: int = MIN_WORDS) -> Tables:
-    h, at, _ = words(texts)
+    h, at, _ = words(texts, apart=True)
     owner = np.repeat(np.arange(len(texts)), np.diff(at))
     left = at[1:][owner] - np.arange(len(h))  # words from here to the end of the item
     starts = np.flatnonzero(left >= m)
@@ -103,7 +103,7 @@ def _scanner(tables):
             sizes = pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
             docs, items = [], []
             for a, b in batches(len(ids), sizes):
-                h, at, _ = words(texts.slice(a, b - a).to_pylist())
+                h, at, _ = words(texts.slice(a, b - a).to_pylist(), apart=True)
                 d, i = search(t, h, at)
                 docs.append(ids[a:b][d])
                 items.append(i)
@@ -116,7 +116,7 @@ def _scanner(tables):
 def leaked_documents(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, item_id): document and item share at least min_words consecutive words.
 
-    Case, punctuation and spacing don't count. One row per document and item; null or short texts and items have
+    Case, punctuation and spacing don't count: a word is a run of letters and digits, so an apostrophe parts two words. One row per document and item; null or short texts and items have
     none; documents are read once, without a shuffle. Items beyond MAX_ITEM_CHARS are searched slice by slice.
     """
     spark = docs.sparkSession

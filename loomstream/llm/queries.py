@@ -123,8 +123,8 @@ SQL: dict[str, str] = {
         kept AS (SELECT a.url_id, list_filter(a.paragraph, lambda p, i: NOT coalesce(list_contains(g.pos, i), false)) AS p FROM article a LEFT JOIN gone g ON a.url_id = g.url_id AND a.origin = g.origin)
         SELECT url_id, CAST(coalesce(len(p), 0) AS BIGINT) AS elements, CAST(coalesce(list_sum(list_transform(p, lambda x: coalesce(length(x), 0))), 0) AS BIGINT) AS characters FROM kept""",
     "p8_found": r"""
-        WITH d AS (SELECT doc_id AS id, string_split_regex(trim(regexp_replace(replace(replace(lower(text), '’', ''), '''', ''), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
-        e AS (SELECT item_id AS id, string_split_regex(trim(regexp_replace(replace(replace(lower(text), '’', ''), '''', ''), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM eval_item),
+        WITH d AS (SELECT doc_id AS id, string_split_regex(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
+        e AS (SELECT item_id AS id, string_split_regex(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM eval_item),
         dw AS (SELECT id, array_to_string(w[k:k + 14], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 13)) AS k FROM d)),
         ew AS (SELECT id, array_to_string(w[k:k + 14], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 13)) AS k FROM e))
         SELECT DISTINCT dw.id AS doc_id, ew.id AS item_id FROM dw JOIN ew USING (g)""",

@@ -63,22 +63,27 @@ def lowered(cp: np.ndarray) -> np.ndarray:
     return np.where(cp < _TOP, low, cp) if len(cp) and cp.max() >= _TOP else low
 
 
-def words(texts: list[str], points: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words, the first word of each text (and the end), and the start of each word in code points."""
+def words(texts: list[str], points: tuple[np.ndarray, np.ndarray] | None = None, apart: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, the first word of each text (and the end), and the start of each word in code points.
+
+    With `apart`, apostrophes separate words as any other sign does.
+    """
     cp, starts = points or codepoints(texts)
     pieces = list(batches(len(texts), np.diff(starts)))
     if len(pieces) > 1:  # bounded memory, however much text
-        parts = [_words(cp[starts[a] : starts[b]], starts[a : b + 1] - starts[a]) for a, b in pieces]
+        parts = [_words(cp[starts[a] : starts[b]], starts[a : b + 1] - starts[a], apart) for a, b in pieces]
         firsts = np.cumsum([0, *(len(p[0]) for p in parts)])
         at = np.concatenate([*(p[1][:-1] + n for p, n in zip(parts, firsts, strict=False)), firsts[-1:]])
         return np.concatenate([p[0] for p in parts]), at, np.concatenate([p[2] + starts[a] for p, (a, _) in zip(parts, pieces, strict=True)])
-    return _words(cp, starts)
+    return _words(cp, starts, apart)
 
 
-def _words(cp: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _words(cp: np.ndarray, starts: np.ndarray, apart: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cp = lowered(cp)
     kind = _kinds()[np.minimum(cp, _TOP - 1)]
     kind[cp >= _TOP] = 1
+    if apart:
+        kind[kind == 2] = 0
     keep = kind != 2
     where = None
     if not keep.all():

@@ -512,7 +512,7 @@ def test_leaks_brute_force(spark):
             w[rnd.randint(0, len(w)) :] = src[at : at + 45]
         docs.append((i, " ".join(w)))
     docs += [(500, None), (501, ""), (502, "red " * 100_000), (0, docs[0][1])]
-    grams = lambda t, m: {tuple(w[i : i + m]) for w in [plain_words(t or "")] for i in range(len(w) - m + 1)}
+    grams = lambda t, m: {tuple(w[i : i + m]) for w in [plain_words((t or "").replace("'", " "))] for i in range(len(w) - m + 1)}
     df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit(1)).withColumn("task", F.lit("x"))
     it = spark.createDataFrame(items, "item_id bigint, text string")
     for m in (15, 4):
@@ -524,6 +524,15 @@ def test_leaks_brute_force(spark):
 # ---------------------------------------------------------------- 9
 
 
+def test_leaks_words_at_the_border(spark):
+    """Fifteen words by the rule of words, fourteen by others: apostrophes and hyphens part words, case and marks don't count."""
+    fourteen = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    cases = {1: f"{fourteen} l’oiseau", 2: f"{fourteen} carbon-free", 3: f"{fourteen} fourteen", 4: f"{fourteen} ÉTÉ — ñu", 5: f"{fourteen} don't"}
+    items = spark.createDataFrame([(i, f"x {t} y") for i, t in cases.items()], "item_id bigint, text string")
+    docs = spark.createDataFrame([(10, f"a {fourteen} L'OISEAU b"), (20, f"a {fourteen} carbon free"), (30, f"a {fourteen} fourteen b"), (40, f"a {fourteen.upper()} été, Ñu"), (50, f"a {fourteen} dont b")], "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in leaks.leaked_documents(docs, items).collect()) == [(10, 1), (20, 2), (40, 4)]
+
+
 def test_flight_keeps_balance():
     rng = np.random.default_rng(2)
     x = np.stack([np.ones(400), rng.integers(0, 2000, 400).astype(float)], 1)
