@@ -1,14 +1,17 @@
 """The language of texts by character trigrams: a naive Bayes model of hashed trigrams, trained on labelled documents.
 
 Labels are brought to the two letters before any region ('en-US', 'EN' and 'en' are one language). The model is fitted
-on at most PER_LANGUAGE documents of each language, drawn by hash of the id, each as a whole.
+on at most PER_LANGUAGE documents of each language, drawn by hash of the id, each as a whole, or on all of them, which
+are then counted on the workers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,10 +68,39 @@ def fit(texts: list[str], labels: list[str]) -> Languages:
     return Languages(names, np.log(counts / counts.sum(0, keepdims=True)).astype(np.float32))
 
 
-def train(docs: DataFrame, limit: int = PER_LANGUAGE) -> Languages:
+def _counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(language, bucket, trigrams) of all rows; bucket -1 has the documents."""
+    total: dict[str, np.ndarray] = {}
+    for batch in it:
+        texts, lang = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
+        for name in sorted(set(lang)):
+            mine = [t for t, x in zip(texts, lang, strict=True) if x == name]
+            n = total.setdefault(name, np.zeros((1 << BITS) + 1, np.int64))
+            n[-1] += len(mine)
+            for a, b in batches(len(mine), np.array([len(t) + 1 for t in mine])):
+                n[:-1] += np.bincount(_trigrams(mine[a:b])[0], minlength=1 << BITS)
+    for name, n in total.items():
+        cell = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(cell)), pa.array(np.where(cell < 1 << BITS, cell, -1), pa.int32()), pa.array(n[cell])], names=["lang", "bucket", "n"])
+
+
+def _fit_counts(rows: DataFrame) -> Languages:
+    got = rows.select("text", "lang").mapInArrow(_counts, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    lang, bucket, n = np.array(got.column("lang").to_pylist(), object), got.column("bucket").to_numpy(), got.column("n").to_numpy()
+    names = sorted(lang[(bucket < 0) & (n >= 5)])
+    counts = np.full((1 << BITS, len(names)), 0.1)
+    for j, name in enumerate(names):
+        mine = (lang == name) & (bucket >= 0)
+        counts[bucket[mine], j] += n[mine]
+    return Languages(names, np.log(counts / counts.sum(0, keepdims=True)).astype(np.float32))
+
+
+def train(docs: DataFrame, limit: int | None = PER_LANGUAGE) -> Languages:
     """Fit on docs (doc_id, text, lang); null languages and texts don't teach, nor does a language of fewer than 5 documents."""
     lang = F.lower(F.regexp_extract("lang", r"^\s*([A-Za-z]{2})(?:[-_]|\s*$)", 1))
     rows = docs.select("doc_id", "text", lang.alias("lang")).filter("lang <> '' and length(text) > 0")
+    if limit is None:
+        return _fit_counts(rows)
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     rows = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= limit).collect()  # bounded by limit and the languages there are
     size: dict[str, int] = {}

@@ -372,6 +372,53 @@ def test_subjects(spark, labelled_pages):
     assert max(r["count"] for r in three) == 3  # no cap where none is given
 
 
+def test_subjects_learn_from_every_label(spark):
+    """More labelled articles than the former bound of 6,000: all are there, and a word that one of two subjects has in all of them is counted in full."""
+    n = 6_500
+    rows = [article(f"u{i}", "Site", "A note", None, [("The court heard an appeal." if i % 2 else "The striker scored a goal.")]) for i in range(n)]
+    df = spark.createDataFrame([*rows, *rows[:5]], ARTICLE)  # some come twice
+    lab = spark.createDataFrame([(f"u{i}", ["sport", "law"][i % 2], True) for i in range(n)], "url_id string, article_classification_code string, checked boolean")
+    pages = subjects.labelled(df, lab)
+    assert pages.count() == pages.select("url_id").distinct().count() == n
+    lm = languages.fit([], [])
+    share = spark.sparkContext.broadcast
+    net = boilerplate.Labeller(np.zeros(0, np.uint64))
+    net.p["w"][:], net.p["b"][:] = 0, -50  # every block is body
+    net = share(net)
+    kept = subjects.tokens(pages, net, share(lm), ["law", "sport"])
+    bg = subjects.smoothed(np.zeros(0, np.int64), np.zeros(0, np.int64), lm)
+    counts, keys, pairs = (x[0] if x.ndim > 2 else x for x in subjects._counts_of(kept, share(None), 1, 2, False))
+    word = lambda w: subjects._uni(subjects.tagged([w], lm)[0])[0]
+    assert (counts[[word("court"), word("goal"), -1]] / subjects.ONE).tolist() == [[n / 2, 0], [0, n / 2], [n / 2, n / 2]]
+    here = [(r[0], "\n".join(["A note", *r[5]])) for r in rows]
+    h, sent, text, lang = subjects.tagged([t for _, t in here], lm)
+    yes = np.array([[i % 2 == 1, i % 2 == 0] for i in range(n)])
+    want = subjects.counted(h, sent, text, lang, yes[text].astype(float), 1)
+    assert all((a == b).all() for a, b in zip((counts, keys, pairs), want, strict=True))
+    models = subjects.train(["law", "sport"], lm, bg, kept, 2)
+    again = subjects.train(["law", "sport"], lm, bg, kept.repartition(3), 2)
+    assert (models.uni == again.uni).all() and (models.keys == again.keys).all() and (models.bi == again.bi).all() and (models.cuts == again.cuts).all() and models.weights == again.weights  # whatever the order
+
+
+def test_bigrams_keep_apart():
+    """However many word pairs there are, the chances of what follows a word add up to one at most."""
+    lm, rnd = languages.fit([], []), random.Random(5)
+    texts = [" ".join(f"w{rnd.randrange(2000)}" for _ in range(4000)) + "." for _ in range(75)] * 4
+    h, sent, text, lang = subjects.tagged(texts, lm)
+    m = subjects.fit_models(["a"], lm, subjects.smoothed(*np.unique(subjects._uni(h), return_counts=True), lm), h, sent, text, lang, np.ones((len(text), 1)))
+    assert len(m.keys) > 1 << 18
+    assert np.bincount(subjects.given_of(m.keys) + 1, m.bi[:-1, 0]).max() < 1.01
+
+
+def test_languages_of_all_documents(spark):
+    """More documents of a language than the bound: all are counted, the same as if they were here."""
+    texts = [f"the court {'abcdefghij'[i % 10]} heard" for i in range(400)] + [f"le tribunal {'abcdefghij'[i % 10]} entend" for i in range(320)] + ["das"] * 4
+    labels = ["en-GB"] * 400 + ["FR"] * 320 + ["de"] * 4
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(zip(texts, labels, strict=True))] + [(9000, None, "en"), (9001, "x y z", None)], "doc_id bigint, text string, lang string")
+    got, want = languages.train(docs, None), languages.fit(texts[:720], ["en"] * 400 + ["fr"] * 320)
+    assert got.names == want.names and (got.weight == want.weight).all()
+
+
 # ---------------------------------------------------------------- 7
 
 
